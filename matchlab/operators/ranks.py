@@ -17,6 +17,7 @@ Results are exact; the approximation only balances the work.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,17 @@ from pyspark.sql import functions as F
 
 from .joins import attach_one_row
 
-DEFAULT_BUCKETS = 256
-_ACCURACY = 10000
+DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
+MIN_BUCKETS, MAX_BUCKETS = 16, 65536
+
+
+def bucket_count(spark, buckets: int | None = None) -> int:
+    """Buckets = 4 x shuffle partitions (the parallelism the cluster is sized
+    for), clamped; each bucket becomes one window partition."""
+    if buckets:
+        return int(buckets)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, 4 * n))
 
 
 def _const_key(df: DataFrame) -> DataFrame:
@@ -43,19 +53,39 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str =
     return d.groupBy(*by, value).agg(agg.alias(count))
 
 
+def count_below(sorted_arr: Column, v: Column, size: int) -> Column:
+    """Number of elements of an ascending array strictly below ``v``.
+
+    Binary search (lower bound) unrolled into ceil(log2(size + 1)) steps of
+    ``aggregate``; ``get`` returns NULL past the end, which reads as "not below"."""
+    steps = max(1, math.ceil(math.log2(size + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
+
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(sorted_arr, mid) < v, F.lit(False)) & (s["lo"] < s["hi"])
+        return F.when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))) \
+            .otherwise(F.struct(s["lo"].alias("lo"),
+                                F.when(s["lo"] < s["hi"], mid).otherwise(s["hi"]).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by: Sequence[str] = (),
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``<c>_before`` for every count column (see module doc)."""
     by = list(by)
+    buckets = bucket_count(vc.sparkSession, buckets)
     keys = by if by else ["_k"]
     base = vc if by else _const_key(vc)
     fr = [i / buckets for i in range(1, buckets)]
+    accuracy = min(1_000_000, 10 * buckets)
     bounds = base.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), fr, _ACCURACY).alias("_bounds"))
+        F.percentile_approx(F.col(value).cast("double"), fr, accuracy).alias("_bounds"))
     if not by:
         bounds = F.broadcast(bounds)  # exactly one row
     vb = (base.join(bounds, keys)
-          .withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double"))))
+          .withColumn("_b", count_below(F.col("_bounds"), F.col(value).cast("double"), buckets - 1))
           .drop("_bounds"))
     tot = vb.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.filters import FilterSpec
-from ..sources import fixtures
+from ..sources import catalog, fixtures
 
 # Filter used by the "filtered" variants (F1): two regions, two sizes, two statuses.
 SPEC = FilterSpec.of(regions=["AMERICA", "ASIA"], sizes=["Pequeno", "Medio"], statuses=["F", "O"])
@@ -14,7 +14,9 @@ SPEC_SQL = ("regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Me
 
 
 def M(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.matches(spark, sf_dir)
+    """The derived fact table, materialised once per application."""
+    return catalog.materialized(spark, "matches", sf_dir, lambda: fixtures.matches(spark, sf_dir),
+                                partition_by=("regiao",))
 
 
 def R(spark: SparkSession, sf_dir: str) -> DataFrame:

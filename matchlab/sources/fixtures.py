@@ -36,6 +36,11 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    # Both big sides hash-partitioned on the order key: the exchange a
+    # sort-merge join needs at scale anyway, and it spreads the pipeline over
+    # all cores when a table arrives as a single row group.
+    li = li.repartition("l_orderkey")
+    o = o.repartition("o_orderkey")
     cd = place_dim(spark, sf_dir)
     od = o.join(cd, o.o_custkey == cd.c_custkey)
     j = (li.join(od, li.l_orderkey == od.o_orderkey)
