@@ -234,8 +234,9 @@ def row_sum(cols: Sequence) -> Column:
 # --- P26: compact number text -----------------------------------------------
 
 def _fixed(c: Column, decimals: int) -> Column:
-    # Python-style fixed-point text without thousands separators.
-    return F.format_string(f"%.{decimals}f", c.cast("double"))
+    """Python-style fixed-point text: ties to even (DecimalFormat default, like
+    Python's format), no thousands separators."""
+    return F.regexp_replace(F.format_number(c.cast("double"), decimals), ",", "")
 
 
 def compact_number(c, k_decimals: int = 1, m_decimals: int = 1, strict: bool = False) -> Column:

@@ -103,7 +103,9 @@ def pairs_within(points: DataFrame, id_col: str, x: str, y: str, radius: float,
     build = pts.select(*[F.col(c).alias(f"{c}_2") for c in [id_col, x, y, *keep]],
                        F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"))
     j = probe.join(build, ["_gx", "_gy"])
-    d2 = (F.col(f"{x}_1") - F.col(f"{x}_2")) ** 2 + (F.col(f"{y}_1") - F.col(f"{y}_2")) ** 2
+    dx = F.col(f"{x}_1") - F.col(f"{x}_2")
+    dy = F.col(f"{y}_1") - F.col(f"{y}_2")
+    d2 = dx * dx + dy * dy
     return (j.filter((F.col(f"{id_col}_1") < F.col(f"{id_col}_2")) & (d2 < radius * radius))
             .withColumn("distance", F.sqrt(d2)).drop("_gx", "_gy"))
 
