@@ -29,13 +29,20 @@ DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
 MIN_BUCKETS, MAX_BUCKETS = 16, 65536
 
 
-def bucket_count(spark, buckets: int | None = None) -> int:
+MAX_GROUP_BUCKETS = 256
+DEFAULT_ACCURACY = 100_000  # relative rank error of the bracketing sketch
+
+
+def bucket_count(spark, buckets: int | None = None, grouped: bool = False) -> int:
     """Buckets = 4 x shuffle partitions (the parallelism the cluster is sized
-    for), clamped; each bucket becomes one window partition."""
+    for), clamped; each bucket becomes one window partition.  With group
+    keys every group gets its own boundary array, so the count is capped to
+    keep groups x buckets small."""
     if buckets:
         return int(buckets)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, 4 * n))
+    b = max(MIN_BUCKETS, min(MAX_BUCKETS, 4 * n))
+    return min(b, MAX_GROUP_BUCKETS) if grouped else b
 
 
 def _const_key(df: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by:
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``<c>_before`` for every count column (see module doc)."""
     by = list(by)
-    buckets = bucket_count(vc.sparkSession, buckets)
+    buckets = bucket_count(vc.sparkSession, buckets, grouped=bool(by))
     keys = by if by else ["_k"]
     base = vc if by else _const_key(vc)
     fr = [i / buckets for i in range(1, buckets)]
@@ -108,35 +115,63 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = DEFAULT_BUCKETS, vc: DataFrame | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (``quantile_cont``): (by..., q, value_q).
-
-    For position p = q (n - 1): v[floor p] + (p - floor p)(v[ceil p] - v[floor p]).
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Exact linear-interpolated quantiles (``quantile_cont``): (by..., q, value_q).
+
+    For position p = q (n - 1) the result is v[floor p] + (p - floor p)(v[ceil p] - v[floor p]).
+    Bracket-and-select, two light passes plus a tiny window:
+
+    1. ``percentile_approx`` (mergeable sketch, partial aggregation) gives edges
+       just below and above every target fraction;
+    2. every row gets the number of edges below it (a few codegen'd
+       comparisons) and exact per-bucket counts locate, per group, the bucket
+       that holds each target position - this step decides the answer, so the
+       result is exact whatever the sketch's error;
+    3. only rows of those buckets (about 4 n / accuracy of them when the sketch
+       meets its bound) are counted by value (map-side combined, so a hot value
+       is one row) and ranked inside their bucket.
     """
     by = list(by)
-    if vc is None:
-        vc = value_counts(df, value, by)
-    cum = cumulative_before(vc, value, ["cnt"], by, buckets)
-    n = vc.groupBy(*by).agg(F.sum("cnt").alias("_n")) if by else \
-        vc.agg(F.sum("cnt").alias("_n"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    j = cum.join(n, by) if by else attach_one_row(cum, n)
-    j = (j.withColumn("q", F.explode(qarr))
-         .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-         .withColumn("_lo", F.floor("_pos"))
-         .withColumn("_hi", F.ceil("_pos")))
-    lo_in = (F.col("cnt_before") <= F.col("_lo")) & (F.col("_lo") < F.col("cnt_before") + F.col("cnt"))
-    hi_in = (F.col("cnt_before") <= F.col("_hi")) & (F.col("_hi") < F.col("cnt_before") + F.col("cnt"))
-    j = j.filter(lo_in | hi_in)
+    keys = by if by else ["_k"]
     v = F.col(value).cast("double")
-    r = j.groupBy(*by, "q").agg(
-        F.max(F.when(lo_in, v)).alias("_vlo"), F.max(F.when(hi_in, v)).alias("_vhi"),
+    d = df.filter(v.isNotNull() & ~F.isnan(v))
+    for b in by:
+        d = d.filter(F.col(b).isNotNull())
+    d = d.select(*by, v.alias("_x"))
+    if not by:
+        d = _const_key(d)
+    delta = 2.0 / accuracy
+    fr = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-delta, delta)})
+    edges = d.groupBy(*keys).agg(F.percentile_approx("_x", fr, accuracy).alias("_e"))
+    if not by:
+        edges = F.broadcast(edges)  # exactly one row
+    bucket = sum((F.col("_x") > F.col("_e")[i]).cast("int") for i in range(len(fr)))
+    db = d.join(edges, keys).select(*keys, "_x", bucket.alias("_b"))
+    tot = db.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bt"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_b", "_bt", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
+                     F.sum("_bt").over(Window.partitionBy(*keys)).alias("_n"))
+    t = (tot.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+         .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
+         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+    inside = lambda p: (F.col("_off") <= F.col(p)) & (F.col(p) < F.col("_off") + F.col("_bt"))
+    t = t.filter(inside("_lo") | inside("_hi"))
+    target = t.select(*keys, "_b").distinct()
+    sel = db.join(target, keys + ["_b"], "left_semi")
+    vc = sel.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    wi = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    vc = vc.withColumn("_in", F.coalesce(F.sum("_c").over(wi), F.lit(0)))
+    j = vc.join(t, keys + ["_b"]).withColumn("_before", F.col("_off") + F.col("_in"))
+    cover = lambda p: (F.col("_before") <= F.col(p)) & (F.col(p) < F.col("_before") + F.col("_c"))
+    r = j.groupBy(*keys, "q").agg(
+        F.max(F.when(cover("_lo"), F.col("_x"))).alias("_vlo"),
+        F.max(F.when(cover("_hi"), F.col("_x"))).alias("_vhi"),
         F.max("_pos").alias("_pos"), F.max("_lo").alias("_lo"))
     return r.select(*by, "q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) *
                                (F.col("_vhi") - F.col("_vlo"))).alias("value_q"))
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), alias: str = "median",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], by, buckets)
+                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    q = exact_quantiles(df, value, [0.5], by, accuracy)
     return q.select(*by, F.col("value_q").alias(alias))

@@ -1,20 +1,20 @@
 """Distributed rank tests (K1-K4, W4): Kruskal-Wallis and pairwise Mann-Whitney.
 
-No row is ranked individually and no group is sorted in one task.  The
-input is reduced to a *wide value-count table*: one row per distinct value
-with one count column per group (conditional sums), then
-``ranks.cumulative_before`` adds, for every group, the number of that
-group's observations strictly below each value.  From it:
+No row is ranked individually and no group is sorted in one task; every
+statistic is a sum over value-count tables (one row per distinct value,
+map-side combined) whose cumulative counts come from
+``ranks.cumulative_before``:
 
 * average rank of value v = C_all(<v) + (c_all(v) + 1) / 2
-* Kruskal-Wallis rank sums  R_g = sum_v c_g(v) * rank(v)
-* Mann-Whitney U(g1, g2) = sum_v c_g1(v) * (C_g2(<v) + c_g2(v) / 2)
+* Kruskal-Wallis rank sums R_g = sum_v c_g(v) * rank(v), by joining the
+  (group, value) counts to the pooled ranks (any number of groups);
+* Mann-Whitney U(g1, g2) = sum_v c_g1(v) * (C_g2(<v) + c_g2(v) / 2) over a
+  *wide* value-count table with one count column per group, so all C(k, 2)
+  pairs come from one pass (the k labels are read once to name the columns);
 * tie terms sum_v (t^3 - t) for the pooled sample and for every pair.
 
-The group list (k labels) is read once to name the count columns; every
-statistic is then a handful of sums over the wide table.  p-values need
-special functions Spark SQL lacks, so they are added by a small Arrow UDF on
-the k-row / C(k,2)-row result only.
+p-values need special functions Spark SQL lacks, so they are added by a
+small Arrow UDF on the 1-row / C(k,2)-row result only.
 """
 
 from __future__ import annotations
@@ -55,25 +55,26 @@ def wide_cumulative(df: DataFrame, group: str, value: str, groups: Sequence[str]
     return ranks.cumulative_before(w, "_v", cols)
 
 
-def kruskal_wallis(df: DataFrame, group: str, value: str, groups: Sequence[str] | None = None) -> DataFrame:
+def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """K1 + K2: H (tie corrected), dof, epsilon^2, eta^2, magnitude, N, k.
 
-    One row; empty when fewer than 2 groups."""
-    groups = list(groups) if groups is not None else group_labels(_clean(df, group, value), "_g")
-    k = len(groups)
-    wc = wide_cumulative(df, group, value, groups)
-    rank = F.col("c_all_before") + (F.col("c_all") + 1) / 2.0
-    aggs = [F.sum(F.col(f"c_{i}") * rank).alias(f"R_{i}") for i in range(k)]
-    aggs += [F.sum(f"c_{i}").alias(f"n_{i}") for i in range(k)]
-    aggs += [F.sum("c_all").cast("double").alias("N"),
-             F.sum(F.pow(F.col("c_all").cast("double"), 3) - F.col("c_all")).alias("TT")]
-    s = wc.agg(*aggs)
-    N = F.col("N")
-    ssum = sum((F.col(f"R_{i}") * F.col(f"R_{i}") / F.col(f"n_{i}") for i in range(k)), F.lit(0.0))
-    h_raw = 12.0 / (N * (N + 1)) * ssum - 3 * (N + 1)
-    corr = 1 - F.col("TT") / (N * N * N - N)
-    h = h_raw / corr
-    out = s.select(h.alias("h"), N)
+    Rank sums by join, so any number of groups works and nothing reaches the
+    driver: (group, value) counts are joined to the pooled average rank of
+    each value.  One row; empty when fewer than 2 groups."""
+    d = _clean(df, group, value)
+    vcg = d.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("c"))
+    vc = vcg.groupBy("_v").agg(F.sum("c").alias("t"))
+    rk = ranks.cumulative_before(vc, "_v", ["t"]).select(
+        "_v", "t", (F.col("t_before") + (F.col("t") + 1) / 2.0).alias("rank"))
+    rs = vcg.join(rk.select("_v", "rank"), "_v").groupBy("_g").agg(
+        F.sum(F.col("c") * F.col("rank")).alias("R"), F.sum("c").cast("double").alias("n_g"))
+    per = rs.agg(F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("S"), F.count(F.lit(1)).alias("k"),
+                 F.sum("n_g").alias("N"))
+    ties = vc.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("TT"))
+    s = attach_one_row(per, ties)
+    N, k = F.col("N"), F.col("k")
+    h = (12.0 / (N * (N + 1)) * F.col("S") - 3 * (N + 1)) / (1 - F.col("TT") / (N * N * N - N))
+    out = s.select(h.alias("h"), N, k)
     eps = F.greatest(F.lit(0.0), (F.col("h") - k + 1) / (F.col("N") - k))
     mag = (F.when(F.col("epsilon2") < L.EFFECT_CUTS[0], F.lit(L.EFFECT_LABELS[0]))
            .when(F.col("epsilon2") < L.EFFECT_CUTS[1], F.lit(L.EFFECT_LABELS[1]))
@@ -81,9 +82,9 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, groups: Sequence[str]
            .otherwise(F.lit(L.EFFECT_LABELS[3])))
     out = (out.withColumn("epsilon2", eps).withColumn("eta2", F.col("h") / (F.col("N") - 1))
            .withColumn("magnitude", mag)
-           .select("h", F.lit(k - 1).cast("long").alias("dof"), "epsilon2", "eta2", "magnitude",
-                   F.col("N").cast("long").alias("n"), F.lit(k).cast("long").alias("k")))
-    return out.filter(F.lit(k >= 2))
+           .select("h", (F.col("k") - 1).cast("long").alias("dof"), "epsilon2", "eta2", "magnitude",
+                   F.col("N").cast("long").alias("n"), F.col("k").cast("long").alias("k")))
+    return out.filter(F.col("k") >= 2)
 
 
 def mann_whitney_pairs(df: DataFrame, group: str, value: str, groups: Sequence[str] | None = None,
@@ -173,10 +174,9 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) if pd.notna(v) else float("nan") for v in z])
 
 
-def kruskal_test(df: DataFrame, group: str, value: str, alpha: float = 0.05,
-                 groups: Sequence[str] | None = None) -> DataFrame:
+def kruskal_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """K1 with its p-value and the global decision."""
-    kw = kruskal_wallis(df, group, value, groups)
+    kw = kruskal_wallis(df, group, value)
     return kw.withColumn("p_value", chi2_sf(F.col("h"), F.col("dof"))) \
         .withColumn("diferenca_global", F.col("p_value") < alpha)
 

@@ -157,3 +157,24 @@ def linear_trend(spark, sf):
     t = D.linear_trend(s, "ano_cadastro", "value")
     return t.select("ano_cadastro", F.col("pos").cast("int"), r6("value"), r6("slope"), r6("intercept"),
                     r6("fitted"))
+
+
+@query("kde_overall", extra_ctes="""
+v AS (SELECT discrepancia AS x FROM matches WHERE discrepancia BETWEEN -100 AND 100 AND NOT isnan(discrepancia)),
+st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v),
+st2 AS (SELECT *, sd * pow(n, -0.2) AS h FROM st WHERE n >= 2 AND sd > 0),
+st3 AS (SELECT *, mn - 3.0 * h AS glo, mx + 3.0 * h AS ghi FROM st2),
+pts AS (SELECT st3.mn + (least(floor((v.x - st3.mn) / (st3.mx - st3.mn) * 4096), 4095) + 0.5) * (st3.mx - st3.mn) / 4096 AS p,
+               count(*) AS c FROM v CROSS JOIN st3 GROUP BY 1),
+grid AS (SELECT st3.n, st3.h, r.range AS j, st3.glo + r.range * (st3.ghi - st3.glo) / 49 AS x
+         FROM st3 CROSS JOIN range(50) r)""", sql="""
+SELECT CAST(grid.j AS INT) AS j, round(grid.x, 6) AS x,
+       round(sum(pts.c * exp(-0.5 * ((grid.x - pts.p) / grid.h) * ((grid.x - pts.p) / grid.h)))
+             / (grid.n * grid.h * sqrt(2 * pi())), 8) AS density
+FROM grid CROSS JOIN pts GROUP BY grid.j, grid.x, grid.n, grid.h
+""")
+def kde_overall(spark, sf):
+    """A26 ungrouped variant: density of the area discrepancy restricted to [-100, 100]."""
+    m = M(spark, sf).filter(F.col("discrepancia").between(-100.0, 100.0))
+    k = D.kde(m, "discrepancia", [], grid_size=50, prebins=4096)
+    return k.select(F.col("j").cast("int"), r6("x"), F.round("density", 8).alias("density"))

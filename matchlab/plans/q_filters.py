@@ -150,7 +150,7 @@ def context_panorama(spark, sf):
     spec = FL.FilterSpec.of(states=STATE_SELECTION, sizes=["Pequeno", "Medio", "Grande"])
     membership = m.select("regiao", "estado").filter(F.col("regiao").isNotNull() & F.col("estado").isNotNull())
     comp = FL.complete_groups(membership, _selected_states(spark), "regiao", "estado")
-    relaxed = spec.relax_states().apply(m).join(F.broadcast(comp), "regiao", "left_semi")
+    relaxed = spec.relax_states().apply(m).join(comp, "regiao", "left_semi")
     n_comp = comp.agg(F.count(F.lit(1)).alias("_nc"))
     fallback = attach_one_row(FL.FilterSpec.of(states=STATE_SELECTION).apply(m), n_comp) \
         .filter(F.col("_nc") == 0).drop("_nc")

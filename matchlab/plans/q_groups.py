@@ -393,3 +393,28 @@ def minmax_rescale(spark, sf):
     c = A.group_size(M(spark, sf), ["estado"])
     r = A.minmax_rescale(c, "n", L.BUBBLE_MIN, L.BUBBLE_MAX, "size")
     return r.select("estado", F.col("n").cast("long"), r6("size"))
+
+
+# --- A15: 100 % stacked shares for several (y, hue) pairs in one pass -----------------------------
+
+_STACK_PAIRS = [("regiao", "faixa_jaccard"), ("estado", "faixa_jaccard"), ("estado", "label_cpf"),
+                ("faixa_jaccard", "label_cpf"), ("class_tam_imovel", "faixa_jaccard"),
+                ("status_imovel", "faixa_jaccard")]
+
+
+@query("stacked_shares", extra_ctes="c AS (" + " UNION ALL ".join(
+    f"SELECT '{y}x{h}' AS pair, CAST({y} AS VARCHAR) AS y, CAST({h} AS VARCHAR) AS hue, count(*) AS n "
+    f"FROM matches WHERE {y} IS NOT NULL AND {h} IS NOT NULL GROUP BY 2, 3" for y, h in _STACK_PAIRS) + ")", sql="""
+SELECT pair, y, hue, CAST(n AS BIGINT) AS n, round(n * 100.0 / sum(n) OVER (PARTITION BY pair, y), 6) AS pct FROM c
+""")
+def stacked_shares(spark, sf):
+    """Row-normalised shares (100 % stacked bars) for six (y, hue) pairs,
+    all counted in one scan of the fact table."""
+    m = M(spark, sf)
+    lg = m.select(F.explode(F.array(*[
+        F.struct(F.lit(f"{y}x{h}").alias("pair"), F.col(y).cast("string").alias("y"),
+                 F.col(h).cast("string").alias("hue")) for y, h in _STACK_PAIRS])).alias("s")).select("s.*")
+    c = lg.filter(F.col("y").isNotNull() & F.col("hue").isNotNull()) \
+        .groupBy("pair", "y", "hue").agg(F.count(F.lit(1)).alias("n"))
+    s = A.normalized_share(c, ["pair", "y"])
+    return s.select("pair", "y", "hue", F.col("n").cast("long"), r6("pct"))

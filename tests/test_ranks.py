@@ -34,11 +34,12 @@ def test_average_ranks_match_pandas(spark, buckets):
     assert np.allclose(got.sort_index().values, exp.sort_index().values)
 
 
-@pytest.mark.parametrize("buckets", [4, 64])
-def test_exact_quantiles_match_numpy(spark, buckets):
-    df, pdf = _frame(spark, ties=False)
-    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = ranks.exact_quantiles(df, "v", qs, ["g"], buckets=buckets).toPandas()
+@pytest.mark.parametrize("accuracy,ties", [(20, False), (100000, False), (50, True)])
+def test_exact_quantiles_match_numpy(spark, accuracy, ties):
+    # a coarse sketch (accuracy 20) makes wide brackets: still exact
+    df, pdf = _frame(spark, ties=ties)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = ranks.exact_quantiles(df, "v", qs, ["g"], accuracy=accuracy).toPandas()
     for (g, q), val in got.set_index(["g", "q"])["value_q"].items():
         assert val == pytest.approx(np.percentile(pdf.loc[pdf.g == g, "v"], q * 100))
 
@@ -53,3 +54,12 @@ def test_all_equal_values(spark):
     df = spark.createDataFrame([(1.0,)] * 10, "v double")
     r = ranks.average_ranks(df, "v").collect()
     assert r[0]["rank"] == pytest.approx(5.5) and r[0]["cnt"] == 10
+
+
+def test_exact_quantiles_hot_value(spark):
+    # one value holds a third of the rows
+    vals = [5.0] * 3000 + [float(i) for i in range(6000)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = {r["q"]: r["value_q"] for r in ranks.exact_quantiles(df, "v", [0.2, 0.5, 0.9]).collect()}
+    for q, val in got.items():
+        assert val == pytest.approx(np.percentile(vals, q * 100))
