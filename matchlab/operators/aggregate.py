@@ -65,9 +65,8 @@ def kpi_row(df: DataFrame, index: str = "indice", state: str = "estado", area: s
         F.avg(F.col(flag).cast("double")).alias("_flag"),
     )
     med = group_quantiles_wide(df, index, {"_median": 0.5}, (), method)
-    # The median table is empty on empty input; attach it with a left join.
-    med1 = med.withColumn("_one", F.lit(0))
-    j = base.withColumn("_one", F.lit(0)).join(F.broadcast(med1), "_one", "left").drop("_one")
+    # scalar subquery: NULL (then 0) when the input is empty
+    j = base.withColumn("_median", med.select("_median").scalar())
     return j.select(
         F.col("total_records").cast("long").alias("total_records"),
         F.coalesce(F.col("_avg") * 100, F.lit(0.0)).alias("avg_jaccard"),

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
-# Lists longer than this are applied as a broadcast semi-join instead of an
-# IN-list (an IN-list of that size is itself a driver-side constant).
+# Lists longer than this are applied as a semi-join (AQE broadcasts it when
+# small) instead of an IN-list held as a driver-side constant.
 ISIN_MAX = 1000
 
 
@@ -168,8 +168,8 @@ def complete_groups(membership: DataFrame, selected: DataFrame, group: str, memb
 def guard_min_rows(df: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """return ``df`` only when it has >= k rows (> k with strict); else empty.
 
-    Plan-level HAVING: one count aggregated on executors and joined back, no driver count().
+    Plan-level HAVING: one count aggregated on executors used as a scalar
+    subquery in the filter, no driver count().
     """
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ok = n.filter(F.col("_n") > k if strict else F.col("_n") >= k)
-    return df.crossJoin(F.broadcast(ok)).drop("_n")
+    n = df.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    return df.filter(n > k if strict else n >= k)

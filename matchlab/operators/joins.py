@@ -15,13 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def scalar_struct(one_row: DataFrame) -> Column:
+    """The single row of a global aggregate as one scalar-subquery struct
+    (computed once, inlined as a value; NULL when the aggregate has no row)."""
+    return one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+
+
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row aggregate next to every row.
 
-    Broadcast equi-join on a constant key (the side is exactly one row)."""
-    left = df.withColumn("_one", F.lit(0))
-    right = one_row.withColumn("_one", F.lit(0))
-    return left.join(F.broadcast(right), "_one").drop("_one")
+    A scalar subquery, not a join: Spark evaluates the aggregate once and
+    uses its value in the projection of every row."""
+    s = scalar_struct(one_row)
+    return df.withColumns({c: s[c] for c in one_row.columns})
 
 
 def literal_domain(spark, column: str, values: Sequence, ordinal: str | None = None) -> DataFrame:

@@ -87,11 +87,12 @@ def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by:
     base = vc if by else _const_key(vc)
     fr = [i / buckets for i in range(1, buckets)]
     accuracy = min(1_000_000, 10 * buckets)
-    bounds = base.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), fr, accuracy).alias("_bounds"))
-    if not by:
-        bounds = F.broadcast(bounds)  # exactly one row
-    vb = (base.join(bounds, keys)
+    sketch = F.percentile_approx(F.col(value).cast("double"), fr, accuracy).alias("_bounds")
+    if by:
+        vb = base.join(base.groupBy(*keys).agg(sketch), keys)
+    else:  # one global boundary array: a scalar subquery, no join
+        vb = base.withColumn("_bounds", base.agg(sketch).scalar())
+    vb = (vb
           .withColumn("_b", count_below(F.col("_bounds"), F.col(value).cast("double"), buckets - 1))
           .drop("_bounds"))
     tot = vb.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
@@ -142,11 +143,13 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         d = _const_key(d)
     delta = 2.0 / accuracy
     fr = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-delta, delta)})
-    edges = d.groupBy(*keys).agg(F.percentile_approx("_x", fr, accuracy).alias("_e"))
-    if not by:
-        edges = F.broadcast(edges)  # exactly one row
+    sketch = F.percentile_approx("_x", fr, accuracy).alias("_e")
+    if by:
+        de = d.join(d.groupBy(*keys).agg(sketch), keys)
+    else:  # one global edge array: a scalar subquery, no join
+        de = d.withColumn("_e", d.agg(sketch).scalar())
     bucket = sum((F.col("_x") > F.col("_e")[i]).cast("int") for i in range(len(fr)))
-    db = d.join(edges, keys).select(*keys, "_x", bucket.alias("_b"))
+    db = de.select(*keys, "_x", bucket.alias("_b"))
     tot = db.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bt"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_b", "_bt", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
