@@ -1,11 +1,11 @@
 """Aggregations.
 
 All results are small aggregated DataFrames; partial (map-side) aggregation
-happens before every shuffle.  Exact medians / quantiles use the distributed
-rank form of ``ranks.exact_quantiles`` (no per-group value map in one task);
-``method="builtin"`` switches to Spark's ``percentile`` (fine when the number
-of distinct values per group is small) and ``method="approx"`` to
-``percentile_approx``.
+happens before every shuffle.  Exact medians / quantiles use
+``ranks.exact_quantiles`` (sketch-bracketed selection, no per-group value map
+in one task); ``method="builtin"`` switches to Spark's ``percentile`` (fine
+when the number of distinct values per group is small) and
+``method="approx"`` to ``percentile_approx``.
 """
 
 from __future__ import annotations

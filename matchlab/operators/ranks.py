@@ -1,10 +1,15 @@
-"""Exact order statistics without a single-task sort (W4 and the exact medians).
+"""Exact order statistics without a single-task sort (W4 and the exact quantiles).
 
-Everything starts from a value-count table: one row per distinct
+``exact_quantiles`` locates each target position with a mergeable sketch and
+exact bucket counts, then ranks only the few rows of the bucket that holds
+it (see its docstring).
+
+``cumulative_before`` serves the rank statistics, which need a running count
+at *every* value.  It starts from a value-count table - one row per distinct
 ``(by..., value)`` with one or more count columns (map-side combined, so a
-value repeated a billion times is one row).  ``cumulative_before`` adds, for
-every count column ``c``, ``c_before`` = total of ``c`` over strictly smaller
-values of the same ``by`` group.  It never orders a whole group in one task:
+value repeated a billion times is one row) - and adds, for every count
+column ``c``, ``c_before`` = total of ``c`` over strictly smaller values of
+the same ``by`` group, without ordering a whole group in one task:
 
 1. approximate quantiles of the distinct values (per group) give ``buckets``
    boundaries; a value's bucket is the number of boundaries below it, which
@@ -23,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import attach_one_row
+from ..session import cut_lineage
 
 DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
 MIN_BUCKETS, MAX_BUCKETS = 16, 65536
@@ -45,6 +50,16 @@ def bucket_count(spark, buckets: int | None = None, grouped: bool = False) -> in
     return min(b, MAX_GROUP_BUCKETS) if grouped else b
 
 
+def _stable(sketches: DataFrame) -> DataFrame:
+    """Freeze a (small) table of per-group sketch results.
+
+    A sketch depends on the order its inputs arrive in; if a stage were
+    recomputed after an executor loss, the bucket boundaries could change
+    between the two passes that must agree on them.  A reliable checkpoint
+    in the shared checkpoint folder pins them (groups x a few values)."""
+    return cut_lineage(sketches)
+
+
 def _const_key(df: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(0))
 
@@ -78,6 +93,14 @@ def count_below(sorted_arr: Column, v: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+def bucket_of(sorted_arr: Column, v: Column, size: int) -> Column:
+    """Elements of an ascending array below ``v``: a codegen'd sum of
+    comparisons for short arrays, the binary search for long ones."""
+    if size <= 64:
+        return sum((F.coalesce(sorted_arr[i] < v, F.lit(False))).cast("int") for i in range(size))
+    return count_below(sorted_arr, v, size)
+
+
 def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by: Sequence[str] = (),
                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``<c>_before`` for every count column (see module doc)."""
@@ -89,11 +112,11 @@ def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by:
     accuracy = min(1_000_000, 10 * buckets)
     sketch = F.percentile_approx(F.col(value).cast("double"), fr, accuracy).alias("_bounds")
     if by:
-        vb = base.join(base.groupBy(*keys).agg(sketch), keys)
+        vb = base.join(_stable(base.groupBy(*keys).agg(sketch)), keys)
     else:  # one global boundary array: a scalar subquery, no join
         vb = base.withColumn("_bounds", base.agg(sketch).scalar())
     vb = (vb
-          .withColumn("_b", count_below(F.col("_bounds"), F.col(value).cast("double"), buckets - 1))
+          .withColumn("_b", bucket_of(F.col("_bounds"), F.col(value).cast("double"), buckets - 1))
           .drop("_bounds"))
     tot = vb.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,7 +168,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     fr = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-delta, delta)})
     sketch = F.percentile_approx("_x", fr, accuracy).alias("_e")
     if by:
-        de = d.join(d.groupBy(*keys).agg(sketch), keys)
+        de = d.join(_stable(d.groupBy(*keys).agg(sketch)), keys)
     else:  # one global edge array: a scalar subquery, no join
         de = d.withColumn("_e", d.agg(sketch).scalar())
     bucket = sum((F.col("_x") > F.col("_e")[i]).cast("int") for i in range(len(fr)))
