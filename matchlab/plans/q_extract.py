@@ -25,10 +25,11 @@ best AS (SELECT cod_imovel, indice, dono_igual, id_vizinhanca, id_parte, linha F
          CASE WHEN dono_igual THEN 0 ELSE 1 END, id_vizinhanca, id_parte, linha) AS rn FROM raw_matches) WHERE rn = 1)"""
 
 
-def best_matches(spark, sf):
+def best_matches(spark, sf, raw=None):
     """J1 (join chain of the extraction) + W1 best row per property; only the
-    ordered-by columns are kept, so ties cannot change the output."""
-    r = R(spark, sf)
+    ordered-by columns are kept, so ties cannot change the output.  ``raw``
+    may be the materialised table instead of the join chain."""
+    r = R(spark, sf) if raw is None else raw
     order = [F.col("indice").desc_nulls_last(), WN.owner_first("dono_igual"), F.col("id_vizinhanca"),
              F.col("id_parte"), F.col("linha")]
     b = WN.best_per_key(r, "cod_imovel", order)
@@ -68,7 +69,7 @@ def yearly_pivot(spark, sf):
                     F.col("l_quantity").alias("area"), F.col("l_returnflag").alias("bioma")).distinct()
     des = des.withColumn("bioma", X.capitalize("bioma"))
     piv = A.yearly_pivot(des, ["cod_imovel", "bioma"], "ano", "area", YEARS)
-    best = best_matches(spark, sf)
+    best = best_matches(spark, sf, raw=M(spark, sf))
     dcols = [f"d{y}" for y in YEARS]
     j = best.join(piv, "cod_imovel", "left").fillna({c: 0.0 for c in dcols}) \
         .fillna({"bioma": NO_OVERLAP}).withColumnRenamed("bioma", "bioma_desmat") \

@@ -106,6 +106,9 @@ def feature_collection_json(features: DataFrame, id_col: str, prop: str = "sigla
 
 
 def read_features(spark: SparkSession, path: str, prop: str = "sigla") -> DataFrame:
-    """Feature-collection JSON -> one row per feature with its key property."""
-    doc = spark.read.option("multiLine", True).json(path)
+    """Feature-collection JSON -> one row per feature with its key property.
+
+    The schema is given, so no inference pass reads the document first."""
+    schema = (f"type string, features array<struct<type: string, properties: struct<{prop}: string>>>")
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
     return doc.select(F.explode("features").alias("f")).select(F.col(f"f.properties.{prop}").alias(prop))
