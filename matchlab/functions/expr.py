@@ -92,7 +92,7 @@ def band(c, edges: Sequence[float], band_labels: Sequence[str], right: bool = Fa
 
 def band_ordinal(c, band_labels: Sequence[str]) -> Column:
     """1-based position of a band label in its ordered domain (NULL if absent)."""
-    m = F.create_map(*[F.lit(v) for i, lab in enumerate(band_labels) for v in (lab, i + 1)])
+    m = F.create_map(*[F.lit(v) for i, lab in enumerate(band_labels) for v in (lab, i + 1)])  # label -> position
     return m[_c(c)]
 
 

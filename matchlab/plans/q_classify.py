@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..functions import labels as L
 from ..operators import aggregate as A
 from ..operators import classify as C
@@ -110,8 +111,7 @@ FROM s
 def cumulative_share(spark, sf):
     """Share, running offset (with a gap of 2 between cells) and centre per band."""
     f = A.freq_share(M(spark, sf), "faixa_jaccard", "n", "share")
-    f = f.withColumn("_ord", F.create_map(*[x for i, lab in enumerate(L.JACCARD_LABELS)
-                                             for x in (F.lit(lab), F.lit(i))])[F.col("faixa_jaccard")])
+    f = f.withColumn("_ord", X.band_ordinal("faixa_jaccard", L.JACCARD_LABELS))
     c = WN.cumulative_share(f, "_ord", "share", gap=2.0)
     return c.select("faixa_jaccard", r6("share"), r6("offset"), r6("centre"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import table_path
 from ..functions import expr as X
+from ..operators.joins import equality_flag
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("l_linestatus") == "O",
                F.when(F.col("l_tax") < 0.03, F.lit("true")).otherwise(F.lit("1")))
          .otherwise(F.lit("False")).alias("igualdade_txt"),
-        (F.col("c_nationkey") == F.col("s_nationkey")).alias("dono_igual"),
+        equality_flag("c_nationkey", "s_nationkey").alias("dono_igual"),  # P23
     )
 
 
