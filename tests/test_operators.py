@@ -134,3 +134,20 @@ def test_cumulative_share(spark):
     df = spark.createDataFrame([(1, 20.0), (2, 30.0), (3, 50.0)], "o int, s double")
     got = [(r["offset"], r["centre"]) for r in WN.cumulative_share(df, "o", "s", gap=1.0).orderBy("o").collect()]
     assert got == [(0.0, 10.0), (21.0, 36.0), (52.0, 77.0)]
+
+
+def test_place_filter_from_table_and_large_isin(spark):
+    df = spark.createDataFrame([("Lavras", "MG"), ("Lavras", "SP"), ("a - b", "RS"), ("Ouro", "MG")],
+                               "municipio_nome string, estado string")
+    sel = spark.createDataFrame([("Lavras - SP",), ("a - b - RS",), ("Ouro",)], "place string")
+    got = sorted(tuple(r) for r in FL.place_filter_from_table(df, sel).collect())
+    assert got == [("Lavras", "SP"), ("Ouro", "MG"), ("a - b", "RS")]
+    many = [f"x{i}" for i in range(FL.ISIN_MAX + 5)] + ["MG"]
+    assert FL.isin_or_semijoin(df, "estado", many).count() == 2
+    assert FL.isin_or_semijoin(df, "estado", ["SP", " "]).count() == 1
+
+
+def test_union_parts_all_missing(spark, tmp_path):
+    from matchlab.sources import files as S
+    bad = lambda: spark.read.parquet(str(tmp_path / "nope"))
+    assert S.union_parts({"a": bad}, "part") is None
