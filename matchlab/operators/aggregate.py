@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import high_flag
 from . import ranks
-from .joins import attach_one_row
+from .joins import attach_one_row, full_join_counts
 
 
 def _quantile_table(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str],
@@ -135,8 +136,7 @@ def area_scorecard(df: DataFrame, geo: Sequence[str], index: str = "indice", fla
     """% rows with index >= threshold (null counts as below), % owner equal,
     region of the area (deterministic min instead of first), row count."""
     d = reduce(lambda a, b: a.filter(F.col(b).isNotNull()), geo, df)
-    x = F.col(index)
-    hi = F.when(x.isNotNull() & ~F.isnan(x) & (x >= threshold), 1.0).otherwise(0.0)
+    hi = high_flag(index, threshold).cast("double")
     return d.groupBy(*geo).agg(
         (F.avg(hi) * 100).alias("pct_espacial_bom"),
         (F.avg(F.col(flag).cast("double")) * 100).alias("pct_cpf_igual"),
@@ -296,7 +296,7 @@ def count_and_first(df: DataFrame, by: Sequence[str], count_col: str, attr: str,
 def part_of_total(part: DataFrame, total: DataFrame, key: str, part_col: str, total_col: str,
                   alias: str = "pct") -> DataFrame:
     """Full join of part and total per key, zero filled, safe percentage."""
-    j = part.join(total, key, "full").fillna({part_col: 0, total_col: 0})
+    j = full_join_counts(part, total, [key], {part_col: 0, total_col: 0})
     return j.withColumn(alias, F.when(F.col(total_col) > 0, F.col(part_col) / F.col(total_col) * 100)
                         .otherwise(F.lit(0.0)))
 

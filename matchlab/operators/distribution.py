@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import group_quantiles_wide
 from .joins import attach_one_row
+from .windows import ordinal_position
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
@@ -128,8 +129,7 @@ def linear_trend(series: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     (numpy polyfit(arange(n), y, 1)); returns the series with pos, slope,
     intercept and fitted value.  Runs on an aggregated series."""
     by = list(by)
-    w = Window.partitionBy(*by).orderBy(x) if by else Window.orderBy(x)
-    s = series.filter(F.col(y).isNotNull()).withColumn("pos", F.row_number().over(w) - 1)
+    s = ordinal_position(series.filter(F.col(y).isNotNull()), x, by, "pos")
     fit = (s.groupBy(*by) if by else s.groupBy()).agg(
         F.regr_slope(F.col(y), F.col("pos").cast("double")).alias("slope"),
         F.regr_intercept(F.col(y), F.col("pos").cast("double")).alias("intercept"))

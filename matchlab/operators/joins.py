@@ -30,11 +30,6 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: s[c] for c in one_row.columns})
 
 
-def literal_domain(spark, column: str, values: Sequence, ordinal: str | None = None) -> DataFrame:
-    """A small literal table of allowed labels (with their 1-based order)."""
-    rows = [(v, i + 1) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, f"{column} string, _ord int")
-    return df if ordinal is None else df.withColumnRenamed("_ord", ordinal)
 
 
 def complete_domain(counts: DataFrame, domains: Mapping[str, Sequence], fill: Mapping[str, object],
@@ -126,16 +121,6 @@ def group_pairs(df: DataFrame, group: str) -> DataFrame:
     return a.join(b, F.col("grupo_1") < F.col("grupo_2"))
 
 
-def lookup_or_default(df: DataFrame, keys_df: DataFrame, key: str, default_label: str,
-                      out: str | None = None) -> DataFrame:
-    """Keep ``key`` when it is in ``keys_df`` else ``default_label``.
-
-    ``keys_df`` must be size-bounded (e.g. a top-k list) - it is broadcast."""
-    out = out or key
-    k = keys_df.select(F.col(key).alias("_hit_key")).distinct()
-    j = df.join(F.broadcast(k), df[key] == F.col("_hit_key"), "left")
-    return j.withColumn(out, F.when(F.col("_hit_key").isNotNull(), F.col(key))
-                        .otherwise(F.lit(default_label))).drop("_hit_key")
 
 
 def equality_flag(a: str | Column, b: str | Column) -> Column:

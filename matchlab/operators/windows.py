@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import qualified_name
+
 
 def best_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
     """DISTINCT ON (key) ... ORDER BY key, order...: the first row per key.
@@ -38,12 +40,9 @@ def states_per_name(df: DataFrame, name: str, state: str) -> DataFrame:
 def qualified_places(df: DataFrame, name: str, state: str) -> DataFrame:
     """P27: 'name - UF' when the name occurs in more than one state, else the name."""
     d = df.select(name, state).filter(F.col(name).isNotNull()).distinct()
-    n = d.groupBy(name).agg(F.count(state).alias("n_ufs"))
-    j = d.join(n, name)
-    return j.select(
-        F.when(F.col("n_ufs") > 1, F.concat_ws(" - ", F.col(name), F.col(state)))
-        .otherwise(F.col(name)).alias("place"),
-        F.col("n_ufs").cast("long").alias("n_ufs"))
+    j = d.join(states_per_name(d, name, state), name)
+    return j.select(qualified_name(name, state, "n_ufs").alias("place"),
+                    F.col("n_ufs").cast("long").alias("n_ufs"))
 
 
 def dimension_catalog(df: DataFrame, dims: Sequence[str]) -> DataFrame:

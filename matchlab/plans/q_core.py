@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions import labels as L
 from ..operators import aggregate as A
-from .common import M, R, SPEC, SPEC_SQL
-from .registry import big, query, r6
+from .common import M, SPEC, SPEC_SQL
+from .registry import query, r6
 
 _KPI_SQL_COLS = """CAST(count(*) AS BIGINT) AS total_records,
   round(coalesce(avg(indice) * 100, 0), 6) AS avg_jaccard,

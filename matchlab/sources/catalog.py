@@ -54,9 +54,3 @@ def materialized(spark: SparkSession, name: str, key: str, build, partition_by:
     df = spark.read.parquet(path)
     return df
 
-
-def forget(spark: SparkSession) -> None:
-    """Drop the registry entries of this application (files stay for the caller to clean)."""
-    app = spark.sparkContext.applicationId
-    for k in [k for k in _TABLES if k[0] == app]:
-        del _TABLES[k]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from ..operators.topk import union_all
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              header: bool = True) -> DataFrame:
@@ -88,12 +90,7 @@ def union_parts(parts: Mapping[str, Callable[[], DataFrame]], tag: str) -> DataF
         except AnalysisException:
             continue
         frames.append(df.withColumn(tag, F.lit(name)))
-    if not frames:
-        return None
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return union_all(frames) if frames else None
 
 
 def feature_collection_json(features: DataFrame, id_col: str, prop: str = "sigla") -> DataFrame:

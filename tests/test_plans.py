@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from matchlab.operators import aggregate as A
 from matchlab.operators import joins as J
-from matchlab.operators import windows as WN
 from matchlab.plans.common import M
 from matchlab.plans.q_extract import best_matches
 
