@@ -37,10 +37,18 @@ def states_per_name(df: DataFrame, name: str, state: str) -> DataFrame:
     return d.groupBy(name).agg(F.count(state).alias("n_ufs"))
 
 
-def qualified_places(df: DataFrame, name: str, state: str) -> DataFrame:
-    """P27: 'name - UF' when the name occurs in more than one state, else the name."""
+def qualified_places(df: DataFrame, name: str, state: str, row_count_parity: bool = False) -> DataFrame:
+    """P27: 'name - UF' when the name occurs in more than one state, else the name.
+
+    ``row_count_parity`` reproduces the reference's quirk instead: its window
+    count runs before DISTINCT, so any name with more than one *row* gets the
+    suffix."""
     d = df.select(name, state).filter(F.col(name).isNotNull()).distinct()
-    j = d.join(states_per_name(d, name, state), name)
+    if row_count_parity:
+        n = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n_ufs"))
+    else:
+        n = states_per_name(d, name, state)
+    j = d.join(n, name)
     return j.select(qualified_name(name, state, "n_ufs").alias("place"),
                     F.col("n_ufs").cast("long").alias("n_ufs"))
 

@@ -150,3 +150,12 @@ def test_union_parts_all_missing(spark, tmp_path):
     from matchlab.sources import files as S
     bad = lambda: spark.read.parquet(str(tmp_path / "nope"))
     assert S.union_parts({"a": bad}, "part") is None
+
+
+def test_qualified_places_intended_and_parity(spark):
+    df = spark.createDataFrame([("A", "SP"), ("A", "MG"), ("B", "SP"), ("B", "SP"), ("C", "RS")],
+                               "municipio_nome string, estado string")
+    got = sorted(r["place"] for r in WN.qualified_places(df, "municipio_nome", "estado").collect())
+    assert got == ["A - MG", "A - SP", "B", "C"]
+    quirk = sorted(r["place"] for r in WN.qualified_places(df, "municipio_nome", "estado", True).collect())
+    assert quirk == ["A - MG", "A - SP", "B - SP", "C"]
