@@ -239,15 +239,32 @@ def _fixed(c: Column, decimals: int) -> Column:
     return F.regexp_replace(F.format_number(c.cast("double"), decimals), ",", "")
 
 
-def compact_number(c, k_decimals: int = 1, m_decimals: int = 1, strict: bool = False) -> Column:
-    """>= 1e6 -> 'x.xM', >= 1e3 -> 'x.xK', else integer text.
+def compact_number(c, k_decimals: int = 1, m_decimals: int = 1, strict: bool = False, prefix: str = "",
+                   k_suffix: str = "K", m_suffix: str = "M") -> Column:
+    """>= 1e6 -> 'x.xM', >= 1e3 -> 'x.xK', else integer text, with an optional
+    prefix (currency) and suffix texts ('Mi', ' K', ...).
 
     ``strict`` uses '>' instead of '>=' (the reliability-matrix variant)."""
     x = _c(c).cast("double")
     ge = (lambda a, b: a > b) if strict else (lambda a, b: a >= b)
-    return (F.when(ge(x, 1_000_000), F.concat(_fixed(x / 1_000_000, m_decimals), F.lit("M")))
-            .when(ge(x, 1_000), F.concat(_fixed(x / 1_000, k_decimals), F.lit("K")))
-            .otherwise(_fixed(x, 0)))
+    p = F.lit(prefix)
+    return (F.when(ge(x, 1_000_000), F.concat(p, _fixed(x / 1_000_000, m_decimals), F.lit(m_suffix)))
+            .when(ge(x, 1_000), F.concat(p, _fixed(x / 1_000, k_decimals), F.lit(k_suffix)))
+            .otherwise(F.concat(p, _fixed(x, 0))))
+
+
+def value_text(c, fmt: str = "number") -> Column:
+    """Chart value label: 'percent' -> '12%', 'currency' -> 'R$1.2M' / 'R$12K' / 'R$12',
+    otherwise '1.2M' / '12K' / '12'."""
+    if fmt == "percent":
+        return pct_text(c, 0)
+    prefix = L.CURRENCY_PREFIX if fmt == "currency" else ""
+    return compact_number(c, k_decimals=0, m_decimals=1, prefix=prefix)
+
+
+def grouped_number(c, decimals: int = 0, prefix: str = "") -> Column:
+    """Thousands-separated fixed-point text ('R$1,234,568'), ties to even."""
+    return F.concat(F.lit(prefix), F.format_number(_c(c).cast("double"), decimals))
 
 
 def area_text(c) -> Column:

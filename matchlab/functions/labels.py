@@ -91,6 +91,9 @@ REGION_NAMES = {
 }
 STATUS_NAMES = {"AT": "Ativo", "PE": "Pendente", "SU": "Suspenso", "CA": "Cancelado"}
 
+# Currency prefix of value labels.
+CURRENCY_PREFIX = "R$"
+
 # Minimum-evidence limits and the "rest" label of a top-k roll-up.
 MIN_RECORDS = 1
 MIN_RECORDS_STATS = 10

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions import labels as L
 from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import topk as TK
@@ -180,11 +181,20 @@ SELECT estado,
             WHEN area / 1000 >= 1000 THEN printf('%.1f mil ha', area / 1000 / 1000)
             ELSE printf('%.0f ha', area / 1000) END AS area_units,
        printf('%.1f%%', pct) AS pct_txt,
-       estado || ' (' || CAST(n AS VARCHAR) || ' - ' || printf('%.1f', pct) || '%)' AS label
+       estado || ' (' || CAST(n AS VARCHAR) || ' - ' || printf('%.1f', pct) || '%)' AS label,
+       CASE WHEN area >= 1000000 THEN printf('R$%.1fM', area / 1000000) WHEN area >= 1000 THEN printf('R$%.0fK', area / 1000)
+            ELSE printf('R$%.0f', area) END AS area_currency,
+       CASE WHEN n >= 1000000 THEN printf('%.1fMi', n / 1000000.0) WHEN n >= 1000 THEN printf('%.0fK', n / 1000.0)
+            ELSE printf('%.0f', CAST(n AS DOUBLE)) END AS n_k,
+       CASE WHEN n >= 1000000 THEN printf('%.1f M', n / 1000000.0) WHEN n >= 1000 THEN printf('%.0f K', n / 1000.0)
+            ELSE printf('%.0f', CAST(n AS DOUBLE)) END AS n_spaced,
+       printf('R$%,.0f', area) AS area_grouped,
+       printf('%.0f%%', pct) AS pct0
 FROM t
 """)
 def compact_numbers(spark, sf):
-    """Compact K/M texts, unit choice, percent suffix, 'label (n - p%)'."""
+    """Compact K/M texts (several suffix / decimal variants, currency
+    prefix), unit choice, percent suffix, thousands separators, 'label (n - p%)'."""
     s = A.group_size(M(spark, sf), ["estado"]).join(
         M(spark, sf).groupBy("estado").agg(F.sum("area_a").alias("area")), "estado")
     tot = s.agg(F.sum("n").alias("_tot"))
@@ -193,4 +203,9 @@ def compact_numbers(spark, sf):
                     X.compact_number("n").alias("n_compact"),
                     X.area_text(F.col("area") / 1000).alias("area_units"),
                     X.pct_text("pct").alias("pct_txt"),
-                    X.count_share_text("estado", "n", "pct").alias("label"))
+                    X.count_share_text("estado", "n", "pct").alias("label"),
+                    X.value_text("area", "currency").alias("area_currency"),
+                    X.compact_number("n", k_decimals=0, m_suffix="Mi").alias("n_k"),
+                    X.compact_number("n", k_decimals=0, k_suffix=" K", m_suffix=" M").alias("n_spaced"),
+                    X.grouped_number("area", 0, L.CURRENCY_PREFIX).alias("area_grouped"),
+                    X.value_text("pct", "percent").alias("pct0"))

@@ -125,3 +125,23 @@ def test_relative_diff_zero_divisor(spark):
     df = spark.createDataFrame([(10.0, 0.0), (11.0, 10.0)], "a double, b double")
     got = [r[0] for r in df.select(X.relative_diff_pct("a", "b")).collect()]
     assert got[0] is None and got[1] == pytest.approx(10.0)
+
+
+def test_value_text_matches_python_formats(spark):
+    vals = [5.0, 999.0, 1500.0, 2500.0, 999_999.0, 1_250_000.0, 12.5]
+
+    def fmt(val, kind):
+        if kind == "percent":
+            return f"{val:.0f}%"
+        pre = "R$" if kind == "currency" else ""
+        if val >= 1_000_000:
+            return f"{pre}{val/1_000_000:.1f}M"
+        if val >= 1_000:
+            return f"{pre}{val/1_000:.0f}K"
+        return f"{pre}{val:.0f}"
+    df = _col(spark, vals)
+    for kind in ("percent", "currency", "number"):
+        got = [r[0] for r in df.select(X.value_text("x", kind)).collect()]
+        assert got == [fmt(v, kind) for v in vals], kind
+    got = [r[0] for r in df.select(X.grouped_number("x", 0, "R$")).collect()]
+    assert got == [f"R${v:,.0f}" for v in vals]
