@@ -220,8 +220,34 @@ def first_token(c) -> Column:
 
 
 def code2(c) -> Column:
-    """First two characters, upper case."""
-    return F.upper(F.substring(F.trim(_c(c)), 1, 2))
+    """First two characters, upper case (``s[:2].upper()``)."""
+    return F.upper(F.substring(_c(c), 1, 2))
+
+
+def state_code(c) -> Column:
+    """First space-separated token when the text has a space, else its first two characters."""
+    c = _c(c)
+    return F.when(c.contains(" "), F.split(c, " ").getItem(0)).otherwise(F.substring(c, 1, 2))
+
+
+def title_case(c) -> Column:
+    """Python ``str.title()``: lower-case, then upper-case every letter that
+    follows a non-letter (``initcap`` only splits on spaces).  A fold over the
+    characters of each (short) label."""
+    low = F.lower(_c(c))
+    chars = F.split(F.substring(low, 2, 1 << 30), "")
+    init = F.struct(F.upper(F.substring(low, 1, 1)).alias("out"),
+                    F.substring(low, 1, 1).rlike(r"\p{L}").alias("prev"))
+
+    def step(acc, ch):
+        return F.struct(F.concat(acc["out"], F.when(acc["prev"], ch).otherwise(F.upper(ch))).alias("out"),
+                        ch.rlike(r"\p{L}").alias("prev"))
+    return F.when(low.isNull(), F.lit(None).cast("string")).otherwise(F.aggregate(chars, init, step)["out"])
+
+
+def display_name(c, mapping: Mapping) -> Column:
+    """Display label: dictionary value, else the title-cased code (``d.get(k, k.title())``)."""
+    return F.coalesce(_map_expr(mapping)[_c(c)], title_case(c))
 
 
 # --- P20, P21 -------------------------------------------------------------

@@ -273,25 +273,37 @@ def map_default(spark, sf):
 
 # --- P17, P29: text normalisation ------------------------------------------------------------
 
+_TITLE = ("CASE WHEN {c} IS NULL THEN NULL WHEN length({c}) = 0 THEN '' ELSE list_reduce("
+          "list_prepend(upper(substr(lower({c}), 1, 1)), str_split(substr(lower({c}), 2), '')), "
+          "lambda acc, ch: acc || CASE WHEN regexp_matches(right(acc, 1), '\\p{{L}}') THEN ch ELSE upper(ch) END) END")
+
+
 def _code_sql(col, src, table):
     return (f"SELECT '{src}' AS source, upper(substr({col}, 1, 1)) || lower(substr({col}, 2)) AS cap, "
             f"replace(replace(lower(trim({col})), '-', '_'), ' ', '_') AS slug, "
-            f"split_part(trim({col}), ' ', 1) AS token, upper(substr(trim({col}), 1, 2)) AS code2, "
+            f"split_part(trim({col}), ' ', 1) AS token, upper(substr({col}, 1, 2)) AS code2, "
+            f"{_TITLE.format(c=col)} AS title, "
+            f"CASE WHEN contains({col}, ' ') THEN split_part({col}, ' ', 1) ELSE substr({col}, 1, 2) END AS sigla, "
             f"CAST(count(*) AS BIGINT) AS n FROM {table} GROUP BY ALL")
 
 
 @query("code_text", _code_sql("p_name", "part", "part") + " UNION ALL " +
-       _code_sql("o_orderpriority", "orders", "orders"))
+       _code_sql("o_orderpriority", "orders", "orders") + " UNION ALL " +
+       _code_sql("r_name", "region", "region"))
 def code_text(spark, sf):
-    """P17 capitalise, P29 slug / first token / 2-char code."""
+    """P17 capitalise; P29 slug, first token, 2-char code, Python-style title
+    case and the state-code fallback (token when spaced, else 2 chars)."""
     from .common import T
 
     def one(df, col, src):
         return (df.select(F.lit(src).alias("source"), X.capitalize(col).alias("cap"), X.slug(col).alias("slug"),
-                          X.first_token(col).alias("token"), X.code2(col).alias("code2"))
-                .groupBy("source", "cap", "slug", "token", "code2").agg(F.count(F.lit(1)).alias("n")))
-    return one(T(spark, sf, "part"), "p_name", "part").unionByName(
-        one(T(spark, sf, "orders"), "o_orderpriority", "orders"))
+                          X.first_token(col).alias("token"), X.code2(col).alias("code2"),
+                          X.title_case(col).alias("title"), X.state_code(col).alias("sigla"))
+                .groupBy("source", "cap", "slug", "token", "code2", "title", "sigla")
+                .agg(F.count(F.lit(1)).alias("n")))
+    return (one(T(spark, sf, "part"), "p_name", "part")
+            .unionByName(one(T(spark, sf, "orders"), "o_orderpriority", "orders"))
+            .unionByName(one(T(spark, sf, "region"), "r_name", "region")))
 
 
 # --- P1-P3, P24: projection ------------------------------------------------------------------

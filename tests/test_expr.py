@@ -145,3 +145,15 @@ def test_value_text_matches_python_formats(spark):
         assert got == [fmt(v, kind) for v in vals], kind
     got = [r[0] for r in df.select(X.grouped_number("x", 0, "R$")).collect()]
     assert got == [f"R${v:,.0f}" for v in vals]
+
+
+def test_title_case_and_codes_match_python(spark):
+    vals = ["centro_oeste", "MIDDLE EAST", "4-NOT SPECIFIED", "they're here", "a", "", "x1y"]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x string")
+    rows = df.select(X.title_case("x"), X.state_code("x"), X.code2("x")).collect()
+    assert [r[0] for r in rows] == [v.title() for v in vals] + [None]
+    assert [r[1] for r in rows][:len(vals)] == [v.split(" ")[0] if " " in v else v[:2] for v in vals]
+    assert [r[2] for r in rows][:len(vals)] == [v[:2].upper() for v in vals]
+    m = {"centro_oeste": "Centro-Oeste"}
+    got = [r[0] for r in df.select(X.display_name("x", m)).collect()][:2]
+    assert got == ["Centro-Oeste", "Middle East"]
