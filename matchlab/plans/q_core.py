@@ -313,9 +313,12 @@ SELECT regiao_analise, uf, fonte, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT regiao AS regiao_analise, estado AS uf, 'matches' AS fonte FROM matches) GROUP BY ALL
 """)
 def project_rename(spark, sf):
-    """P1 aliases, P2 rename, P3 prune, P24 literal tag."""
+    """P1 aliases, P2 rename (by name and positional), P3 prune and drop, P24 literal tag."""
     m = M(spark, sf)
     p = (m.select("*", F.col("regiao").alias("regiao_analise"), F.lit("matches").alias("fonte"))
          .withColumnsRenamed({"estado": "uf"})
-         .select("regiao_analise", "uf", "fonte"))
+         .select("regiao_analise", "uf", "fonte", "tipo_imovel")
+         .drop("tipo_imovel")
+         .toDF("r", "u", "f")                      # positional rename
+         .toDF("regiao_analise", "uf", "fonte"))
     return p.groupBy("regiao_analise", "uf", "fonte").agg(F.count(F.lit(1)).alias("n"))
