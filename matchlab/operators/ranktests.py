@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels as L
 from . import ranks
-from .aggregate import group_median
-from .joins import attach_one_row
+from .joins import attach_one_row, scalar_struct
 
 
 def _clean(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -46,11 +45,17 @@ def group_labels(df: DataFrame, group: str) -> list[str]:
     return [r["g"] for r in rows]
 
 
-def wide_cumulative(df: DataFrame, group: str, value: str, groups: Sequence[str]) -> DataFrame:
-    """(value _v, c_0..c_{k-1}, c_all, and their *_before cumulative counts)."""
+def wide_counts(df: DataFrame, group: str, value: str, groups: Sequence[str]) -> DataFrame:
+    """(value _v, c_0..c_{k-1}, c_all): per-value counts of every group (map-side combined)."""
     d = _clean(df, group, value)
     aggs = [F.sum(F.when(F.col("_g") == g, 1).otherwise(0)).alias(f"c_{i}") for i, g in enumerate(groups)]
-    w = d.groupBy("_v").agg(*aggs, F.count(F.lit(1)).alias("c_all"))
+    return d.groupBy("_v").agg(*aggs, F.count(F.lit(1)).alias("c_all"))
+
+
+def wide_cumulative(df: DataFrame, group: str, value: str, groups: Sequence[str],
+                    w: DataFrame | None = None) -> DataFrame:
+    """``wide_counts`` plus the ``*_before`` cumulative count of every column."""
+    w = wide_counts(df, group, value, groups) if w is None else w
     cols = [f"c_{i}" for i in range(len(groups))] + ["c_all"]
     return ranks.cumulative_before(w, "_v", cols)
 
@@ -90,38 +95,43 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 def mann_whitney_pairs(df: DataFrame, group: str, value: str, groups: Sequence[str] | None = None,
                        with_medians: bool = True) -> DataFrame:
     """K3 (J8 pairs g1 < g2): U of the first group, n1, n2, tie term, rank-biserial
-    r = 1 - 2U/(n1 n2) and the median difference."""
+    r = 1 - 2U/(n1 n2) and the median difference.
+
+    One aggregation over the wide cumulative table gives every pair's U and
+    tie term and, from the same cumulative counts, every group's exact median
+    (the value(s) whose running count spans position (n - 1) / 2)."""
     groups = list(groups) if groups is not None else group_labels(_clean(df, group, value), "_g")
     k = len(groups)
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "grupo_1 string, grupo_2 string, u double, n1 long, n2 long, ties double, r_effect double")
-    wc = wide_cumulative(df, group, value, groups)
+    w = wide_counts(df, group, value, groups)
+    wc = wide_cumulative(df, group, value, groups, w)
+    ns = scalar_struct(w.agg(*[F.sum(f"c_{i}").alias(f"n_{i}") for i in range(k)]))
     aggs = []
     for i in range(k):
         aggs.append(F.sum(f"c_{i}").alias(f"n_{i}"))
+        if with_medians:
+            pos = (ns[f"n_{i}"] - 1) / 2.0
+            for name, p in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+                cover = (F.col(f"c_{i}_before") <= p) & (p < F.col(f"c_{i}_before") + F.col(f"c_{i}"))
+                aggs.append(F.max(F.when(cover, F.col("_v"))).alias(f"m{name}_{i}"))
     for i, j in pairs:
         ci, cj, bj = F.col(f"c_{i}"), F.col(f"c_{j}"), F.col(f"c_{j}_before")
         aggs.append(F.sum(ci * (bj + cj / 2.0)).alias(f"U_{i}_{j}"))
         t = (ci + cj).cast("double")
         aggs.append(F.sum(t * t * t - t).alias(f"T_{i}_{j}"))
     s = wc.agg(*aggs)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(groups[i]).alias("grupo_1"), F.lit(groups[j]).alias("grupo_2"),
-                 F.col(f"U_{i}_{j}").alias("u"), F.col(f"n_{i}").alias("n1"), F.col(f"n_{j}").alias("n2"),
-                 F.col(f"T_{i}_{j}").alias("ties"))
-        for i, j in pairs]))
+    # median = mean of the two middle values (linear interpolation at 0.5)
+    med = {i: (F.col(f"mlo_{i}") + F.col(f"mhi_{i}")) / 2.0 for i in range(k)} if with_medians else {}
+    fields = lambda i, j: [
+        F.lit(groups[i]).alias("grupo_1"), F.lit(groups[j]).alias("grupo_2"),
+        F.col(f"U_{i}_{j}").alias("u"), F.col(f"n_{i}").alias("n1"), F.col(f"n_{j}").alias("n2"),
+        F.col(f"T_{i}_{j}").alias("ties")] + ([(med[i] - med[j]).alias("delta_mediana")] if with_medians else [])
+    rows = F.explode(F.array(*[F.struct(*fields(i, j)) for i, j in pairs]))
     out = s.select(rows.alias("p")).select("p.*")
-    out = out.withColumn("r_effect", 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")))
-    if with_medians:
-        d = _clean(df, group, value)
-        med = group_median(d, ["_g"], "_v", "median")
-        m1 = med.select(F.col("_g").alias("grupo_1"), F.col("median").alias("_m1"))
-        m2 = med.select(F.col("_g").alias("grupo_2"), F.col("median").alias("_m2"))
-        out = out.join(m1, "grupo_1", "left").join(m2, "grupo_2", "left") \
-            .withColumn("delta_mediana", F.col("_m1") - F.col("_m2")).drop("_m1", "_m2")
-    return out
+    return out.withColumn("r_effect", 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")))
 
 
 # --- p-values: tiny Arrow UDFs over result rows -------------------------------------------
