@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import group_quantiles_wide
@@ -130,8 +130,10 @@ def linear_trend(series: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     intercept and fitted value.  Runs on an aggregated series."""
     by = list(by)
     s = ordinal_position(series.filter(F.col(y).isNotNull()), x, by, "pos")
-    fit = (s.groupBy(*by) if by else s.groupBy()).agg(
-        F.regr_slope(F.col(y), F.col("pos").cast("double")).alias("slope"),
-        F.regr_intercept(F.col(y), F.col("pos").cast("double")).alias("intercept"))
-    j = s.join(fit, by) if by else attach_one_row(s, fit)
-    return j.withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("pos"))
+    # the fit is a window aggregate over each (aggregated) series: one pass,
+    # no second copy of the series plan
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    pos = F.col("pos").cast("double")
+    return (s.withColumn("slope", F.regr_slope(F.col(y), pos).over(w))
+            .withColumn("intercept", F.regr_intercept(F.col(y), pos).over(w))
+            .withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("pos")))
