@@ -124,6 +124,8 @@ def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by:
                                     for c in count_cols])
     wi = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     vb = vb.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in count_cols])
+    if not by:  # one row per bucket: at most ``buckets`` rows
+        tot = F.broadcast(tot)
     out = vb.join(tot, keys + ["_b"]).select(
         *[c for c in vc.columns],
         *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in count_cols])
@@ -183,6 +185,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     inside = lambda p: (F.col("_off") <= F.col(p)) & (F.col(p) < F.col("_off") + F.col("_bt"))
     t = t.filter(inside("_lo") | inside("_hi"))
     target = t.select(*keys, "_b").distinct()
+    if not by:  # at most 2 x len(qs) target buckets: a proven bound
+        t, target = F.broadcast(t), F.broadcast(target)
     sel = db.join(target, keys + ["_b"], "left_semi")
     vc = sel.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
     wi = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
