@@ -16,7 +16,7 @@ SPEC_SQL = ("regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Me
 def M(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived fact table, materialised once per application."""
     return catalog.materialized(spark, "matches", sf_dir, lambda: fixtures.matches(spark, sf_dir),
-                                partition_by=("regiao",))
+                                partition_by=("regiao",), cluster_by=("estado", "municipio_nome"))
 
 
 def R(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,15 @@ def _exists(path: str) -> bool:
 
 
 def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (),
-                max_records_per_file: int | None = None) -> str:
-    """Write ``df`` under the shared checkpoint folder and return the path."""
+                max_records_per_file: int | None = None, cluster_by: tuple[str, ...] = ()) -> str:
+    """Write ``df`` under the shared checkpoint folder and return the path.
+
+    ``cluster_by`` sorts rows inside each write task (no shuffle), so the
+    Parquet row-group min/max statistics let filters on those columns skip
+    row groups."""
     spark = df.sparkSession
+    if cluster_by:
+        df = df.sortWithinPartitions(*partition_by, *cluster_by)
     base = checkpoint_dir(spark)
     path = os.path.join(base, "matchlab-tables", f"{name}-{uuid.uuid4().hex[:12]}")
     w = df.write.mode("overwrite")
@@ -41,15 +47,15 @@ def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (),
     return path
 
 
-def materialized(spark: SparkSession, name: str, key: str, build, partition_by: tuple[str, ...] = ()
-                 ) -> DataFrame:
+def materialized(spark: SparkSession, name: str, key: str, build, partition_by: tuple[str, ...] = (),
+                 cluster_by: tuple[str, ...] = ()) -> DataFrame:
     """Build-once table per (application, name, key); later calls read the files."""
     app = spark.sparkContext.applicationId
     k = (app, f"{name}:{key}")
     path = _TABLES.get(k)
     if path is None or not _exists(path):
         digest = hashlib.sha1(key.encode()).hexdigest()[:8]
-        path = write_table(build(), f"{name}-{digest}", partition_by)
+        path = write_table(build(), f"{name}-{digest}", partition_by, cluster_by=cluster_by)
         _TABLES[k] = path
     df = spark.read.parquet(path)
     return df
