@@ -32,10 +32,8 @@ from ..session import cut_lineage
 
 DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
 MIN_BUCKETS, MAX_BUCKETS = 16, 65536
-
-
 MAX_GROUP_BUCKETS = 256
-DEFAULT_ACCURACY = 100_000  # relative rank error of the bracketing sketch
+DEFAULT_ACCURACY = 100_000  # 1 / relative rank error of the bracketing sketch
 
 
 def bucket_count(spark, buckets: int | None = None, grouped: bool = False) -> int:

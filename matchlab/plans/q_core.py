@@ -296,11 +296,14 @@ def code_text(spark, sf):
     from .common import T
 
     def one(df, col, src):
-        return (df.select(F.lit(src).alias("source"), X.capitalize(col).alias("cap"), X.slug(col).alias("slug"),
+        # the text functions depend on the value only: evaluate them once per
+        # distinct value (map-side counted), then add the counts up
+        vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+        return (vc.select(F.lit(src).alias("source"), X.capitalize(col).alias("cap"), X.slug(col).alias("slug"),
                           X.first_token(col).alias("token"), X.code2(col).alias("code2"),
-                          X.title_case(col).alias("title"), X.state_code(col).alias("sigla"))
+                          X.title_case(col).alias("title"), X.state_code(col).alias("sigla"), "_c")
                 .groupBy("source", "cap", "slug", "token", "code2", "title", "sigla")
-                .agg(F.count(F.lit(1)).alias("n")))
+                .agg(F.sum("_c").alias("n")))
     return (one(T(spark, sf, "part"), "p_name", "part")
             .unionByName(one(T(spark, sf, "orders"), "o_orderpriority", "orders"))
             .unionByName(one(T(spark, sf, "region"), "r_name", "region")))
