@@ -79,16 +79,18 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_matches(raw: DataFrame, index: str = "indice", owner_text: str = "igualdade_txt",
                    date_text: str = "data_cadastro_imovel", size: str = "num_modulo",
                    area_a: str = "area_a", area_b: str = "area_b") -> DataFrame:
-    """Derived columns of the fact table (computed once, lazily, in one projection)."""
-    return raw.select(
-        "*",
-        X.truthy_flag(owner_text).alias("cpf_ok"),
-        X.truthy_label(owner_text).alias("label_cpf"),
-        X.year_from_text(date_text).alias("ano_cadastro"),
-        X.jaccard_band(index).alias("faixa_jaccard"),
-        X.size_class(size, decimal_round=False).alias("class_tam_imovel"),
-        X.relative_diff_pct(area_a, area_b).alias("discrepancia"),
-    )
+    """Derived columns of the fact table (computed once, lazily, in one projection).
+
+    ``withColumns`` replaces a column the raw file already carries (e.g. a
+    previously derived ``ano_cadastro``) instead of duplicating it."""
+    return raw.withColumns({
+        "cpf_ok": X.truthy_flag(owner_text),
+        "label_cpf": X.truthy_label(owner_text),
+        "ano_cadastro": X.year_from_text(date_text),
+        "faixa_jaccard": X.jaccard_band(index),
+        "class_tam_imovel": X.size_class(size, decimal_round=False),
+        "discrepancia": X.relative_diff_pct(area_a, area_b),
+    })
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,16 @@ def test_entry_and_registry(spark):
     assert len(rows) == 2 and df.columns[0] == "variant"
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 60
+
+
+def test_derive_replaces_existing_columns(spark):
+    from matchlab.sources import fixtures
+    raw = spark.createDataFrame(
+        [("true", "2020-01-02", 0.9, 3, 10.0, 8.0, 1999)],
+        "igualdade_txt string, data_cadastro_imovel string, indice double, num_modulo int, "
+        "area_a double, area_b double, ano_cadastro int")
+    d = fixtures.derive_matches(raw)
+    assert d.columns.count("ano_cadastro") == 1
+    r = d.collect()[0]
+    assert r["ano_cadastro"] == 2020 and r["cpf_ok"] == 1 and r["faixa_jaccard"] == "85-100%"
+    assert r["discrepancia"] == 25.0
