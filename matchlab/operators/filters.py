@@ -165,6 +165,23 @@ def complete_groups(membership: DataFrame, selected: DataFrame, group: str, memb
             .select(group))
 
 
+def context_rows(df: DataFrame, spec: FilterSpec) -> DataFrame:
+    """the panorama behind a state-filtered view: the spec with the state
+    filter relaxed to the regions all of whose states are selected (F10);
+    when no region is complete, the state-filtered rows themselves.
+
+    Both branches are planned lazily; the fallback is gated by a scalar
+    count of complete regions, so no driver round trip decides it."""
+    c = spec.cols
+    membership = df.select(c.region, c.state).filter(F.col(c.region).isNotNull() & F.col(c.state).isNotNull())
+    selected = df.sparkSession.createDataFrame([(s,) for s in spec.states], f"{c.state} string")
+    comp = complete_groups(membership, selected, c.region, c.state)
+    relaxed = spec.relax_states().apply(df).join(comp, c.region, "left_semi")
+    n_comp = comp.agg(F.count(F.lit(1))).scalar()
+    fallback = replace(spec, regions=(), places=()).apply(df).filter(n_comp == 0)
+    return relaxed.unionByName(fallback)
+
+
 def guard_min_rows(df: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """return ``df`` only when it has >= k rows (> k with strict); else empty.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import filters as FL
 from ..operators import windows as WN
-from ..operators.joins import attach_one_row
 from .common import M
 from .registry import query, r6
 
@@ -140,21 +139,14 @@ WHERE regiao IN ({_COMPLETE_SQL}) AND class_tam_imovel IN ('Pequeno','Medio','Gr
 GROUP BY ALL
 UNION ALL
 SELECT regiao, faixa_jaccard, CAST(count(*) AS BIGINT) AS n FROM matches
-WHERE estado IN ({_STATES_SQL}) AND NOT EXISTS ({_COMPLETE_SQL})
+WHERE estado IN ({_STATES_SQL}) AND class_tam_imovel IN ('Pequeno','Medio','Grande') AND NOT EXISTS ({_COMPLETE_SQL})
 GROUP BY ALL
 """)
 def context_panorama(spark, sf):
     """region x band with the state filter relaxed to the complete regions;
     falls back to the state-filtered rows when no region is complete."""
-    m = M(spark, sf)
     spec = FL.FilterSpec.of(states=STATE_SELECTION, sizes=["Pequeno", "Medio", "Grande"])
-    membership = m.select("regiao", "estado").filter(F.col("regiao").isNotNull() & F.col("estado").isNotNull())
-    comp = FL.complete_groups(membership, _selected_states(spark), "regiao", "estado")
-    relaxed = spec.relax_states().apply(m).join(comp, "regiao", "left_semi")
-    n_comp = comp.agg(F.count(F.lit(1)).alias("_nc"))
-    fallback = attach_one_row(FL.FilterSpec.of(states=STATE_SELECTION).apply(m), n_comp) \
-        .filter(F.col("_nc") == 0).drop("_nc")
-    rows = relaxed.unionByName(fallback)
+    rows = FL.context_rows(M(spark, sf), spec)
     return rows.groupBy("regiao", "faixa_jaccard").agg(F.count(F.lit(1)).alias("n"))
 
 

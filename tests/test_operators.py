@@ -159,3 +159,16 @@ def test_qualified_places_intended_and_parity(spark):
     assert got == ["A - MG", "A - SP", "B", "C"]
     quirk = sorted(r["place"] for r in WN.qualified_places(df, "municipio_nome", "estado", True).collect())
     assert quirk == ["A - MG", "A - SP", "B - SP", "C"]
+
+
+def test_context_rows_relaxed_and_fallback(spark):
+    df = spark.createDataFrame([("N", "AC", "P"), ("N", "AM", "P"), ("S", "PR", "G"), ("S", "RS", "P"),
+                                ("N", "AC", "G")], "regiao string, estado string, class_tam_imovel string")
+    # every state of N selected: panorama = all rows of N with the other filters kept
+    spec = FL.FilterSpec.of(states=["AC", "AM", "PR"], sizes=["P"])
+    got = sorted(tuple(r) for r in FL.context_rows(df, spec).collect())
+    assert got == [("N", "AC", "P"), ("N", "AM", "P")]
+    # no complete region: fall back to the state-filtered rows
+    spec2 = FL.FilterSpec.of(states=["AC", "PR"], sizes=["P", "G"])
+    got2 = sorted(tuple(r) for r in FL.context_rows(df, spec2).collect())
+    assert got2 == [("N", "AC", "G"), ("N", "AC", "P"), ("S", "PR", "G")]
