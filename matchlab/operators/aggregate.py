@@ -118,6 +118,20 @@ def distinct_then_sum(df: DataFrame, year: str, grain: Sequence[str], total: str
             .groupBy(year).agg(F.sum("_t").alias(alias)))
 
 
+def registered_totals_by_year(df: DataFrame, spec, year: str = "ano_cadastro", place_key: str = "idt_municipio",
+                              state: str = "estado", place_total: str = "total_cars_municipio",
+                              state_total: str = "total_cars_cadastrados", alias: str = "total_cars") -> DataFrame:
+    """A4 with its grain rule: per-place totals when places are selected,
+    per-state totals otherwise; only the geographic part of the filter spec
+    applies (size / status are not, as in the reference, survey Q17)."""
+    from .filters import FilterSpec
+    geo = FilterSpec(regions=spec.regions, states=spec.states, places=spec.places, cols=spec.cols).resolved()
+    d = geo.apply(df)
+    if spec.places:
+        return distinct_then_sum(d, year, [place_key], place_total, alias)
+    return distinct_then_sum(d, year, [state], state_total, alias)
+
+
 # --- A5, A6, A7: grouped statistics -----------------------------------------
 
 def group_median(df: DataFrame, by: Sequence[str], value: str, alias: str = "median",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import labels as L
 from ..operators import aggregate as A
+from ..operators import filters as FL
 from ..operators import joins as J
 from ..operators import topk as TK
 from ..operators import windows as WN
@@ -88,11 +89,10 @@ GROUP BY 2
 """)
 def distinct_then_sum(spark, sf):
     """A4: dedupe (year, grain, total) then sum per year; place grain when places are
-    selected, state grain otherwise."""
+    selected, state grain otherwise; size / status filters do not apply."""
     e = enriched(spark, sf)
-    p = A.distinct_then_sum(e.filter(F.col("municipio_nome").isin("007", "123", "456")), "ano_cadastro",
-                            ["idt_municipio"], "total_cars_municipio")
-    s = A.distinct_then_sum(e, "ano_cadastro", ["estado"], "total_cars_cadastrados")
+    p = A.registered_totals_by_year(e, FL.FilterSpec.of(places=["007", "123", "456"], sizes=["Pequeno"]))
+    s = A.registered_totals_by_year(e, FL.FilterSpec.of(statuses=["F"]))
     return (p.select(F.lit("place").alias("grain"), "ano_cadastro", F.col("total_cars").cast("long"))
             .unionByName(s.select(F.lit("state").alias("grain"), "ano_cadastro",
                                   F.col("total_cars").cast("long"))))
