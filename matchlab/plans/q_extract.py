@@ -170,7 +170,8 @@ def preview_sample(spark, sf):
 
 
 @query("compact_numbers", extra_ctes="""
-s AS (SELECT estado, sum(area_a) AS area, count(*) AS n FROM matches WHERE estado IS NOT NULL GROUP BY 1),
+s AS (SELECT estado, sum(area_a) AS area, sum(CAST(round(area_a * 100) AS BIGINT)) AS area_cents, count(*) AS n
+      FROM matches WHERE estado IS NOT NULL GROUP BY 1),
 t AS (SELECT *, n * 100.0 / sum(n) OVER () AS pct FROM s)""", sql="""
 SELECT estado,
        CASE WHEN area >= 1000000 THEN printf('%.1fM', area / 1000000) WHEN area >= 1000 THEN printf('%.1fK', area / 1000)
@@ -188,15 +189,19 @@ SELECT estado,
             ELSE printf('%.0f', CAST(n AS DOUBLE)) END AS n_k,
        CASE WHEN n >= 1000000 THEN printf('%.1f M', n / 1000000.0) WHEN n >= 1000 THEN printf('%.0f K', n / 1000.0)
             ELSE printf('%.0f', CAST(n AS DOUBLE)) END AS n_spaced,
-       printf('R$%,.0f', area) AS area_grouped,
+       printf('R$%,.0f', area_cents / 100.0) AS area_grouped,
        printf('%.0f%%', pct) AS pct0
 FROM t
 """)
 def compact_numbers(spark, sf):
     """Compact K/M texts (several suffix / decimal variants, currency
     prefix), unit choice, percent suffix, thousands separators, 'label (n - p%)'."""
+    # area_cents: the same total summed exactly in integer cents, so a total
+    # ending in .50 rounds the same way on every engine and partitioning
     s = A.group_size(M(spark, sf), ["estado"]).join(
-        M(spark, sf).groupBy("estado").agg(F.sum("area_a").alias("area")), "estado")
+        M(spark, sf).groupBy("estado").agg(
+            F.sum("area_a").alias("area"),
+            F.sum(F.round(F.col("area_a") * 100).cast("long")).alias("area_cents")), "estado")
     tot = s.agg(F.sum("n").alias("_tot"))
     t = J.attach_one_row(s, tot).withColumn("pct", F.col("n") * 100.0 / F.col("_tot"))
     return t.select("estado", X.compact_number("area").alias("area_compact"),
@@ -207,5 +212,5 @@ def compact_numbers(spark, sf):
                     X.value_text("area", "currency").alias("area_currency"),
                     X.compact_number("n", k_decimals=0, m_suffix="Mi").alias("n_k"),
                     X.compact_number("n", k_decimals=0, k_suffix=" K", m_suffix=" M").alias("n_spaced"),
-                    X.grouped_number("area", 0, L.CURRENCY_PREFIX).alias("area_grouped"),
+                    X.grouped_number(F.col("area_cents") / 100, 0, L.CURRENCY_PREFIX).alias("area_grouped"),
                     X.value_text("pct", "percent").alias("pct0"))
