@@ -172,3 +172,28 @@ def test_context_rows_relaxed_and_fallback(spark):
     spec2 = FL.FilterSpec.of(states=["AC", "PR"], sizes=["P", "G"])
     got2 = sorted(tuple(r) for r in FL.context_rows(df, spec2).collect())
     assert got2 == [("N", "AC", "G"), ("N", "AC", "P"), ("S", "PR", "G")]
+
+
+def test_registered_totals_grain_rule(spark):
+    rows = [("N", "AC", "x", 1, 2020, 10, 100, "P"), ("N", "AC", "x", 1, 2020, 10, 100, "G"),
+            ("N", "AC", "y", 2, 2020, 5, 100, "P"), ("S", "PR", "z", 3, 2021, 7, 40, "P")]
+    df = spark.createDataFrame(rows, "regiao string, estado string, municipio_nome string, idt_municipio long, "
+                                     "ano_cadastro int, total_cars_municipio long, total_cars_cadastrados long, "
+                                     "class_tam_imovel string")
+    by_place = {r["ano_cadastro"]: r["total_cars"] for r in
+                A.registered_totals_by_year(df, FL.FilterSpec.of(places=["x", "y"], sizes=["G"])).collect()}
+    assert by_place == {2020: 15}          # place grain, duplicates counted once, size filter ignored
+    by_state = {r["ano_cadastro"]: r["total_cars"] for r in
+                A.registered_totals_by_year(df, FL.FilterSpec.of(statuses=["A"])).collect()}
+    assert by_state == {2020: 100, 2021: 40}
+
+
+def test_match_rate_and_two_way(spark):
+    ents = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "k long, g string")
+    hits = spark.createDataFrame([(1,), (1,), (3,)], "k long")
+    r = {x["g"]: x["pct"] for x in A.match_rate(ents, "k", "g", hits, "pct").collect()}
+    assert r == {"A": 50.0, "B": 100.0}
+    other = spark.createDataFrame([("A", 80.0), ("C", 10.0)], "g string, pct2 double")
+    both = {x["g"]: (x["pct"], x["pct2"]) for x in A.two_way_match(A.match_rate(ents, "k", "g", hits, "pct"),
+                                                                   other, "g").collect()}
+    assert both == {"A": (50.0, 80.0), "B": (100.0, None), "C": (None, 10.0)}
