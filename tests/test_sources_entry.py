@@ -53,3 +53,11 @@ def test_derive_replaces_existing_columns(spark):
     r = d.collect()[0]
     assert r["ano_cadastro"] == 2020 and r["cpf_ok"] == 1 and r["faixa_jaccard"] == "85-100%"
     assert r["discrepancia"] == 25.0
+
+
+def test_entry_schema_is_stable(spark):
+    import __spark_entry__ as E
+    a, b = E.entry(spark), E.entry(spark)
+    assert a.dtypes == b.dtypes == [
+        ("variant", "string"), ("total_records", "bigint"), ("avg_jaccard", "double"),
+        ("median_jaccard", "double"), ("num_ufs", "bigint"), ("total_area", "double"), ("avg_cpf_ok", "double")]
