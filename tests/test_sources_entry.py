@@ -61,3 +61,16 @@ def test_entry_schema_is_stable(spark):
     assert a.dtypes == b.dtypes == [
         ("variant", "string"), ("total_records", "bigint"), ("avg_jaccard", "double"),
         ("median_jaccard", "double"), ("num_ufs", "bigint"), ("total_area", "double"), ("avg_cpf_ok", "double")]
+
+
+def test_materialised_table_lives_in_session_checkpoint_dir(spark):
+    from matchlab.plans.common import M
+    from matchlab.session import checkpoint_dir
+    conf = spark.conf.get("spark.checkpoint.dir", None) or \
+        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if conf:
+        assert d == conf
+    files = M(spark, "/root/testdata/sf0.001").inputFiles()
+    base = d.replace("file://", "").replace("file:", "")
+    assert files and all(base in f for f in files)
