@@ -197,3 +197,12 @@ def test_match_rate_and_two_way(spark):
     both = {x["g"]: (x["pct"], x["pct2"]) for x in A.two_way_match(A.match_rate(ents, "k", "g", hits, "pct"),
                                                                    other, "g").collect()}
     assert both == {"A": (50.0, 80.0), "B": (100.0, None), "C": (None, 10.0)}
+
+
+def test_kde_ungrouped_binned_close_to_direct(spark):
+    rng = np.random.default_rng(9)
+    vals = rng.normal(0, 20, 2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    b = D.kde(df, "x", [], grid_size=40, prebins=4096).toPandas().sort_values("j")
+    d = D.kde(df, "x", [], grid_size=40, prebins=None).toPandas().sort_values("j")
+    assert len(b) == 40 and np.max(np.abs(b.density.values - d.density.values)) < 1e-5
