@@ -74,3 +74,11 @@ def test_materialised_table_lives_in_session_checkpoint_dir(spark):
     files = M(spark, "/root/testdata/sf0.001").inputFiles()
     base = d.replace("file://", "").replace("file:", "")
     assert files and all(base in f for f in files)
+
+
+def test_feature_collection_roundtrip(spark, tmp_path):
+    feats = spark.createDataFrame([("AC",), ("SP",), ("RS",)], "uf string")
+    p = str(tmp_path / "geo")
+    S.feature_collection_json(feats, "uf").write.text(p)
+    got = sorted(r["sigla"] for r in S.read_features(spark, p).collect())
+    assert got == ["AC", "RS", "SP"]
