@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
+from .ship import arrow_map
 from .store import written
 
 WINDOW, K = 10, 5
@@ -180,7 +181,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         bench = spark.sparkContext.broadcast(Benchmark(part["id"].to_pylist(), part["text"], window, k))
-        passes.append(d.select(*keys, "_text").mapInArrow(_marker(bench, keys), schema))
+        passes.append(arrow_map(d.select(*keys, "_text"), _marker(bench, keys), schema))
     if blocks == 1:
         return passes[0].withColumnRenamed("_id", "doc_id")
     found = passes[0]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_query, text_queries
+from . import chat_query, learn_queries, secrets_query, simhash_query, text_queries
 
 QUERIES = {
     "op1_chat_format": chat_query.op1_chat_format,
     "op2_decontaminate": text_queries.op2_decontaminate,
     "op3_near_duplicates": text_queries.op3_near_duplicates,
+    "op5_simhash": simhash_query.op5_simhash,
+    "op6_secrets": secrets_query.op6_secrets,
+    "op8_language_id": learn_queries.op8_language_id,
+    "op9_toxicity": learn_queries.op9_toxicity,
+    "op10_sentencepiece": learn_queries.op10_sentencepiece,
 }
 ORACLE = {
     "op1_chat_format": chat_query.SQL,

@@ -142,3 +142,29 @@ def found(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def padded(buf: np.ndarray, offs: np.ndarray):
+    """(bytes with one space before, between and after the documents; place of the space
+    before each document, and last of the final space)."""
+    out = np.full(len(buf) + len(offs), 32, np.uint8)
+    out[np.arange(len(buf)) + np.repeat(np.arange(1, len(offs)), np.diff(offs))] = buf
+    return out, offs + np.arange(len(offs))
+
+
+def byte_grams(buf: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` <= 7 bytes from each position as one integer, with ``n`` in the top byte."""
+    m = max(len(buf) - n + 1, 0)
+    out = np.full(m, n << 56, U64)
+    for k in range(n):
+        out |= buf[k:k + m].astype(U64) << U64(8 * k)
+    return out
+
+
+def gram_docs(spaces: np.ndarray, n: int):
+    """(positions, offsets by document) of the n-grams inside each padded document, both of
+    its spaces included; ``spaces`` as ``padded`` gives them."""
+    count = np.maximum(np.diff(spaces) + 2 - n, 0)
+    first = np.cumsum(count) - count
+    at = np.arange(int(count.sum())) - np.repeat(first - spaces[:-1], count)
+    return at, np.append(first, count.sum()) if len(count) else np.zeros(1, np.int64)
