@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_query, learn_queries, secrets_query, simhash_query, text_queries
+from . import chat_query, learn_queries, page_query, secrets_query, simhash_query, text_queries, token_query
 
 QUERIES = {
     "op1_chat_format": chat_query.op1_chat_format,
     "op2_decontaminate": text_queries.op2_decontaminate,
     "op3_near_duplicates": text_queries.op3_near_duplicates,
+    "op4_token_counts": token_query.op4_token_counts,
     "op5_simhash": simhash_query.op5_simhash,
     "op6_secrets": secrets_query.op6_secrets,
+    "op7_main_text": page_query.op7_main_text,
     "op8_language_id": learn_queries.op8_language_id,
     "op9_toxicity": learn_queries.op9_toxicity,
     "op10_sentencepiece": learn_queries.op10_sentencepiece,

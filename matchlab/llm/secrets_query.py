@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from . import secrets
+from . import secret_scan as secrets
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
