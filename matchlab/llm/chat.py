@@ -45,31 +45,27 @@ def parse(rendered: Column) -> Column:
     the text doesn't follow the grammar. ``body`` is the text as it stands, escaped."""
     tokens = F.regexp_extract_all(rendered, F.lit(TOKEN), F.lit(0))
     parts = F.split(rendered, TOKEN, -1)
-    turns = F.transform(
-        F.sequence(F.lit(0), (F.size(tokens) / 2).cast("int") - 1),
-        lambda i: F.struct(F.get(tokens, 2 * i).alias("head"), F.get(tokens, 2 * i + 1).alias("end"),
-                           F.get(parts, 2 * i + 1).alias("body"), F.get(parts, 2 * i + 2).alias("gap")))
-    good = (F.size(tokens) > 0) & (F.size(tokens) % 2 == 0) & (F.get(parts, F.lit(0)) == "")
-    good &= F.forall(turns, lambda t: t["head"].startswith("### ") & (t["end"] == "</turn>")
-                     & t["body"].endswith("\n") & (t["gap"] == "\n"))
+    # headers (even places) with the bodies after them, ends (odd) with the gaps after them
+    z = F.arrays_zip(tokens.alias("token"), F.slice(parts, F.lit(2), F.size(parts)).alias("after"))
+    right = F.transform(z, lambda x, i: F.when(i % 2 == 0, x["token"].startswith("### ") & x["after"].endswith("\n"))
+                        .otherwise((x["token"] == "</turn>") & (x["after"] == "\n")))
+    good = (F.get(parts, F.lit(0)) == "") & F.forall(right, lambda x: x) & (F.size(z) % 2 == 0)
 
     def role(head):
         label = F.regexp_extract(head, r"^### (.*): $", 1)
         return F.when(label.startswith("role="), F.url_decode(F.substring(label, 6, 2**31 - 1))).otherwise(F.lower(label))
 
-    def turn(t):
-        body = F.left(t["body"], F.char_length(t["body"]) - 1)
-        return F.struct(role(t["head"]).alias("role"), unescape(body).alias("text"), body.alias("body"))
+    def turn(x):
+        body = F.left(x["after"], F.char_length(x["after"]) - 1)
+        return F.struct(role(x["token"]).alias("role"), unescape(body).alias("text"), body.alias("body"))
 
-    return F.when(F.size(tokens) == 0, F.when(rendered == "", F.array().cast("array<struct<role:string,text:string,body:string>>"))) \
-        .when(good, F.transform(turns, turn))
+    return F.when(good, F.transform(F.filter(z, lambda x, i: i % 2 == 0), turn))
 
 
 def _reads_back(role: Column, text: Column, body: Column) -> Column:
     """Whether one rendered turn is read back as exactly that turn."""
     turns = parse(F.concat(header(role), body, F.lit(END)))
-    return F.coalesce((F.size(turns) == 1) & (F.get(turns, F.lit(0))["role"] == role)
-                      & (F.get(turns, F.lit(0))["text"] == text), F.lit(False))
+    return turns.eqNullSafe(F.array(F.struct(role.alias("role"), text.alias("text"), body.alias("body"))))
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
