@@ -119,7 +119,7 @@ def discrepancy_band(c) -> Column:
 # --- P11: size class -------------------------------------------------------
 
 def size_class(c, decimal_round: bool = True) -> Column:
-    """<= 4 'Pequeno', <= 15 'Medio', else (NULL included) 'Grande'.
+    """<= 4 'Pequeno', <= 15 'Médio', else (NULL included) 'Grande'.
 
     With decimal_round the value is rounded HALF_UP to 4 places as a decimal
     first, like ``round(x::numeric, 4)``.

@@ -44,7 +44,7 @@ TOLERANCE_UNDER = "Subestimado (CAR < SIGEF)"
 # Size classes by fiscal modules: <= 4 small, <= 15 medium, else large.
 SIZE_SMALL_MAX = 4
 SIZE_MEDIUM_MAX = 15
-SIZE_LABELS = ("Pequeno", "Medio", "Grande")
+SIZE_LABELS = ("Pequeno", "Médio", "Grande")
 
 # High-similarity threshold and its labels.
 HIGH_INDEX = 0.85

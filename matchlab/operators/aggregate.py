@@ -268,10 +268,10 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # --- A21-A25 ----------------------------------------------------------------------
 
 def join_coverage(df: DataFrame, col: str) -> DataFrame:
-    """Matched / unmatched rows and matched percent after a left join."""
+    """Matched / unmatched rows and matched percent after a left join (0 without rows)."""
     return df.agg(F.count(col).alias("matched"),
                   (F.count(F.lit(1)) - F.count(col)).alias("unmatched"),
-                  (F.count(col) / F.count(F.lit(1)) * 100).alias("pct_matched"))
+                  F.coalesce(F.try_divide(F.count(col), F.count(F.lit(1))) * 100, F.lit(0.0)).alias("pct_matched"))
 
 
 def extents(df: DataFrame, col: str) -> DataFrame:

@@ -23,6 +23,11 @@ def quadrant(x, y, split_x: float, split_y: float, names: dict) -> Column:
             .when((x < split_x) & (y < split_y), F.lit(names["bottom_left"])))
 
 
+def _pct(part: Column, whole: Column) -> Column:
+    """Share in percent; 0 of an empty whole."""
+    return F.coalesce(F.try_divide(part, whole) * 100, F.lit(0.0))
+
+
 def reliability_matrix(df: DataFrame, owner_label: str = "label_cpf", index: str = "indice") -> DataFrame:
     """2x2 (owner label, index >= .85) counts, share of total, action and
     display text; all four cells always present."""
@@ -35,7 +40,7 @@ def reliability_matrix(df: DataFrame, owner_label: str = "label_cpf", index: str
                             for x in (F.lit(f"{o}|{g}"), F.lit(a))])
     j = attach_one_row(full, tot)
     return j.select("label_cpf", "label_geo", "n",
-                    (F.col("n") / F.col("_tot") * 100).alias("pct"),
+                    _pct(F.col("n"), F.col("_tot")).alias("pct"),
                     action[F.concat_ws("|", "label_cpf", "label_geo")].alias("acao"),
                     X.compact_number(F.col("n"), k_decimals=0, strict=True).alias("n_txt"))
 
@@ -56,9 +61,9 @@ def risk_matrix(df: DataFrame, owner_label: str = "label_cpf", index: str = "ind
     col_tot = F.sum("n").over(wc)
     row_tot = F.sum("n").over(wr)
     return j.select("label_cpf", "faixa_risco", "n",
-                    F.when(col_tot > 0, F.col("n") / col_tot * 100).otherwise(F.lit(0.0)).alias("pct_col"),
-                    col_tot.alias("col_total"), (col_tot / F.col("_tot") * 100).alias("col_share"),
-                    row_tot.alias("row_total"), (row_tot / F.col("_tot") * 100).alias("row_share"))
+                    _pct(F.col("n"), col_tot).alias("pct_col"),
+                    col_tot.alias("col_total"), _pct(col_tot, F.col("_tot")).alias("col_share"),
+                    row_tot.alias("row_total"), _pct(row_tot, F.col("_tot")).alias("row_share"))
 
 
 def maturity_matrix(df: DataFrame, geo: Sequence[str], index: str = "indice", flag: str = "cpf_ok",
@@ -78,10 +83,9 @@ def integration_quadrants(rates: DataFrame, x: str, y: str) -> DataFrame:
 
 def area_agreement(df: DataFrame, discrepancy: str = "discrepancia") -> DataFrame:
     """Share of rows per open discrepancy band and per tolerance class."""
-    d = df.select(X.discrepancy_band(discrepancy).alias("faixa"),
-                  X.tolerance_class(discrepancy).alias("status_area"))
-    a = A.freq_share(d, "faixa", "n", "pct").select(F.lit("faixa").alias("kind"),
-                                                    F.col("faixa").alias("label"), "n", "pct")
-    b = A.freq_share(d, "status_area", "n", "pct").select(F.lit("status").alias("kind"),
-                                                          F.col("status_area").alias("label"), "n", "pct")
-    return a.unionByName(b)
+    pair = F.array(F.struct(F.lit("faixa").alias("kind"), X.discrepancy_band(discrepancy).alias("label")),
+                   F.struct(F.lit("status").alias("kind"), X.tolerance_class(discrepancy).alias("label")))
+    # both labels of a row are counted in one scan
+    c = df.select(F.explode(pair).alias("s")).select("s.*").filter(F.col("label").isNotNull()) \
+        .groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    return A.normalized_share(c, ["kind"], "n", "pct")

@@ -1,7 +1,6 @@
 """Distribution summaries (A26-A29): histogram, kernel density, box summary, trend.
 
-All heavy passes are group-bys over the rows; the only products are bounded
-by construction (grid points x pre-bins per group).
+All heavy passes are group-bys over the rows, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import group_quantiles_wide
-from .joins import attach_one_row
+from .joins import attach_one_row, pinned
 from .windows import ordinal_position
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -51,25 +50,23 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None,
 
 
 def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid_size: int = 50, cut: float = 3.0,
-        clip: tuple[float, float] | None = None, prebins: int | None = 4096,
-        bw_adjust: float = 1.0) -> DataFrame:
+        clip: tuple[float, float] | None = None, bw_adjust: float = 1.0) -> DataFrame:
     """Gaussian kernel density per group, each group normalised on its own.
 
     Bandwidth: Scott's rule, h = bw_adjust * stddev_samp * n^(-1/5).
     Grid: ``grid_size`` points over [min - cut h, max + cut h] clipped to ``clip``.
-    With ``prebins`` the values are first counted into that many equal bins
-    per group (bin centres carry the counts), so the kernel sum costs
-    grid_size x prebins per group whatever the data size; ``prebins=None``
-    uses exact value counts (direct form, for checks).
+    The density is the direct sum over all rows: one aggregation pass, combined before the
+    shuffle, adds each row's kernel at every grid point of its group, so rows stay where
+    they are. The groups' statistics are computed when the plan is built (``pinned``).
     Output: (by..., j, x, density).
     """
     by = list(by)
-    d = _clean(df, value, by)
+    keys = by if by else ["_k"]
     v = F.col(value).cast("double")
-    st = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd"),
-                            F.min(v).alias("_mn"), F.max(v).alias("_mx")) if by else \
-        d.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd"),
-              F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+    d = _clean(df, value, by).select(*by, v.alias("_x"))
+    d = d if by else d.withColumn("_k", F.lit(0))
+    st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
+                              F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     st = st.filter((F.col("_n") >= 2) & (F.col("_sd") > 0)) \
         .withColumn("_h", F.lit(bw_adjust) * F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     glo = F.col("_mn") - cut * F.col("_h")
@@ -77,31 +74,19 @@ def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid_size: int = 50,
     if clip is not None:
         glo = F.greatest(glo, F.lit(float(clip[0])))
         ghi = F.least(ghi, F.lit(float(clip[1])))
-    st = st.withColumn("_glo", glo).withColumn("_ghi", ghi)
-
-    # Weighted support points per group.
-    if prebins:
-        span = F.col("_mx") - F.col("_mn")
-        bin_ = F.least(F.floor((v - F.col("_mn")) / span * prebins), F.lit(prebins - 1))
-        keyed = d.join(st.select(*by, "_mn", "_mx"), by) if by else attach_one_row(d, st.select("_mn", "_mx"))
-        pts = keyed.groupBy(*by, bin_.alias("_bin"), "_mn", "_mx").agg(F.count(F.lit(1)).alias("_c"))
-        pts = pts.select(*by, (F.col("_mn") + (F.col("_bin") + 0.5) * (F.col("_mx") - F.col("_mn")) / prebins)
-                         .alias("_p"), "_c")
-    else:
-        pts = d.groupBy(*by, v.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-
-    grid = st.select(*by, "_n", "_h", "_glo", "_ghi",
-                     F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("j"))
-    grid = grid.withColumn("x", F.col("_glo") + F.col("j") * (F.col("_ghi") - F.col("_glo")) / (grid_size - 1))
-    # grid_size x support points per group: bounded by grid_size x prebins.
-    if by:
-        pairs = grid.join(pts, by)
-    else:
-        pairs = grid.withColumn("_g", F.lit(0)).join(pts.withColumn("_g", F.lit(0)), "_g").drop("_g")
-    z = (F.col("x") - F.col("_p")) / F.col("_h")
-    k = F.col("_c") * F.exp(-0.5 * z * z)
-    dens = pairs.groupBy(*by, "j", "x", "_n", "_h").agg(F.sum(k).alias("_s"))
-    return dens.select(*by, "j", "x", (F.col("_s") / (F.col("_n") * F.col("_h") * SQRT_2PI)).alias("density"))
+    st = pinned(st.select(*keys, "_n", "_h", glo.alias("_glo"), ghi.alias("_ghi")))
+
+    def at(j):
+        return F.col("_glo") + j * (F.col("_ghi") - F.col("_glo")) / (grid_size - 1)
+
+    def kernel(j):
+        z = (at(j) - F.col("_x")) / F.col("_h")
+        return F.sum(F.exp(-0.5 * z * z)).alias(f"_s{j}")
+
+    sums = d.join(st, keys).groupBy(*keys, "_n", "_h", "_glo", "_ghi").agg(*[kernel(j) for j in range(grid_size)])
+    points = F.posexplode(F.array(*[f"_s{j}" for j in range(grid_size)])).alias("j", "_s")
+    long = sums.select(*keys, "_n", "_h", "_glo", "_ghi", points)
+    return long.select(*by, "j", at(F.col("j")).alias("x"), (F.col("_s") / (F.col("_n") * F.col("_h") * SQRT_2PI)).alias("density"))
 
 
 def box_summary(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5,
@@ -110,7 +95,7 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1
     outlier count and mean per group."""
     by = list(by)
     d = _clean(df, value, by)
-    q = group_quantiles_wide(d, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, method)
+    q = pinned(group_quantiles_wide(d, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, method))
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
         .withColumn("_lo", F.col("q1") - whisker * F.col("_iqr")) \
         .withColumn("_hi", F.col("q3") + whisker * F.col("_iqr"))

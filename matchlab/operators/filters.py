@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
-# Lists longer than this are applied as a semi-join (AQE broadcasts it when
-# small) instead of an IN-list held as a driver-side constant.
-ISIN_MAX = 1000
-
 
 def _clean(values: Iterable | None) -> tuple:
     """Blank / None entries removed, whitespace stripped (F1)."""
@@ -70,11 +66,9 @@ class FilterSpec:
             return replace(self, regions=())
         return self
 
-    def relax_states(self, complete_regions: Sequence[str] = ()) -> "FilterSpec":
-        """same spec without the state filter; explicit regions win,
-        else the regions all of whose states were selected."""
-        regs = self.regions or tuple(complete_regions)
-        return replace(self, states=(), places=(), regions=regs)
+    def relax_states(self) -> "FilterSpec":
+        """same spec without the state and place filters."""
+        return replace(self, states=(), places=())
 
     # -- predicate -----------------------------------------------------------
     def predicate(self) -> Column:
@@ -97,7 +91,8 @@ class FilterSpec:
         return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)  # F4
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.filter(self.predicate())
+        """Rows that pass; place beats state beats region (F3), always."""
+        return df.filter(self.resolved().predicate())
 
 
 def place_predicate(places: Sequence[str], name_col: str, state_col: str) -> Column:
@@ -130,15 +125,15 @@ def place_filter_from_table(df: DataFrame, selection: DataFrame, name_col: str =
 
 
 def isin_or_semijoin(df: DataFrame, column: str, values: DataFrame | Sequence) -> DataFrame:
-    """F1 for large lists: IN-list when short, semi-join (AQE broadcasts a small side) otherwise."""
+    """F1 for a selection given as a list or as a one-column table of any length. Either
+    way blanks are ignored, and a selection without values filters nothing (F4). A list is
+    an IN-list of constants; a table is a semi-join, which Spark broadcasts by its size."""
     if not isinstance(values, DataFrame):
         vals = _clean(values)
-        if not vals:
-            return df
-        if len(vals) <= ISIN_MAX:
-            return df.filter(F.col(column).isin(*vals))
-        values = df.sparkSession.createDataFrame([(v,) for v in vals], [column])
-    return df.join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_semi")
+        return df.filter(F.col(column).isin(*vals)) if vals else df
+    v = values.select(F.trim(F.col(values.columns[0]).cast("string")).alias(column)).filter(F.col(column) != "").distinct()
+    none = v.agg(F.count(F.lit(1))).scalar() == 0
+    return df.join(v, column, "left_semi").unionByName(df.filter(none))
 
 
 def not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -165,21 +160,27 @@ def complete_groups(membership: DataFrame, selected: DataFrame, group: str, memb
             .select(group))
 
 
-def context_rows(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    """the panorama behind a state-filtered view: the spec with the state
-    filter relaxed to the regions all of whose states are selected (F10);
-    when no region is complete, the state-filtered rows themselves.
+def context_rows(df: DataFrame, spec: FilterSpec, membership: DataFrame) -> DataFrame:
+    """the panorama behind a state-filtered view. The state and place filters are
+    dropped, and the rows are those of the explicit regions; without any, of the regions
+    all of whose states are selected (F10, by the dimension ``membership`` of (region,
+    state)); without any of these, of all regions. If no row is left, or no state is
+    selected, the filtered rows themselves.
 
-    Both branches are planned lazily; the fallback is gated by a scalar
-    count of complete regions, so no driver round trip decides it."""
+    All branches are planned lazily and gated by scalar counts, so no driver round trip
+    decides between them."""
     c = spec.cols
-    membership = df.select(c.region, c.state).filter(F.col(c.region).isNotNull() & F.col(c.state).isNotNull())
-    selected = df.sparkSession.createDataFrame([(s,) for s in spec.states], f"{c.state} string")
-    comp = complete_groups(membership, selected, c.region, c.state)
-    relaxed = spec.relax_states().apply(df).join(comp, c.region, "left_semi")
-    n_comp = comp.agg(F.count(F.lit(1))).scalar()
-    fallback = replace(spec, regions=(), places=()).apply(df).filter(n_comp == 0)
-    return relaxed.unionByName(fallback)
+    if not spec.states:
+        return spec.apply(df)
+    relaxed = spec.relax_states()
+    rows = relaxed.apply(df)
+    if not spec.regions:
+        selected = df.sparkSession.createDataFrame([(s,) for s in spec.states], f"{c.state} string")
+        comp = complete_groups(membership.dropna(), selected, c.region, c.state)
+        none = comp.agg(F.count(F.lit(1))).scalar() == 0
+        rows = rows.join(comp, c.region, "left_semi").unionByName(rows.filter(none))
+    left = rows.limit(1).agg(F.count(F.lit(1))).scalar()
+    return rows.unionByName(spec.apply(df).filter(left == 0))
 
 
 def guard_min_rows(df: DataFrame, k: int, strict: bool = False) -> DataFrame:

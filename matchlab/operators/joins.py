@@ -14,6 +14,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import catalog
+
+#: Rows of a small table that may travel with the plan (some MB at most).
+PINNED_ROWS = 10_000
+
+
+def pinned(small: DataFrame, by_rows: int = 1) -> DataFrame:
+    """A small aggregated table, computed now and held fixed: as constants of the plan, whose
+    size Spark knows when it chooses a join, up to PINNED_ROWS (times ``by_rows``) rows;
+    beyond that as a written table."""
+    most = PINNED_ROWS * by_rows
+    got = small.limit(most + 1).toArrow()
+    if got.num_rows > most:
+        return catalog.written(small, "pinned")
+    return small.sparkSession.createDataFrame(got, small.schema)
+
 
 def scalar_struct(one_row: DataFrame) -> Column:
     """The single row of a global aggregate as one scalar-subquery struct

@@ -9,59 +9,25 @@ at *every* value.  It starts from a value-count table - one row per distinct
 ``(by..., value)`` with one or more count columns (map-side combined, so a
 value repeated a billion times is one row) - and adds, for every count
 column ``c``, ``c_before`` = total of ``c`` over strictly smaller values of
-the same ``by`` group, without ordering a whole group in one task:
-
-1. approximate quantiles of the distinct values (per group) give ``buckets``
-   boundaries; a value's bucket is the number of boundaries below it, which
-   is non-decreasing in the value, so bucket order agrees with value order;
-2. per-bucket totals (groups x buckets rows) get a prefix sum;
-3. inside each (group, bucket) a window adds the running total.
-
-Results are exact; the approximation only balances the work.
+the same ``by`` group.  The table is dealt out by ranges of (by..., value) with
+sampled bounds, so a hot group is spread over as many ranges as it fills; the
+totals of the ranges get a prefix sum, and a window inside each range adds the
+running count.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..sources import catalog
+from .joins import pinned
 
-DEFAULT_BUCKETS = None  # derived from spark.sql.shuffle.partitions
-MIN_BUCKETS, MAX_BUCKETS = 16, 65536
-MAX_GROUP_BUCKETS = 256
 DEFAULT_ACCURACY = 100_000  # 1 / relative rank error of the bracketing sketch
 
 
-def bucket_count(spark, buckets: int | None = None, grouped: bool = False) -> int:
-    """Buckets = 4 x shuffle partitions (the parallelism the cluster is sized
-    for), clamped; each bucket becomes one window partition.  With group
-    keys every group gets its own boundary array, so the count is capped to
-    keep groups x buckets small."""
-    if buckets:
-        return int(buckets)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    b = max(MIN_BUCKETS, min(MAX_BUCKETS, 4 * n))
-    return min(b, MAX_GROUP_BUCKETS) if grouped else b
-
-
-def _stable(sketches: DataFrame) -> DataFrame:
-    """Freeze a (small) table of per-group sketch results.
-
-    A sketch depends on the order its inputs arrive in; if a stage were
-    recomputed after an executor loss, the bucket boundaries could change
-    between the two passes that must agree on them.  A reliable checkpoint
-    in the shared checkpoint folder pins them (groups x a few values)."""
-    return cut_lineage(sketches)
-
-
-def _const_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(0))
-
-
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "cnt",
                  weight: Column | None = None) -> DataFrame:
     """(by..., value, cnt) over non-null, non-NaN values."""
@@ -73,68 +39,25 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str =
     return d.groupBy(*by, value).agg(agg.alias(count))
 
 
-def count_below(sorted_arr: Column, v: Column, size: int) -> Column:
-    """Number of elements of an ascending array strictly below ``v``.
-
-    Binary search (lower bound) unrolled into ceil(log2(size + 1)) steps of
-    ``aggregate``; ``get`` returns NULL past the end, which reads as "not below"."""
-    steps = max(1, math.ceil(math.log2(size + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
-
-    def step(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.coalesce(F.get(sorted_arr, mid) < v, F.lit(False)) & (s["lo"] < s["hi"])
-        return F.when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))) \
-            .otherwise(F.struct(s["lo"].alias("lo"),
-                                F.when(s["lo"] < s["hi"], mid).otherwise(s["hi"]).alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-def bucket_of(sorted_arr: Column, v: Column, size: int) -> Column:
-    """Elements of an ascending array below ``v``: a codegen'd sum of
-    comparisons for short arrays, the binary search for long ones."""
-    if size <= 64:
-        return sum((F.coalesce(sorted_arr[i] < v, F.lit(False))).cast("int") for i in range(size))
-    return count_below(sorted_arr, v, size)
-
-
-def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by: Sequence[str] = (),
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def cumulative_before(vc: DataFrame, value: str, count_cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``<c>_before`` for every count column (see module doc)."""
     by = list(by)
-    buckets = bucket_count(vc.sparkSession, buckets, grouped=bool(by))
-    keys = by if by else ["_k"]
-    base = vc if by else _const_key(vc)
-    fr = [i / buckets for i in range(1, buckets)]
-    accuracy = min(1_000_000, 10 * buckets)
-    sketch = F.percentile_approx(F.col(value).cast("double"), fr, accuracy).alias("_bounds")
-    if by:
-        vb = base.join(_stable(base.groupBy(*keys).agg(sketch)), keys)
-    else:  # one global boundary array: a scalar subquery, no join
-        vb = base.withColumn("_bounds", base.agg(sketch).scalar())
-    vb = (vb
-          .withColumn("_b", bucket_of(F.col("_bounds"), F.col(value).cast("double"), buckets - 1))
-          .drop("_bounds"))
-    tot = vb.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                    for c in count_cols])
-    wi = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    vb = vb.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in count_cols])
-    if not by:  # one row per bucket: at most ``buckets`` rows
-        tot = F.broadcast(tot)
-    out = vb.join(tot, keys + ["_b"]).select(
-        *[c for c in vc.columns],
-        *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in count_cols])
-    return out
-
-
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    order = [*by, value]
+    r = vc.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written: the ranges must be the same for the totals and for the rows
+    r = catalog.written(r, "ranges")
+    tot = r.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in count_cols])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select("_part", *by, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in count_cols])
+    inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in count_cols])
+    return r.join(tot, ["_part", *by]).select(
+        *vc.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in count_cols])
+
+
+def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, cnt, rank) with average rank for ties (1-based)."""
-    vc = value_counts(df, value, by)
-    c = cumulative_before(vc, value, ["cnt"], by, buckets)
+    c = cumulative_before(value_counts(df, value, by), value, ["cnt"], by)
     return c.withColumn("rank", F.col("cnt_before") + (F.col("cnt") + 1) / 2.0)
 
 
@@ -143,17 +66,20 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     """Exact linear-interpolated quantiles (``quantile_cont``): (by..., q, value_q).
 
     For position p = q (n - 1) the result is v[floor p] + (p - floor p)(v[ceil p] - v[floor p]).
-    Bracket-and-select, two light passes plus a tiny window:
+    Bracket and select; rows stay where they are:
 
     1. ``percentile_approx`` (mergeable sketch, partial aggregation) gives edges
-       just below and above every target fraction;
-    2. every row gets the number of edges below it (a few codegen'd
-       comparisons) and exact per-bucket counts locate, per group, the bucket
-       that holds each target position - this step decides the answer, so the
-       result is exact whatever the sketch's error;
-    3. only rows of those buckets (about 4 n / accuracy of them when the sketch
-       meets its bound) are counted by value (map-side combined, so a hot value
-       is one row) and ranked inside their bucket.
+       just below and above every target fraction of a group. They are pinned
+       (``pinned``), as a sketch may differ when it is computed again;
+    2. every row is counted in its bucket: equal to an edge, or between two. The
+       exact counts tell which bucket holds a target position, so the result is
+       exact whatever the sketch's error. They are pinned as well;
+    3. a bucket "equal to an edge" is one value, so a tie of any size needs no
+       more work. Only rows between two edges around a target (about 4 n /
+       accuracy of them) are counted by value and ranked.
+
+    Spark broadcasts edges and targets to the rows by their known size; beyond
+    ``pinned``'s bound of groups it may shuffle. Steps 1 and 2 run when the plan is built.
     """
     by = list(by)
     keys = by if by else ["_k"]
@@ -162,39 +88,37 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     for b in by:
         d = d.filter(F.col(b).isNotNull())
     d = d.select(*by, v.alias("_x"))
-    if not by:
-        d = _const_key(d)
+    d = d if by else d.withColumn("_k", F.lit(0))
     delta = 2.0 / accuracy
     fr = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-delta, delta)})
-    sketch = F.percentile_approx("_x", fr, accuracy).alias("_e")
-    if by:
-        de = d.join(_stable(d.groupBy(*keys).agg(sketch)), keys)
-    else:  # one global edge array: a scalar subquery, no join
-        de = d.withColumn("_e", d.agg(sketch).scalar())
-    bucket = sum((F.col("_x") > F.col("_e")[i]).cast("int") for i in range(len(fr)))
-    db = de.select(*keys, "_x", bucket.alias("_b"))
-    tot = db.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bt"))
+    edges = pinned(d.groupBy(*keys).agg(F.percentile_approx("_x", fr, accuracy).alias("_e")))
+    below = sum((F.col("_e")[i] < F.col("_x")).cast("int") for i in range(len(fr)))
+    db = d.join(edges, keys).select(*keys, "_x", "_e", below.alias("_lt"))
+    at = F.get("_e", "_lt")
+    db = db.select(*keys, "_x", (2 * F.col("_lt") + F.coalesce(at == F.col("_x"), F.lit(False)).cast("int")).alias("_b"))
+    tot = pinned(db.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bt")), by_rows=10)
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*keys, "_b", "_bt", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
-                     F.sum("_bt").over(Window.partitionBy(*keys)).alias("_n"))
-    t = (tot.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    t = tot.select(*keys, "_b", "_bt", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"),
+                   F.sum("_bt").over(Window.partitionBy(*keys)).alias("_n"))
+    t = (t.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
          .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
          .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    inside = lambda p: (F.col("_off") <= F.col(p)) & (F.col(p) < F.col("_off") + F.col("_bt"))
-    t = t.filter(inside("_lo") | inside("_hi"))
-    target = t.select(*keys, "_b").distinct()
-    if not by:  # at most 2 x len(qs) target buckets: a proven bound
-        t, target = F.broadcast(t), F.broadcast(target)
-    sel = db.join(target, keys + ["_b"], "left_semi")
+    holds = lambda p: (F.col("_off") <= F.col(p)) & (F.col(p) < F.col("_off") + F.col("_bt"))
+    t = pinned(t.filter(holds("_lo") | holds("_hi")), by_rows=10)
+    one = t.filter(F.col("_b") % 2 == 1).join(edges, keys).select(
+        *keys, "q", "_pos", "_lo", F.when(holds("_lo"), F.get("_e", ((F.col("_b") - 1) / 2).cast("int"))).alias("_vlo"),
+        F.when(holds("_hi"), F.get("_e", ((F.col("_b") - 1) / 2).cast("int"))).alias("_vhi"))
+    between = t.filter(F.col("_b") % 2 == 0)
+    sel = db.join(between.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
     vc = sel.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
     wi = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     vc = vc.withColumn("_in", F.coalesce(F.sum("_c").over(wi), F.lit(0)))
-    j = vc.join(t, keys + ["_b"]).withColumn("_before", F.col("_off") + F.col("_in"))
+    j = vc.join(between, [*keys, "_b"]).withColumn("_before", F.col("_off") + F.col("_in"))
     cover = lambda p: (F.col("_before") <= F.col(p)) & (F.col(p) < F.col("_before") + F.col("_c"))
-    r = j.groupBy(*keys, "q").agg(
-        F.max(F.when(cover("_lo"), F.col("_x"))).alias("_vlo"),
-        F.max(F.when(cover("_hi"), F.col("_x"))).alias("_vhi"),
-        F.max("_pos").alias("_pos"), F.max("_lo").alias("_lo"))
+    ranked = j.select(*keys, "q", "_pos", "_lo", F.when(cover("_lo"), F.col("_x")).alias("_vlo"),
+                      F.when(cover("_hi"), F.col("_x")).alias("_vhi"))
+    r = one.unionByName(ranked).groupBy(*keys, "q").agg(
+        F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"), F.max("_pos").alias("_pos"), F.max("_lo").alias("_lo"))
     return r.select(*by, "q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) *
                                (F.col("_vhi") - F.col("_vlo"))).alias("value_q"))
 

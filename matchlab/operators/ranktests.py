@@ -13,21 +13,20 @@ map-side combined) whose cumulative counts come from
   pairs come from one pass (the k labels are read once to name the columns);
 * tie terms sum_v (t^3 - t) for the pooled sample and for every pair.
 
-p-values need special functions Spark SQL lacks, so they are added by a
-small Arrow UDF on the 1-row / C(k,2)-row result only.
+p-values are Column expressions (``functions.stats``) on the 1-row / C(k,2)-row
+result. H is NULL where it isn't defined: all values tie, or there is one row. Effect
+sizes without spare degrees of freedom (n = k) are NULL as well.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import labels as L
+from ..functions.stats import chi2_sf, normal_two_sided
 from . import ranks
 from .joins import attach_one_row, scalar_struct
 
@@ -78,14 +77,16 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     ties = vc.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("TT"))
     s = attach_one_row(per, ties)
     N, k = F.col("N"), F.col("k")
-    h = (12.0 / (N * (N + 1)) * F.col("S") - 3 * (N + 1)) / (1 - F.col("TT") / (N * N * N - N))
+    spread = 1 - F.try_divide(F.col("TT"), N * N * N - N)
+    h = F.try_divide(12.0 / (N * (N + 1)) * F.col("S") - 3 * (N + 1), spread)
     out = s.select(h.alias("h"), N, k)
-    eps = F.greatest(F.lit(0.0), (F.col("h") - k + 1) / (F.col("N") - k))
+    eps = F.try_divide(F.col("h") - k + 1, F.col("N") - k)
+    eps = F.when(eps.isNotNull(), F.greatest(F.lit(0.0), eps))
     mag = (F.when(F.col("epsilon2") < L.EFFECT_CUTS[0], F.lit(L.EFFECT_LABELS[0]))
            .when(F.col("epsilon2") < L.EFFECT_CUTS[1], F.lit(L.EFFECT_LABELS[1]))
            .when(F.col("epsilon2") < L.EFFECT_CUTS[2], F.lit(L.EFFECT_LABELS[2]))
-           .otherwise(F.lit(L.EFFECT_LABELS[3])))
-    out = (out.withColumn("epsilon2", eps).withColumn("eta2", F.col("h") / (F.col("N") - 1))
+           .when(F.col("epsilon2").isNotNull(), F.lit(L.EFFECT_LABELS[3])))
+    out = (out.withColumn("epsilon2", eps).withColumn("eta2", F.try_divide(F.col("h"), F.col("N") - 1))
            .withColumn("magnitude", mag)
            .select("h", (F.col("k") - 1).cast("long").alias("dof"), "epsilon2", "eta2", "magnitude",
                    F.col("N").cast("long").alias("n"), F.col("k").cast("long").alias("k")))
@@ -134,56 +135,6 @@ def mann_whitney_pairs(df: DataFrame, group: str, value: str, groups: Sequence[s
     return out.withColumn("r_effect", 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")))
 
 
-# --- p-values: tiny Arrow UDFs over result rows -------------------------------------------
-
-def _gammq(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x): series for x < a + 1,
-    Lentz continued fraction otherwise."""
-    if x <= 0:
-        return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1:
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(10000):
-            ap += 1
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-16:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    tiny = 1e-300
-    b = x + 1 - a
-    c = 1 / tiny
-    d = 1 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1 / d
-        de = d * c
-        h *= de
-        if abs(de - 1) < 1e-16:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    """Survival function of the chi-square distribution."""
-    return pd.Series([_gammq(d / 2.0, v / 2.0) if pd.notna(v) and d > 0 else float("nan")
-                      for v, d in zip(x, dof)])
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt 2)."""
-    return pd.Series([math.erfc(abs(v) / math.sqrt(2.0)) if pd.notna(v) else float("nan") for v in z])
-
-
 def kruskal_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """K1 with its p-value and the global decision."""
     kw = kruskal_wallis(df, group, value)
@@ -199,8 +150,9 @@ def mann_whitney_tests(df: DataFrame, group: str, value: str, alpha: float = 0.0
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     mu = n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = F.when(sigma > 0, (F.abs(F.col("u") - mu) - 0.5) / sigma)
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    # within half a rank of the mean the corrected distance is none
+    z = F.when(sigma > 0, F.greatest(F.lit(0.0), F.abs(F.col("u") - mu) - 0.5) / sigma)
     m = mw.agg(F.count(F.lit(1)).alias("_m"))
     out = attach_one_row(mw, m).withColumn("p_value", F.when(sigma > 0, normal_two_sided(z)).otherwise(F.lit(1.0)))
     if correction == "bonferroni":
@@ -211,5 +163,6 @@ def mann_whitney_tests(df: DataFrame, group: str, value: str, alpha: float = 0.0
         a = F.lit(alpha)
     return (out.withColumn("alpha_corrigido", a)
             .withColumn("significativo", F.col("p_value") < F.col("alpha_corrigido"))
+            .withColumn("n_significativos", F.count_if("significativo").over(Window.partitionBy("_m")))
             .withColumn("direcao", F.when(F.col("delta_mediana") > 0, F.lit(">")).otherwise(F.lit("<")))
             .drop("_m"))

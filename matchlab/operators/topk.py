@@ -53,7 +53,7 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFra
 
     The random key is a hash of the row key and the seed, so the sample is the
     same on recomputation (unlike ``rand()`` under task retries)."""
-    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
     return df.withColumn("_r", h).orderBy("_r", *key).limit(n).drop("_r")
 
 

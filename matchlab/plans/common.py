@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.filters import FilterSpec
+from ..session import table_path
 from ..sources import catalog, fixtures
 
 # Filter used by the "filtered" variants (F1): two regions, two sizes, two statuses.
-SPEC = FilterSpec.of(regions=["AMERICA", "ASIA"], sizes=["Pequeno", "Medio"], statuses=["F", "O"])
-SPEC_SQL = ("regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Medio') "
+SPEC = FilterSpec.of(regions=["AMERICA", "ASIA"], sizes=["Pequeno", "Médio"], statuses=["F", "O"])
+SPEC_SQL = ("regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Médio') "
             "AND status_imovel IN ('F','O')")
 
 
 def M(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived fact table, materialised once per application."""
     return catalog.materialized(spark, "matches", sf_dir, lambda: fixtures.matches(spark, sf_dir),
-                                partition_by=("regiao",), cluster_by=("estado", "municipio_nome"))
+                                partition_by=("regiao",), cluster_by=("estado", "municipio_nome"),
+                                inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
 
 
 def R(spark: SparkSession, sf_dir: str) -> DataFrame:

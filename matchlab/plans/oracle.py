@@ -1,4 +1,4 @@
-"""DuckDB oracle SQL for every query key (see ``queries.py``).
+"""DuckDB oracle SQL for every query key (registered beside its builder).
 
 Each text is the two stand-in views as CTEs followed by an independent SQL
 formulation of the query.  Doubles are rounded to 6 places, counts cast to
@@ -29,7 +29,7 @@ SELECT *, CASE WHEN lower(igualdade_txt) IN ('true','1','t') THEN 1 ELSE 0 END A
        CAST(year(try_cast(data_cadastro_imovel AS date)) AS int) AS ano_cadastro,
        CASE WHEN indice >= 0 AND indice < 0.25 THEN '0-25%' WHEN indice >= 0.25 AND indice < 0.50 THEN '25-50%'
             WHEN indice >= 0.50 AND indice < 0.85 THEN '50-85%' WHEN indice >= 0.85 AND indice <= 1.00 THEN '85-100%' END AS faixa_jaccard,
-       CASE WHEN num_modulo <= 4 THEN 'Pequeno' WHEN num_modulo <= 15 THEN 'Medio' ELSE 'Grande' END AS class_tam_imovel,
+       CASE WHEN round(CAST(num_modulo AS DECIMAL(20,6)), 4) <= 4 THEN 'Pequeno' WHEN round(CAST(num_modulo AS DECIMAL(20,6)), 4) <= 15 THEN 'Médio' ELSE 'Grande' END AS class_tam_imovel,
        ((area_a - area_b) / nullif(area_b, 0)) * 100 AS discrepancia
 FROM raw_matches
 )"""

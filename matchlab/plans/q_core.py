@@ -147,11 +147,15 @@ def band_open(spark, sf):
 
 @query("size_class", """
 SELECT 'modules' AS variant, CASE WHEN round(CAST(num_modulo AS DECIMAL(20,6)), 4) <= 4 THEN 'Pequeno'
-       WHEN round(CAST(num_modulo AS DECIMAL(20,6)), 4) <= 15 THEN 'Medio' ELSE 'Grande' END AS classe,
+       WHEN round(CAST(num_modulo AS DECIMAL(20,6)), 4) <= 15 THEN 'Médio' ELSE 'Grande' END AS classe,
+       CAST(count(*) AS BIGINT) AS n FROM matches GROUP BY 2
+UNION ALL
+SELECT 'edge' AS variant, CASE WHEN round(CAST(num_modulo + linha * 0.00001 AS DECIMAL(20,6)), 4) <= 4 THEN 'Pequeno'
+       WHEN round(CAST(num_modulo + linha * 0.00001 AS DECIMAL(20,6)), 4) <= 15 THEN 'Médio' ELSE 'Grande' END AS classe,
        CAST(count(*) AS BIGINT) AS n FROM matches GROUP BY 2
 UNION ALL
 SELECT 'scaled' AS variant, CASE WHEN round(CAST(indice * 20 AS DECIMAL(20,6)), 4) <= 4 THEN 'Pequeno'
-       WHEN round(CAST(indice * 20 AS DECIMAL(20,6)), 4) <= 15 THEN 'Medio' ELSE 'Grande' END AS classe,
+       WHEN round(CAST(indice * 20 AS DECIMAL(20,6)), 4) <= 15 THEN 'Médio' ELSE 'Grande' END AS classe,
        CAST(count(*) AS BIGINT) AS n FROM matches GROUP BY 2
 """)
 def size_class(spark, sf):
@@ -159,7 +163,10 @@ def size_class(spark, sf):
     m = M(spark, sf)
     a = m.select(F.lit("modules").alias("variant"), X.size_class("num_modulo").alias("classe"))
     b = m.select(F.lit("scaled").alias("variant"), X.size_class(F.col("indice") * 20).alias("classe"))
-    return a.unionByName(b).groupBy("variant", "classe").agg(F.count(F.lit(1)).alias("n"))
+    # 4.00001 .. 4.00007: five and more of the last place round up past the limit
+    edge = F.col("num_modulo") + F.col("linha") * F.lit(0.00001).cast("decimal(10,5)")
+    c = m.select(F.lit("edge").alias("variant"), X.size_class(edge).alias("classe"))
+    return a.unionByName(b).unionByName(c).groupBy("variant", "classe").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tolerance_class", """

@@ -123,8 +123,7 @@ st AS (SELECT g, count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx
        HAVING count(*) >= 2 AND stddev_samp(x) > 0),
 st2 AS (SELECT *, sd * pow(n, -0.2) AS h FROM st),
 st3 AS (SELECT *, greatest(mn - 3.0 * h, 0.0) AS glo, least(mx + 3.0 * h, 100.0) AS ghi FROM st2),
-pts AS (SELECT v.g, st3.mn + (least(floor((v.x - st3.mn) / (st3.mx - st3.mn) * 4096), 4095) + 0.5) * (st3.mx - st3.mn) / 4096 AS p,
-               count(*) AS c FROM v JOIN st3 ON v.g = st3.g GROUP BY 1, 2),
+pts AS (SELECT g, x AS p, count(*) AS c FROM v GROUP BY 1, 2),
 grid AS (SELECT st3.g, st3.n, st3.h, r.range AS j, st3.glo + r.range * (st3.ghi - st3.glo) / 49 AS x
          FROM st3 CROSS JOIN range(50) r)"""
 
@@ -137,9 +136,9 @@ FROM grid JOIN pts ON grid.g = pts.g GROUP BY grid.g, grid.j, grid.x, grid.n, gr
 """)
 def kde_by_group(spark, sf):
     """Per-size-class Gaussian KDE of the index (percent), each class
-    normalised alone, grid clipped to [0, 100], 4096 pre-bins per class."""
+    normalised alone, grid clipped to [0, 100]."""
     m = M(spark, sf).select("class_tam_imovel", (F.col("indice") * 100).alias("pct"))
-    k = D.kde(m, "pct", ["class_tam_imovel"], grid_size=50, clip=(0.0, 100.0), prebins=4096)
+    k = D.kde(m, "pct", ["class_tam_imovel"], grid_size=50, clip=(0.0, 100.0))
     return k.select("class_tam_imovel", F.col("j").cast("int"), r6("x"), r6("density"))
 
 
@@ -164,8 +163,7 @@ v AS (SELECT discrepancia AS x FROM matches WHERE discrepancia BETWEEN -100 AND
 st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v),
 st2 AS (SELECT *, sd * pow(n, -0.2) AS h FROM st WHERE n >= 2 AND sd > 0),
 st3 AS (SELECT *, mn - 3.0 * h AS glo, mx + 3.0 * h AS ghi FROM st2),
-pts AS (SELECT st3.mn + (least(floor((v.x - st3.mn) / (st3.mx - st3.mn) * 4096), 4095) + 0.5) * (st3.mx - st3.mn) / 4096 AS p,
-               count(*) AS c FROM v CROSS JOIN st3 GROUP BY 1),
+pts AS (SELECT x AS p, count(*) AS c FROM v GROUP BY 1),
 grid AS (SELECT st3.n, st3.h, r.range AS j, st3.glo + r.range * (st3.ghi - st3.glo) / 49 AS x
          FROM st3 CROSS JOIN range(50) r)""", sql="""
 SELECT CAST(grid.j AS INT) AS j, round(grid.x, 6) AS x,
@@ -176,5 +174,5 @@ FROM grid CROSS JOIN pts GROUP BY grid.j, grid.x, grid.n, grid.h
 def kde_overall(spark, sf):
     """A26 ungrouped variant: density of the area discrepancy restricted to [-100, 100]."""
     m = M(spark, sf).filter(F.col("discrepancia").between(-100.0, 100.0))
-    k = D.kde(m, "discrepancia", [], grid_size=50, prebins=4096)
+    k = D.kde(m, "discrepancia", [], grid_size=50)
     return k.select(F.col("j").cast("int"), r6("x"), F.round("density", 8).alias("density"))

@@ -21,17 +21,22 @@ from .common import M, R, T
 from .registry import query, r6
 
 _BEST_CTE = """
-best AS (SELECT cod_imovel, indice, dono_igual, id_vizinhanca, id_parte, linha FROM (
+best_last AS (SELECT cod_imovel, indice, dono_igual, id_vizinhanca, id_parte, linha FROM (
   SELECT *, row_number() OVER (PARTITION BY cod_imovel ORDER BY indice DESC NULLS LAST,
+         CASE WHEN dono_igual THEN 0 ELSE 1 END, id_vizinhanca, id_parte, linha) AS rn FROM raw_matches) WHERE rn = 1),
+best AS (SELECT cod_imovel, indice, dono_igual, id_vizinhanca, id_parte, linha FROM (
+  SELECT *, row_number() OVER (PARTITION BY cod_imovel ORDER BY indice DESC NULLS FIRST,
          CASE WHEN dono_igual THEN 0 ELSE 1 END, id_vizinhanca, id_parte, linha) AS rn FROM raw_matches) WHERE rn = 1)"""
 
 
-def best_matches(spark, sf, raw=None):
+def best_matches(spark, sf, raw=None, nulls_first=True):
     """J1 (join chain of the extraction) + W1 best row per property; only the
     ordered-by columns are kept, so ties cannot change the output.  ``raw``
-    may be the materialised table instead of the join chain."""
+    may be the materialised table instead of the join chain. A missing index comes first,
+    as a descending order has it by default, or last as an option."""
     r = R(spark, sf) if raw is None else raw
-    order = [F.col("indice").desc_nulls_last(), WN.owner_first("dono_igual"), F.col("id_vizinhanca"),
+    index = F.col("indice").desc_nulls_first() if nulls_first else F.col("indice").desc_nulls_last()
+    order = [index, WN.owner_first("dono_igual"), F.col("id_vizinhanca"),
              F.col("id_parte"), F.col("linha")]
     b = WN.best_per_key(r, "cod_imovel", order)
     return b.select("cod_imovel", "indice", "dono_igual", "id_vizinhanca", "id_parte", "linha")
@@ -46,6 +51,15 @@ def best_match(spark, sf):
     return b.select("cod_imovel", r6("indice"), "dono_igual", "id_vizinhanca", "id_parte", "linha")
 
 
+@query("best_match_nulls_last", extra_ctes=_BEST_CTE, sql="""
+SELECT cod_imovel, round(indice, 6) AS indice, dono_igual, id_vizinhanca, id_parte, linha FROM best_last
+""")
+def best_match_nulls_last(spark, sf):
+    """W1 option: a row with an index beats one without."""
+    b = best_matches(spark, sf, nulls_first=False)
+    return b.select("cod_imovel", r6("indice"), "dono_igual", "id_vizinhanca", "id_parte", "linha")
+
+
 YEARS = list(range(1995, 2002))
 NO_OVERLAP = "Sem sobreposição a desmatamento"
 _D = ", ".join(f"coalesce(sum(area) FILTER (WHERE ano = {y}), 0) AS d{y}" for y in YEARS)
@@ -80,25 +94,23 @@ def yearly_pivot(spark, sf):
                                          F.round(F.sum("d_total"), 2).alias("d_total"))
 
 
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "ANTARCTICA"]
-
-
 @query("region_union", """
 SELECT regiao AS regiao_tag, CAST(count(*) AS BIGINT) AS n, round(avg(indice), 6) AS avg_indice FROM matches GROUP BY 1
 """)
 def region_union(spark, sf):
-    """S4 + X1: one sub-query per region (a region without rows or with a
-    missing relation is skipped), tagged with a literal and unioned."""
+    """S4 + X1: one sub-query per region of the region dimension and one for rows
+    without a region, tagged with a literal and unioned."""
     m = M(spark, sf)
-
-    def part(r):
-        if r == "ANTARCTICA":  # a part whose relation does not exist: skipped
-            return lambda: spark.read.parquet(os.path.join(sf, "missing_region.parquet"))
-        return lambda: m.filter(F.col("regiao") == r).select("indice")
-    u = S.union_parts({r: part(r) for r in REGIONS}, "regiao_tag")
+    # the dimension names the relations to read; it is as long as there are regions
+    names = [r["r_name"] for r in T(spark, sf, "region").select("r_name").distinct().collect()]
+    parts = {r: (lambda r=r: m.filter(F.col("regiao").eqNullSafe(F.lit(r))).select("indice")) for r in [*names, None]}
+    u, _ = S.union_parts(parts, "regiao_tag")
     return u.groupBy("regiao_tag").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("indice"), "avg_indice"))
 
 
+#: Rows of a CSV chunk: files of some hundred MB.
+CSV_ROWS_PER_FILE = 5_000_000
+
 _CSV_SCHEMA = ("cod_imovel bigint, estado string, regiao string, status_imovel string, "
                "data_cadastro_imovel string, area_a double, indice double, dono_igual string")
 
@@ -114,7 +126,7 @@ def csv_roundtrip(spark, sf):
     m = M(spark, sf).select("cod_imovel", "estado", "regiao", "status_imovel", "data_cadastro_imovel",
                             "area_a", "indice", F.col("dono_igual").cast("string").alias("dono_igual"))
     path = os.path.join(checkpoint_dir(spark), "matchlab-csv", uuid.uuid4().hex[:12])
-    S.write_csv(m, path, max_records_per_file=20000)
+    S.write_csv(m, path, max_records_per_file=CSV_ROWS_PER_FILE)
     back = S.with_types(S.read_csv(spark, path, _CSV_SCHEMA), {"dono_igual": "boolean"})
     return back.groupBy("regiao").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("area_a"), 2).alias("total_area"),
@@ -162,7 +174,11 @@ def preview_rows(spark, sf):
                       ["cod_imovel", "linha", "id_parte", "id_vizinhanca"])
 
 
-@query("preview_sample")
+@query("preview_sample", """
+SELECT cod_imovel, linha, id_parte, id_vizinhanca, indice FROM matches
+ORDER BY md5(concat_ws('|', CAST(cod_imovel AS VARCHAR), CAST(linha AS VARCHAR), CAST(id_parte AS VARCHAR), CAST(id_vizinhanca AS VARCHAR), '42')),
+         cod_imovel, linha, id_parte, id_vizinhanca LIMIT 5
+""")
 def preview_sample(spark, sf):
     """O3 sample(n): seeded, recomputation-stable sample of 5 rows."""
     return TK.sample_rows(M(spark, sf).select("cod_imovel", "linha", "id_parte", "id_vizinhanca", "indice"),
@@ -198,10 +214,9 @@ def compact_numbers(spark, sf):
     prefix), unit choice, percent suffix, thousands separators, 'label (n - p%)'."""
     # area_cents: the same total summed exactly in integer cents, so a total
     # ending in .50 rounds the same way on every engine and partitioning
-    s = A.group_size(M(spark, sf), ["estado"]).join(
-        M(spark, sf).groupBy("estado").agg(
-            F.sum("area_a").alias("area"),
-            F.sum(F.round(F.col("area_a") * 100).cast("long")).alias("area_cents")), "estado")
+    s = M(spark, sf).filter(F.col("estado").isNotNull()).groupBy("estado").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("area_a").alias("area"),
+        F.sum(F.round(F.col("area_a") * 100).cast("long")).alias("area_cents"))
     tot = s.agg(F.sum("n").alias("_tot"))
     t = J.attach_one_row(s, tot).withColumn("pct", F.col("n") * 100.0 / F.col("_tot"))
     return t.select("estado", X.compact_number("area").alias("area_compact"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import filters as FL
 from ..operators import windows as WN
-from .common import M
+from .common import M, T
 from .registry import query, r6
 
 # Stand-in selections (nation names play states, region names play regions).
@@ -19,13 +19,13 @@ _STATES_SQL = ", ".join(f"'{s}'" for s in STATE_SELECTION)
 @query("filter_dims", """
 SELECT regiao, class_tam_imovel, status_imovel, CAST(count(*) AS BIGINT) AS n, round(avg(indice), 6) AS avg_indice
 FROM matches
-WHERE regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Medio') AND status_imovel IN ('F','O')
+WHERE regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','Médio') AND status_imovel IN ('F','O')
   AND indice IS NOT NULL
 GROUP BY ALL
 """)
 def filter_dims(spark, sf):
     """F1 IN-lists with blanks removed, F4 empty lists ignored, F5 NOT NULL."""
-    spec = FL.FilterSpec.of(regions=["AMERICA", " ", "ASIA", None], sizes=["Pequeno", "Medio", ""],
+    spec = FL.FilterSpec.of(regions=["AMERICA", " ", "ASIA", None], sizes=["Pequeno", "Médio", ""],
                             statuses=["F", "O"], states=[])
     d = FL.not_null(spec.apply(M(spark, sf)), ["indice"])
     return (d.groupBy("regiao", "class_tam_imovel", "status_imovel")
@@ -133,20 +133,61 @@ def complete_groups(spark, sf):
     return FL.complete_groups(membership, _selected_states(spark), "regiao", "estado")
 
 
-@query("context_panorama", f"""
+def _panorama_sql(regions: str, sizes: str, states: str) -> str:
+    """Rows of the regions (a condition), or the filtered rows if there are none."""
+    return f"""
 SELECT regiao, faixa_jaccard, CAST(count(*) AS BIGINT) AS n FROM matches
-WHERE regiao IN ({_COMPLETE_SQL}) AND class_tam_imovel IN ('Pequeno','Medio','Grande')
-GROUP BY ALL
+WHERE {regions} AND class_tam_imovel IN ({sizes}) GROUP BY ALL
 UNION ALL
 SELECT regiao, faixa_jaccard, CAST(count(*) AS BIGINT) AS n FROM matches
-WHERE estado IN ({_STATES_SQL}) AND class_tam_imovel IN ('Pequeno','Medio','Grande') AND NOT EXISTS ({_COMPLETE_SQL})
+WHERE estado IN ({states}) AND class_tam_imovel IN ({sizes})
+  AND NOT EXISTS (SELECT 1 FROM matches WHERE {regions} AND class_tam_imovel IN ({sizes}))
 GROUP BY ALL
-""")
+"""
+
+
+def _panorama(spark, sf, states, sizes, regions=()):
+    spec = FL.FilterSpec.of(states=states, sizes=sizes, regions=regions)
+    n, r = T(spark, sf, "nation"), T(spark, sf, "region")
+    dim = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("regiao"), F.col("n_name").alias("estado"))
+    rows = FL.context_rows(M(spark, sf), spec, dim)
+    return rows.groupBy("regiao", "faixa_jaccard").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SIZES = ["Pequeno", "Médio", "Grande"]
+_SIZES_SQL = "'Pequeno','Médio','Grande'"
+_DIM_COMPLETE_SQL = """SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+GROUP BY r_name HAVING bool_and(n_name IN ({states}))"""
+_TWO_STATES = ["NATION_1", "NATION_2"]
+
+
+@query("context_panorama", _panorama_sql(f"regiao IN ({_DIM_COMPLETE_SQL.format(states=_STATES_SQL)})", _SIZES_SQL, _STATES_SQL))
 def context_panorama(spark, sf):
-    """region x band with the state filter relaxed to the complete regions;
-    falls back to the state-filtered rows when no region is complete."""
-    spec = FL.FilterSpec.of(states=STATE_SELECTION, sizes=["Pequeno", "Medio", "Grande"])
-    rows = FL.context_rows(M(spark, sf), spec)
+    """F11, some region complete: region x band of the complete regions."""
+    return _panorama(spark, sf, STATE_SELECTION, _SIZES)
+
+
+@query("context_panorama_none", _panorama_sql("true", "'Grande'", "'NATION_1','NATION_2'"))
+def context_panorama_none(spark, sf):
+    """F11, no region complete: no region filter, all regions."""
+    return _panorama(spark, sf, _TWO_STATES, ["Grande"])
+
+
+@query("context_panorama_regions", _panorama_sql("regiao IN ('EUROPE')", _SIZES_SQL, _STATES_SQL))
+def context_panorama_regions(spark, sf):
+    """F11, explicit regions: they are used alone, whatever states are selected."""
+    return _panorama(spark, sf, STATE_SELECTION, _SIZES, ["EUROPE"])
+
+
+@query("context_panorama_empty", """
+SELECT regiao, faixa_jaccard, CAST(count(*) AS BIGINT) AS n FROM matches
+WHERE estado IN ('NATION_1','NATION_2') AND class_tam_imovel IN ('Pequeno','Médio','Grande') GROUP BY ALL
+""")
+def context_panorama_empty(spark, sf):
+    """F11, nothing left after the relaxation (a region without rows): the filtered rows."""
+    m = M(spark, sf)
+    spec = FL.FilterSpec.of(states=_TWO_STATES, sizes=_SIZES, regions=["ANTARCTICA"])
+    rows = FL.context_rows(m, spec, m.select("regiao", "estado").limit(0))
     return rows.groupBy("regiao", "faixa_jaccard").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -26,13 +26,16 @@ def average_ranks(spark, sf):
     return r.select(F.col("indice").alias("value"), F.col("cnt").cast("long"), r6("rank"))
 
 
-@query("kruskal_wallis", extra_ctes=_V + """,
+_KW_CTES = _V + """,
 rk AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM v),
 rs AS (SELECT g, sum(r) AS rr, count(*) AS n FROM rk GROUP BY g),
 tot AS (SELECT CAST(count(*) AS DOUBLE) AS nn, count(DISTINCT g) AS k FROM v),
 ties AS (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS tt FROM (SELECT count(*) AS t FROM v GROUP BY x)),
 hh AS (SELECT (12.0 / (nn * (nn + 1)) * sum(rr * rr / n) - 3 * (nn + 1)) / (1 - tt / (nn * nn * nn - nn)) AS h, nn, k
-       FROM rs, tot, ties GROUP BY nn, k, tt)""", sql="""
+       FROM rs, tot, ties GROUP BY nn, k, tt)"""
+
+
+@query("kruskal_wallis", extra_ctes=_KW_CTES, sql="""
 SELECT round(h, 6) AS h, CAST(k - 1 AS BIGINT) AS dof, round(greatest(0, (h - k + 1) / (nn - k)), 6) AS epsilon2,
        round(h / (nn - 1), 6) AS eta2,
        CASE WHEN greatest(0, (h - k + 1) / (nn - k)) < 0.01 THEN 'Desprezível'
@@ -47,10 +50,14 @@ def kruskal_wallis(spark, sf):
     return kw.select(r6("h"), "dof", r6("epsilon2"), r6("eta2"), "magnitude", "n", "k")
 
 
-@query("kruskal_test")
+@query("kruskal_test", extra_ctes=_KW_CTES, sql="""
+SELECT round(h, 6) AS h, CAST(k - 1 AS BIGINT) AS dof, round(exp(-h / 2), 9) AS p_value, exp(-h / 2) < 0.05 AS diferenca_global
+FROM hh
+""")
 def kruskal_test(spark, sf):
-    """K1 with the chi-square p-value (checked against brute force in tests)."""
-    return RT.kruskal_test(M(spark, sf), "class_tam_imovel", "indice")
+    """K1 with the chi-square p-value; with three groups it is exp(-h / 2)."""
+    t = RT.kruskal_test(M(spark, sf), "class_tam_imovel", "indice")
+    return t.select(r6("h"), "dof", F.round("p_value", 9).alias("p_value"), "diferenca_global")
 
 
 @query("mannwhitney_pairs", extra_ctes=_V + """,

@@ -3,7 +3,7 @@
 The library never creates a session inside an operator; callers pass one in.
 ``local_session`` is for tests and the bench only.  ``checkpoint_dir`` reads
 ``spark.checkpoint.dir`` from the running session (the shared folder a
-cluster names) and only falls back to a scratch folder when it is unset.
+cluster names); a scratch folder stands in for it in local mode only.
 """
 
 from __future__ import annotations
@@ -58,11 +58,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; a scratch one only if unset."""
+    """Shared checkpoint folder from the session. Unset, it is an error on a cluster, whose
+    executors don't see the driver's folders; in local mode a scratch folder is set."""
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="matchlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
-_TABLES: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple, tuple] = {}
 
 
 def _exists(path: str) -> bool:
@@ -47,16 +47,31 @@ def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (),
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, read again with its schema: fixed rows, cut lineage."""
+    path = write_table(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_state(spark: SparkSession, paths) -> tuple:
+    """Names, sizes and times of the files under ``paths``, listed by Spark."""
+    out = []
+    for p in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p) \
+            .select("path", "length", "modificationTime").orderBy("path").collect()
+        out.append(tuple((f["path"], f["length"], str(f["modificationTime"])) for f in files))
+    return tuple(out)
+
+
 def materialized(spark: SparkSession, name: str, key: str, build, partition_by: tuple[str, ...] = (),
-                 cluster_by: tuple[str, ...] = ()) -> DataFrame:
-    """Build-once table per (application, name, key); later calls read the files."""
-    app = spark.sparkContext.applicationId
-    k = (app, f"{name}:{key}")
-    path = _TABLES.get(k)
+                 cluster_by: tuple[str, ...] = (), inputs: tuple[str, ...] = ()) -> DataFrame:
+    """Build-once table per (application, name, key, state of the ``inputs``); later calls read
+    the files, with the schema they were written with (a text partition '01' stays text)."""
+    k = (spark.sparkContext.applicationId, f"{name}:{key}", input_state(spark, inputs))
+    path, schema = _TABLES.get(k, (None, None))
     if path is None or not _exists(path):
         digest = hashlib.sha1(key.encode()).hexdigest()[:8]
-        path = write_table(build(), f"{name}-{digest}", partition_by, cluster_by=cluster_by)
-        _TABLES[k] = path
-    df = spark.read.parquet(path)
-    return df
-
+        df = build()
+        path, schema = write_table(df, f"{name}-{digest}", partition_by, cluster_by=cluster_by), df.schema
+        _TABLES[k] = path, schema
+    return spark.read.schema(schema).parquet(path)

@@ -7,7 +7,7 @@ database is read through Spark's JDBC source with partitioned reads.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +18,31 @@ from ..operators.topk import union_all
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, multi_line: bool = False, bad_rows: bool = False) -> DataFrame:
     """CSV with header; an explicit schema avoids an inference pass
-    (``inferSchema`` only when no schema is given)."""
-    r = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    (``inferSchema`` only when no schema is given).
+
+    Quotes inside a quoted value are doubled, as pandas writes them. Values with
+    line breaks need ``multi_line``, which reads each file in one task. A row that
+    doesn't fit the schema fails the read; with ``bad_rows`` it is kept, with its
+    line in the column ``_bad_row``."""
+    r = spark.read.option("header", header).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
-        return r.schema(schema).csv(path)
+        return r.option("mode", "PERMISSIVE" if bad_rows else "FAILFAST").option(
+            "columnNameOfCorruptRecord", BAD_ROW).schema(_with_bad(schema, bad_rows)).csv(path)
     return r.option("inferSchema", True).csv(path)
 
 
+BAD_ROW = "_bad_row"
+
+
+def _with_bad(schema, bad_rows: bool):
+    if not bad_rows:
+        return schema
+    s = T._parse_datatype_string(schema) if isinstance(schema, str) else T.StructType(list(schema.fields))
+    return s.add(BAD_ROW, "string")
+
+
 def with_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Per-column type override applied with try_cast (bad text -> NULL)."""
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
@@ -38,7 +54,7 @@ def write_csv(df: DataFrame, path: str, max_records_per_file: int | None = None,
 
     Writing to a new path and switching readers to it (instead of overwriting
     the table being read) keeps a failed job from destroying its own input."""
-    w = df.write.mode(mode).option("header", True)
+    w = df.write.mode(mode).option("header", True).option("escape", '"')
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
     w.csv(path)
@@ -77,20 +93,25 @@ def read_jdbc(spark: SparkSession, **kwargs) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**kwargs)).load()
 
 
-def union_parts(parts: Mapping[str, Callable[[], DataFrame]], tag: str) -> DataFrame | None:
+def union_parts(parts: Mapping[str, Callable[[], DataFrame]], tag: str,
+                optional: Sequence[str] = ()) -> tuple[DataFrame | None, list[str]]:
     """S4 + X1: one frame per part (e.g. one relation per region), tagged with
-    the part name, unioned by column name.  Parts whose plan fails to resolve
-    (missing relation / column) are skipped, as the reference skips failing
-    regions; empty parts simply contribute no rows."""
-    frames = []
+    the part name, unioned by column name.  A part whose plan fails to resolve
+    (missing relation / column) raises, unless it is named in ``optional``: it is
+    skipped then.  Returns the union and the names of the skipped parts; empty
+    parts simply contribute no rows."""
+    frames, skipped = [], []
     for name, build in parts.items():
         try:
             df = build()
             df.schema  # resolve now so a missing relation is skipped here
         except AnalysisException:
+            if name not in optional:
+                raise
+            skipped.append(name)
             continue
         frames.append(df.withColumn(tag, F.lit(name)))
-    return union_all(frames) if frames else None
+    return (union_all(frames) if frames else None), skipped
 
 
 def feature_collection_json(features: DataFrame, id_col: str, prop: str = "sigla") -> DataFrame:

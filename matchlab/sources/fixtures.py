@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table_path
-from ..functions import expr as X
+from ..operators.derive import derive_matches
 from ..operators.joins import equality_flag
 
 
+INPUTS = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
 def place_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> nation -> region; nation/region are fixed-size (25/5 rows) dims."""
+    """customer -> nation -> region; Spark broadcasts the small dimensions by their size."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nr = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    return c.join(F.broadcast(nr), c.c_nationkey == nr.n_nationkey)
+    nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    return c.join(nr, c.c_nationkey == nr.n_nationkey)
 
 
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +40,6 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    # Both big sides hash-partitioned on the order key: the exchange a
-    # sort-merge join needs at scale anyway, and it spreads the pipeline over
-    # all cores when a table arrives as a single row group.
-    li = li.repartition("l_orderkey")
-    o = o.repartition("o_orderkey")
     cd = place_dim(spark, sf_dir)
     od = o.join(cd, o.o_custkey == cd.c_custkey)
     j = (li.join(od, li.l_orderkey == od.o_orderkey)
@@ -76,22 +74,5 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derive_matches(raw: DataFrame, index: str = "indice", owner_text: str = "igualdade_txt",
-                   date_text: str = "data_cadastro_imovel", size: str = "num_modulo",
-                   area_a: str = "area_a", area_b: str = "area_b") -> DataFrame:
-    """Derived columns of the fact table (computed once, lazily, in one projection).
-
-    ``withColumns`` replaces a column the raw file already carries (e.g. a
-    previously derived ``ano_cadastro``) instead of duplicating it."""
-    return raw.withColumns({
-        "cpf_ok": X.truthy_flag(owner_text),
-        "label_cpf": X.truthy_label(owner_text),
-        "ano_cadastro": X.year_from_text(date_text),
-        "faixa_jaccard": X.jaccard_band(index),
-        "class_tam_imovel": X.size_class(size, decimal_round=False),
-        "discrepancia": X.relative_diff_pct(area_a, area_b),
-    })
-
-
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_matches(raw_matches(spark, sf_dir))

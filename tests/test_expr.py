@@ -85,7 +85,7 @@ def test_year_from_text(spark):
 def test_size_class_decimal_rounding(spark):
     vals = [4, 4.00004, 4.00005, 15, None]
     got = [r[0] for r in _col(spark, vals).select(X.size_class("x")).collect()]
-    assert got == ["Pequeno", "Pequeno", "Medio", "Medio", "Grande"]
+    assert got == ["Pequeno", "Pequeno", "Médio", "Médio", "Grande"]
 
 
 def test_threshold_label_null_and_nan_are_below(spark):

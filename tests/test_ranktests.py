@@ -47,10 +47,31 @@ def test_kruskal_matches_brute_force(spark):
     assert row["epsilon2"] == pytest.approx(max(0, (h - k + 1) / (len(pdf) - k)))
 
 
-def test_chi2_sf_other_dof():
-    # dof = 4: Q(2, x/2) = exp(-x/2) (1 + x/2)
-    for x in [0.5, 3.0, 12.0]:
-        assert RT._gammq(2.0, x / 2) == pytest.approx(math.exp(-x / 2) * (1 + x / 2), rel=1e-12)
+def test_tail_probabilities(spark):
+    from pyspark.sql import functions as F
+
+    from matchlab.functions import stats
+    rows = [(x, d) for x in [0.0, 0.01, 0.5, 3.0, 12.0, 90.0] for d in [1, 2, 3, 4, 7, 40]]
+    df = spark.createDataFrame(rows, "x double, d int").select("x", "d", stats.chi2_sf(F.col("x"), F.col("d")).alias("p"))
+    for x, d, p in df.collect():
+        # even: finite sum; odd: recurrence from erfc
+        if d % 2 == 0:
+            want = sum(math.exp(-x / 2) * (x / 2) ** j / math.factorial(j) for j in range(d // 2))
+        else:
+            want = math.erfc(math.sqrt(x / 2)) + sum(
+                math.exp(-x / 2) * (x / 2) ** (j + 0.5) / math.gamma(j + 1.5) for j in range(d // 2))
+        assert p == pytest.approx(want, rel=1e-10), (x, d)
+    z = spark.createDataFrame([(k / 10,) for k in range(0, 90)], "z double")
+    for v, p in z.select("z", stats.normal_two_sided(F.col("z"))).collect():
+        assert p == pytest.approx(math.erfc(v / math.sqrt(2)), rel=1e-10)
+
+
+def test_mann_whitney_at_its_mean(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 2.0), ("b", 3.0)], "g string, v double")
+    for correction, alpha in (("bonferroni", 0.05), ("sidak", 0.05), ("none", 0.05)):
+        r = RT.mann_whitney_tests(df, "g", "v", correction=correction).first()
+        assert r.u == 2.0 and r.p_value == pytest.approx(1.0) and r.alpha_corrigido == pytest.approx(alpha)
+        assert r.n_significativos == 0 and not r.significativo
 
 
 def test_mann_whitney_matches_brute_force(spark):

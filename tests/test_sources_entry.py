@@ -20,8 +20,32 @@ def test_jdbc_options():
 def test_union_parts_skips_missing(spark, tmp_path):
     a = lambda: spark.createDataFrame([(1,)], "x int")
     bad = lambda: spark.read.parquet(str(tmp_path / "nope.parquet"))
-    u = S.union_parts({"a": a, "bad": bad}, "part")
-    assert [tuple(r) for r in u.collect()] == [(1, "a")]
+    u, skipped = S.union_parts({"a": a, "bad": bad}, "part", optional=["bad"])
+    assert [tuple(r) for r in u.collect()] == [(1, "a")] and skipped == ["bad"]
+
+
+def test_csv_as_pandas_writes_it(spark, tmp_path):
+    import pandas as pd
+    rows = [(1, 'say "hi", ok', 1.5), (2, "a,b", None), (3, "line\nbreak", 2.0)]
+    pd.DataFrame(rows, columns=["id", "t", "x"]).to_csv(tmp_path / "p.csv", index=False)
+    back = S.read_csv(spark, str(tmp_path / "p.csv"), "id long, t string, x double", multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    (tmp_path / "bad.csv").write_text("id,x\n1,2.5\nzwei,3\n")
+    with pytest.raises(Exception, match="(?i)malformed|parse|convert"):
+        S.read_csv(spark, str(tmp_path / "bad.csv"), "id long, x double").collect()
+    kept = S.read_csv(spark, str(tmp_path / "bad.csv"), "id long, x double", bad_rows=True).cache()
+    assert [r[S.BAD_ROW] for r in kept.orderBy("x").collect()] == [None, "zwei,3"]
+
+
+def test_materialized_follows_its_inputs(spark, tmp_path):
+    from matchlab.sources import catalog
+    src = str(tmp_path / "in")
+    read = lambda: spark.read.schema("p string, x int").parquet(src)
+    spark.createDataFrame([("01", 1), ("", 2)], "p string, x int").write.parquet(src)
+    get = lambda: catalog.materialized(spark, "t", src, read, partition_by=("p",), inputs=(src,))
+    assert dict(get().dtypes)["p"] == "string" and {r.p for r in get().where("x = 1").collect()} == {"01"}
+    spark.createDataFrame([("02", 3)], "p string, x int").write.mode("append").parquet(src)
+    assert get().count() == 3
 
 
 def test_csv_chunked_roundtrip(spark, tmp_path):
