@@ -116,6 +116,13 @@ def discrepancy_band(c) -> Column:
     return band(c, L.DISCREPANCY_EDGES, L.DISCREPANCY_LABELS, right=True)
 
 
+def require_columns(df, names) -> None:
+    """One clear error that names every column an input lacks."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}; there are: {', '.join(df.columns)}")
+
+
 # --- P11: size class -------------------------------------------------------
 
 def size_class(c, decimal_round: bool = True) -> Column:

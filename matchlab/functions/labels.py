@@ -60,6 +60,14 @@ RELIABILITY_ACTIONS = {
     (OWNER_DIFFERENT, GEO_LOW): "CRÍTICO/BAIXA PRIOR.\n(Reestruturar)",
 }
 
+# The same cells as the exploratory analysis names them.
+ANALYSIS_ACTIONS = {
+    (OWNER_EQUAL, GEO_HIGH): "ALTA MATURIDADE\n(Monitorar)",
+    (OWNER_EQUAL, GEO_LOW): "DESAFIO ESPACIAL\n(Retificar/Notificar)",
+    (OWNER_DIFFERENT, GEO_HIGH): "DESAFIO CADASTRAL\n(Auditar)",
+    (OWNER_DIFFERENT, GEO_LOW): "BAIXA MATURIDADE\n(Reestruturar)",
+}
+
 # Maturity quadrants (x = % high index, y = % owner equal, split at 50/50).
 MATURITY_SPLIT = 50.0
 MATURITY_QUADRANTS = {

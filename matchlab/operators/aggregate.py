@@ -280,6 +280,15 @@ def extents(df: DataFrame, col: str) -> DataFrame:
                   (F.max(col) - F.min(col)).alias("span"))
 
 
+def overview(df: DataFrame, distinct: Mapping[str, str], extent: Mapping[str, str]) -> DataFrame:
+    """A3 + A22 in one scan: COUNT(DISTINCT) as each name of ``distinct``, and min, max and span
+    as <name>_min, <name>_max, <name>_span of each name of ``extent``."""
+    aggs = [F.countDistinct(c).cast("long").alias(n) for n, c in distinct.items()]
+    for n, c in extent.items():
+        aggs += [F.min(c).alias(f"{n}_min"), F.max(c).alias(f"{n}_max"), (F.max(c) - F.min(c)).alias(f"{n}_span")]
+    return df.agg(*aggs)
+
+
 def legend_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """Min, median, max."""
     return group_quantiles_wide(df, value, {"q_min": 0.0, "q_mid": 0.5, "q_max": 1.0}, by, method)

@@ -36,12 +36,15 @@ def reliability_matrix(df: DataFrame, owner_label: str = "label_cpf", index: str
         .agg(F.count(F.lit(1)).alias("n"))
     full = complete_domain(c, {"label_cpf": L.OWNER_LABELS, "label_geo": L.GEO_LABELS}, {"n": 0})
     tot = full.agg(F.sum("n").alias("_tot"))
-    action = F.create_map(*[x for (o, g), a in L.RELIABILITY_ACTIONS.items()
-                            for x in (F.lit(f"{o}|{g}"), F.lit(a))])
+
+    def action(texts):
+        cells = F.create_map(*[x for (o, g), a in texts.items() for x in (F.lit(f"{o}|{g}"), F.lit(a))])
+        return cells[F.concat_ws("|", "label_cpf", "label_geo")]
+
     j = attach_one_row(full, tot)
     return j.select("label_cpf", "label_geo", "n",
                     _pct(F.col("n"), F.col("_tot")).alias("pct"),
-                    action[F.concat_ws("|", "label_cpf", "label_geo")].alias("acao"),
+                    action(L.RELIABILITY_ACTIONS).alias("acao"), action(L.ANALYSIS_ACTIONS).alias("acao_analise"),
                     X.compact_number(F.col("n"), k_decimals=0, strict=True).alias("n_txt"))
 
 

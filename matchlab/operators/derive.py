@@ -16,6 +16,7 @@ def derive_matches(raw: DataFrame, index: str = "indice", owner_text: str = "igu
     NaN in a double column becomes NULL first, so no aggregate is poisoned by it.
     ``withColumns`` replaces a column the raw file already carries (e.g. a
     previously derived ``ano_cadastro``) instead of duplicating it."""
+    X.require_columns(raw, [index, owner_text, date_text, size, area_a, area_b])
     raw = raw.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in raw.schema
                            if f.dataType.typeName() in ("double", "float")})
     return raw.withColumns({

@@ -109,6 +109,14 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1
     return q.drop("_iqr", "_lo", "_hi").join(s, by)
 
 
+def violin_table(df: DataFrame, value: str, by: Sequence[str], **kw) -> DataFrame:
+    """A26 + A28 for a violin plot: the density grid of each group with its quartiles
+    (by..., j, x, density, q1, median, q3); keywords as in ``kde``."""
+    by = list(by)
+    q = pinned(group_quantiles_wide(_clean(df, value, by), value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
+    return kde(df, value, by, **kw).join(q, by)
+
+
 def linear_trend(series: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """A29 + W6: least squares of y on the 0-based ordinal position of x
     (numpy polyfit(arange(n), y, 1)); returns the series with pos, slope,

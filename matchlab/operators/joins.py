@@ -105,17 +105,18 @@ def pairs_within(points: DataFrame, id_col: str, x: str, y: str, radius: float,
     """Unordered pairs (i < j) with Euclidean distance < radius.
 
     Grid equi-join: cell = floor(coord / radius); each point meets only the
-    points of its own and the 8 neighbouring cells, never a cartesian product.
+    points of its own cell and of 4 of the 8 cells around it (the other 4 meet it
+    from their side), never a cartesian product.
     """
     cx, cy = F.floor(F.col(x) / radius).cast("long"), F.floor(F.col(y) / radius).cast("long")
     pts = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()) \
         .select(id_col, x, y, *keep, cx.alias("_cx"), cy.alias("_cy"))
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                     for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+                     for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     probe = pts.select(
         *[F.col(c).alias(f"{c}_1") for c in [id_col, x, y, *keep]],
         F.explode(offs).alias("_o"), "_cx", "_cy",
-    ).select("*", (F.col("_cx") + F.col("_o.dx")).alias("_gx"),
+    ).select("*", ((F.col("_o.dx") == 0) & (F.col("_o.dy") == 0)).alias("_same"), (F.col("_cx") + F.col("_o.dx")).alias("_gx"),
              (F.col("_cy") + F.col("_o.dy")).alias("_gy")).drop("_o", "_cx", "_cy")
     build = pts.select(*[F.col(c).alias(f"{c}_2") for c in [id_col, x, y, *keep]],
                        F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"))
@@ -123,8 +124,12 @@ def pairs_within(points: DataFrame, id_col: str, x: str, y: str, radius: float,
     dx = F.col(f"{x}_1") - F.col(f"{x}_2")
     dy = F.col(f"{y}_1") - F.col(f"{y}_2")
     d2 = dx * dx + dy * dy
-    return (j.filter((F.col(f"{id_col}_1") < F.col(f"{id_col}_2")) & (d2 < radius * radius))
-            .withColumn("distance", F.sqrt(d2)).drop("_gx", "_gy"))
+    less = F.col(f"{id_col}_1") < F.col(f"{id_col}_2")
+    near = j.filter((d2 < radius * radius) & F.when(F.col("_same"), less).otherwise(F.col(f"{id_col}_1") != F.col(f"{id_col}_2")))
+    cols = [id_col, x, y, *keep]
+    first = [F.when(less, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(f"{c}_1") for c in cols]
+    second = [F.when(less, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")).alias(f"{c}_2") for c in cols]
+    return near.select(*first, *second, F.sqrt(d2).alias("distance"))
 
 
 def group_pairs(df: DataFrame, group: str) -> DataFrame:

@@ -27,6 +27,11 @@ SELECT label_cpf, label_geo, CAST(n AS BIGINT) AS n, round(n * 100.0 / sum(n) OV
          WHEN 'Igual|< 85%' THEN 'ERRO TÉCNICO' || chr(10) || '(Retificar)'
          WHEN 'Diferente|>= 85%' THEN 'RISCO JURÍDICO' || chr(10) || '(Auditar)'
          WHEN 'Diferente|< 85%' THEN 'CRÍTICO/BAIXA PRIOR.' || chr(10) || '(Reestruturar)' END AS acao,
+       CASE label_cpf || '|' || label_geo
+         WHEN 'Igual|>= 85%' THEN 'ALTA MATURIDADE' || chr(10) || '(Monitorar)'
+         WHEN 'Igual|< 85%' THEN 'DESAFIO ESPACIAL' || chr(10) || '(Retificar/Notificar)'
+         WHEN 'Diferente|>= 85%' THEN 'DESAFIO CADASTRAL' || chr(10) || '(Auditar)'
+         WHEN 'Diferente|< 85%' THEN 'BAIXA MATURIDADE' || chr(10) || '(Reestruturar)' END AS acao_analise,
        CASE WHEN n > 1000000 THEN printf('%.1fM', n / 1000000.0) WHEN n > 1000 THEN printf('%.0fK', n / 1000.0)
             ELSE printf('%.0f', CAST(n AS DOUBLE)) END AS n_txt
 FROM f
@@ -34,7 +39,7 @@ FROM f
 def reliability_matrix(spark, sf):
     """Owner x high-index matrix with recommended actions."""
     r = C.reliability_matrix(M(spark, sf))
-    return r.select("label_cpf", "label_geo", F.col("n").cast("long"), r6("pct"), "acao", "n_txt")
+    return r.select("label_cpf", "label_geo", F.col("n").cast("long"), r6("pct"), "acao", "acao_analise", "n_txt")
 
 
 @query("risk_matrix", extra_ctes="""

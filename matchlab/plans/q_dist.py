@@ -142,6 +142,20 @@ def kde_by_group(spark, sf):
     return k.select("class_tam_imovel", F.col("j").cast("int"), r6("x"), r6("density"))
 
 
+@query("violin_table", extra_ctes=_KDE_CTES + """,
+q AS (SELECT g, quantile_cont(x, 0.25) AS q1, median(x) AS med, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY 1)""", sql="""
+SELECT grid.g AS class_tam_imovel, CAST(grid.j AS INT) AS j, round(grid.x, 6) AS x,
+       round(sum(pts.c * exp(-0.5 * ((grid.x - pts.p) / grid.h) * ((grid.x - pts.p) / grid.h)))
+             / (grid.n * grid.h * sqrt(2 * pi())), 6) AS density, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3
+FROM grid JOIN pts ON grid.g = pts.g JOIN q ON q.g = grid.g GROUP BY grid.g, grid.j, grid.x, grid.n, grid.h, q1, med, q3
+""")
+def violin_table(spark, sf):
+    """A26 + A28: density and quartiles of the index (percent) per size class."""
+    m = M(spark, sf).select("class_tam_imovel", (F.col("indice") * 100).alias("pct"))
+    k = D.violin_table(m, "pct", ["class_tam_imovel"], grid_size=50, clip=(0.0, 100.0))
+    return k.select("class_tam_imovel", F.col("j").cast("int"), r6("x"), r6("density"), r6("q1"), r6("median"), r6("q3"))
+
+
 @query("linear_trend", extra_ctes="""
 s AS (SELECT ano_cadastro, median(indice) AS y FROM matches WHERE ano_cadastro IS NOT NULL GROUP BY 1),
 p AS (SELECT ano_cadastro, y, CAST(row_number() OVER (ORDER BY ano_cadastro) - 1 AS INT) AS pos FROM s)""", sql="""

@@ -164,6 +164,19 @@ def feature_join(spark, sf):
     return j.select("sigla", r6("median_indice"))
 
 
+@query("feature_join_id", """
+SELECT c_custkey AS id, round(median(indice), 6) AS median_indice
+FROM customer LEFT JOIN matches ON matches.idt_municipio = c_custkey GROUP BY 1
+""")
+def feature_join_id(spark, sf):
+    """S8 by properties.id: features of the places, as lines, joined to the median of each place."""
+    path = os.path.join(checkpoint_dir(spark), "matchlab-geo", uuid.uuid4().hex[:12])
+    S.write_feature_lines(T(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey")), path, "c_custkey")
+    feats = S.read_feature_lines(spark, path)
+    med = A.group_median(M(spark, sf), ["idt_municipio"], "indice", "median_indice")
+    return feats.join(med, feats["id"] == med["idt_municipio"], "left").select("id", r6("median_indice"))
+
+
 @query("preview_rows", """
 SELECT cod_imovel, linha, id_parte, id_vizinhanca FROM matches
 ORDER BY cod_imovel, linha, id_parte, id_vizinhanca LIMIT 5

@@ -203,12 +203,37 @@ def qualified_places(spark, sf):
     return WN.qualified_places(M(spark, sf), "municipio_nome", "estado")
 
 
-@query("dimension_catalog", """
+@query("dimension_catalog", extra_ctes="""
+p AS (SELECT municipio_nome, estado, count(DISTINCT estado) OVER (PARTITION BY municipio_nome) AS n_ufs
+      FROM (SELECT DISTINCT municipio_nome, estado FROM matches WHERE municipio_nome IS NOT NULL))""", sql="""
 SELECT DISTINCT 'regiao' AS dimension, regiao AS value FROM matches WHERE regiao IS NOT NULL
 UNION ALL SELECT DISTINCT 'estado', estado FROM matches WHERE estado IS NOT NULL
 UNION ALL SELECT DISTINCT 'class_tam_imovel', class_tam_imovel FROM matches WHERE class_tam_imovel IS NOT NULL
 UNION ALL SELECT DISTINCT 'status_imovel', status_imovel FROM matches WHERE status_imovel IS NOT NULL
+UNION ALL SELECT 'municipio', CASE WHEN n_ufs > 1 THEN municipio_nome || ' - ' || estado ELSE municipio_nome END FROM p
 """)
 def dimension_catalog(spark, sf):
-    """Sorted distinct non-null values of the filter dimensions in one pass."""
-    return WN.dimension_catalog(M(spark, sf), ["regiao", "estado", "class_tam_imovel", "status_imovel"])
+    """Sorted distinct values of the filter dimensions, place names included."""
+    m = M(spark, sf)
+    dims = WN.dimension_catalog(m, ["regiao", "estado", "class_tam_imovel", "status_imovel"])
+    places = WN.qualified_places(m, "municipio_nome", "estado").select(F.lit("municipio").alias("dimension"), F.col("place").alias("value"))
+    return dims.unionByName(places).orderBy("dimension", "value")
+
+
+@query("place_selection_table", """
+SELECT estado, municipio_nome, CAST(count(*) AS BIGINT) AS n FROM matches
+WHERE municipio_nome IN ('007', '777') OR (municipio_nome = '123' AND estado = 'NATION_12') GROUP BY ALL
+""")
+def place_selection_table(spark, sf):
+    """F2 with the selection in a table of qualified and bare names (semi-join)."""
+    sel = spark.createDataFrame([("007",), ("123 - NATION_12",), ("777",)], "place string")
+    return FL.place_filter_from_table(M(spark, sf), sel).groupBy("estado", "municipio_nome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("state_selection_table", """
+SELECT estado, CAST(count(*) AS BIGINT) AS n FROM matches WHERE estado IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY 1
+""")
+def state_selection_table(spark, sf):
+    """F1 with the selection in a table."""
+    chosen = T(spark, sf, "nation").where("n_regionkey = 1").select("n_name")
+    return FL.isin_or_semijoin(M(spark, sf), "estado", chosen).groupBy("estado").agg(F.count(F.lit(1)).alias("n"))

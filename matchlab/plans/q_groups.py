@@ -240,14 +240,9 @@ FROM matches
 """)
 def global_extents(spark, sf):
     """A3 global distinct counts, A22 min / max / span."""
-    m = M(spark, sf)
-    a = A.distinct_count(m, "cod_imovel", alias="n_imoveis")
-    b = A.distinct_count(m, "estado", alias="n_ufs")
-    y = A.extents(m, "ano_cadastro").select(F.col("min").alias("ano_min"), F.col("max").alias("ano_max"))
-    ar = A.extents(m, "area_a").select(r6("span", "area_span"))
-    out = J.attach_one_row(J.attach_one_row(J.attach_one_row(a, b), y), ar)
-    return out.select(F.col("n_imoveis").cast("long"), F.col("n_ufs").cast("long"), "ano_min", "ano_max",
-                      "area_span")
+    out = A.overview(M(spark, sf), distinct={"n_imoveis": "cod_imovel", "n_ufs": "estado"},
+                     extent={"ano": "ano_cadastro", "area": "area_a"})
+    return out.select("n_imoveis", "n_ufs", "ano_min", "ano_max", r6("area_span"))
 
 
 # --- A11, W3 ---------------------------------------------------------------------------------

@@ -123,6 +123,19 @@ def feature_collection_json(features: DataFrame, id_col: str, prop: str = "sigla
                                     F.collect_list("f").alias("features"))).alias("value"))
 
 
+def write_feature_lines(features: DataFrame, path: str, id_col: str, prop: str = "id") -> str:
+    """One feature a line, written in parallel (for tables of places of any length)."""
+    features.select(F.lit("Feature").alias("type"), F.struct(F.col(id_col).alias(prop)).alias("properties")) \
+        .write.mode("overwrite").json(path)
+    return path
+
+
+def read_feature_lines(spark: SparkSession, path: str, prop: str = "id", kind: str = "long") -> DataFrame:
+    """S8 for features as lines: one row per feature with its key property."""
+    rows = spark.read.schema(f"type string, properties struct<{prop}: {kind}>").json(path)
+    return rows.select(F.col(f"properties.{prop}").alias(prop))
+
+
 def read_features(spark: SparkSession, path: str, prop: str = "sigla") -> DataFrame:
     """Feature-collection JSON -> one row per feature with its key property.
 

@@ -244,3 +244,9 @@ def test_kde_heavy_tail_is_direct(spark):
     h = vals.std(ddof=1) * len(vals) ** -0.2
     want = [np.exp(-0.5 * ((x - vals) / h) ** 2).sum() / (len(vals) * h * math.sqrt(2 * math.pi)) for x in d.x]
     assert len(d) == 40 and np.allclose(d.density, want, rtol=1e-9, atol=1e-15)
+
+
+def test_missing_columns_are_named(spark):
+    from matchlab.operators.derive import derive_matches
+    with pytest.raises(ValueError, match="missing columns: indice, num_modulo"):
+        derive_matches(spark.createDataFrame([], "igualdade_txt string, data_cadastro_imovel string, area_a double, area_b double"))
