@@ -108,7 +108,8 @@ def _matches(rule: Rule, kind: int, text: Column) -> Column:
 
 def _verified(docs: DataFrame, rules) -> DataFrame:
     """``docs`` (doc_id, text, th) with the names of the rules to verify on each."""
-    c = candidates(docs, rules).select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "rules")
+    texts = docs.select("doc_id", "th", F.coalesce("text", F.lit("")).alias("text"))
+    c = candidates(texts, rules).select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "rules")
     return docs.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left").drop("c_id", "c_th")
 
 
@@ -136,19 +137,16 @@ def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its rule's mark, rule after rule, and
     ``n_chars`` (where there is one) as the new length. All rows and columns stay."""
-    names = docs.columns
-    d = docs.withColumns({"_sid": F.col("doc_id"), "_sth": F.xxhash64(F.coalesce("text", F.lit("")))})
-    c = candidates(_documents(docs, "doc_id", "text"), rules)
-    c = c.select(F.col("doc_id").alias("_cid"), F.col("th").alias("_cth"), "rules")
-    d = d.withColumnRenamed("rules", "_rules") if "rules" in names else d
-    v = d.join(c, F.col("_sid").eqNullSafe(F.col("_cid")) & (F.col("_sth") == F.col("_cth")), "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(whole.alias("_doc")).select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    d = d.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    v = _verified(d, rules)
     for rule in rules:
         v = v.withColumn("text", F.when(_asked(rule, F.col("text")), _without(rule, F.col("text"))).otherwise(F.col("text")))
-    if "n_chars" in names:
-        v = v.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    v = v.drop("rules", "_cid", "_cth", "_sid", "_sth")
-    v = v.withColumnRenamed("_rules", "rules") if "rules" in names else v
-    return v.select(*[F.col(f"`{c}`") for c in names])
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return v.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _without(rule: Rule, text: Column) -> Column:
