@@ -21,14 +21,14 @@ PINNED_ROWS = 10_000
 
 
 def pinned(small: DataFrame, by_rows: int = 1) -> DataFrame:
-    """A small aggregated table, computed now and held fixed: as constants of the plan, whose
-    size Spark knows when it chooses a join, up to PINNED_ROWS (times ``by_rows``) rows;
-    beyond that as a written table."""
+    """A small aggregated table, computed now and held fixed: as constants of the plan with a
+    broadcast hint up to PINNED_ROWS (times ``by_rows``) rows; beyond that as a written
+    table, which Spark joins by its size."""
     most = PINNED_ROWS * by_rows
     got = small.limit(most + 1).toArrow()
     if got.num_rows > most:
         return catalog.written(small, "pinned")
-    return small.sparkSession.createDataFrame(got, small.schema)
+    return F.broadcast(small.sparkSession.createDataFrame(got, small.schema))
 
 
 def scalar_struct(one_row: DataFrame) -> Column:

@@ -78,8 +78,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
        more work. Only rows between two edges around a target (about 4 n /
        accuracy of them) are counted by value and ranked.
 
-    Spark broadcasts edges and targets to the rows by their known size; beyond
-    ``pinned``'s bound of groups it may shuffle. Steps 1 and 2 run when the plan is built.
+    Edges and targets are broadcast to the rows; beyond ``pinned``'s bound of
+    groups Spark may shuffle. Steps 1 and 2 run when the plan is built.
     """
     by = list(by)
     keys = by if by else ["_k"]
