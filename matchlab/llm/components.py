@@ -1,9 +1,9 @@
-"""Connected components of an edge table by alternating star contractions.
+"""Connected components of an edge table by contraction to least neighbours.
 
-Each round connects every vertex to the least vertex around it: first its larger
-neighbours, then its smaller ones. The rounds end when the edges form stars. All
-steps are grouped minima (combined before the shuffle) and joins that Spark may
-split at a hot vertex; each round is written to the shared folder.
+Each round ties every vertex and all its neighbours to the least of them, until the
+edges form stars around the least vertices. A round is a grouped minimum (combined
+before the shuffle), a join that Spark may split at a hot vertex, and a distinct;
+its edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,27 +15,22 @@ from .store import written
 
 
 def _contract(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (u, v) with u > v."""
-    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """One round on edges (u, v) with u > v."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    # large star: neighbours above u go to the least vertex around u
-    large = e.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where("u > v").distinct()
-    # small star: u and its smaller neighbours go to the least of them
-    small = large.groupBy("u").agg(F.min("v").alias("m"))
-    out = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-    return out.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+    out = both.join(least, "u").select("u", "v", "m")
+    return out.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every vertex that isn't the least one
     of its component. ``edges`` has the columns u and v; null ends and loops are ignored."""
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v") \
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(e, "edges")
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     state = None
     while True:
         e = written(_contract(e), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == state:
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == state or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        state = tuple(now)
+        state = now

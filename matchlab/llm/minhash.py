@@ -11,9 +11,10 @@ Documents of equal sets are one representative. Within a bucket no pairs are
 listed at first: every representative is compared with the bucket's hub, the one
 that meets most others in all its buckets. Links are confirmed on the full sets.
 Components are then contracted. A hub has met its whole bucket and leaves it; a
-bucket within one component is done. The rest goes on with its next hub, and after
-some rounds all pairs still open (one bucket, different components) are compared.
-A pair inside one component cannot change the result.
+bucket within one component is done. The rest goes on with its next hub. What is
+still open after some rounds is compared exactly, block by block of what the open
+buckets connect, and only links leave a task. A pair inside one component cannot
+change the result.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing
 and are their own component; equal texts are linked; different texts under one id
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
+from .ship import arrow_map, ship
 from .store import written
 
 BANDS, ROWS = 32, 6
@@ -154,13 +156,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+#: Sets and shingles of a block; a task compares two blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 400, 1_000_000
+#: Shingles that one step of a block's product holds.
+COLUMNS = 4096
+
+
+def block_links(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Links (i, j) between sets of ``left`` and ``right`` that lie in different components, one
+    for each pair of components. Intersections are counted exactly, as products of 0-1
+    matrices over the shingles that two sets hold at least."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    row, col = row[shared[col]], number[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((int(left.sum()), int(right.sum())), np.float32)
+    at = np.zeros((len(sets), COLUMNS), np.float32)
+    for c in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(col, [c, c + COLUMNS])
+        at[row[lo:hi], col[lo:hi] - c] = 1
+        both += at[left] @ at[right].T
+        at[row[lo:hi], col[lo:hi] - c] = 0
+    l, r = np.flatnonzero(left), np.flatnonzero(right)
+    both = both.astype(np.int64)
+    good = 100 * both >= percent * (size[l][:, None] + size[r][None, :] - both)
+    i, j = np.nonzero(good & (comp[l][:, None] != comp[r][None, :]))
+    i, j = l[i], r[j]
+    ends = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])], 1)
+    _, first = np.unique(ends, axis=0, return_index=True)
+    return i[first], j[first]
+
+
+def _blocks(percent: int):
+    def run(table):
+        from matchlab.llm import minhash as own
+
+        t = table.combine_chunks()
+        col = t["set"].combine_chunks()
+        offs, flat = np.asarray(col.offsets), col.values.to_numpy()
+        sets = [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
+        v, block = t["v"].to_numpy(), t["block"].to_numpy()
+        i, j = own.block_links(sets, t["comp"].to_numpy(), block == t["lo"].to_numpy(), block == t["hi"].to_numpy(), percent)
+        return pa.table({"a": pa.array(v[i], pa.int64()), "b": pa.array(v[j], pa.int64())})
+    return run
+
+
+def _family_links(b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among vertices that buckets tie together.
+
+    ``b`` has the open buckets (key, v, comp, a: the next hub). A family is what its buckets
+    connect; it is cut into blocks by a hash, as many as its sets ask for, and each task
+    compares two blocks of a family and returns links only. So no pairs are listed and no
+    family has to fit one task."""
+    ship(b.sparkSession)
+    tied = components(b.select(F.col("a").alias("u"), "v"))
+    v = b.select("v", "comp").distinct().join(tied.withColumnRenamed("id", "v"), "v", "left") \
+        .select("v", "comp", F.coalesce("component", "v").alias("family"))
+    v = v.join(sets.select("v", F.size("set").alias("n")), "v")
+    total = v.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    total = total.where("lo < hi").select("family", F.greatest(
+        F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    v = v.join(total, "family").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    v = v.select("v", "comp", "family", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return v.join(sets, "v").groupBy("family", "lo", "hi").applyInArrow(_blocks(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 3) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (least id
     reachable over links of Jaccard >= percent / 100, the own id included)."""
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     kind = d.schema["_id"].dataType.simpleString()
-    sig = written(d.mapInArrow(_signer(shingle, bands, rows), f"_id {kind}, n long, s1 long, keys array<long>"),
+    sig = written(arrow_map(d, _signer(shingle, bands, rows), f"_id {kind}, n long, s1 long, keys array<long>"),
                   "minhash-signatures")
     # a vertex is a set, known by its digest; equal sets are one vertex
     vertex = sig.where("n > 0 AND _id IS NOT NULL")
@@ -174,17 +246,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     chosen = reps.join(weight, reps["s1"] == weight["v"], "left_semi").select(F.col("rep").alias("_id")).distinct()
     chosen = F.broadcast(chosen) if weight.count() <= BROADCAST_IDS else chosen
-    sets = d.join(chosen, "_id", "left_semi").mapInArrow(_setter(shingle), "v long, set array<long>")
+    sets = arrow_map(d.join(chosen, "_id", "left_semi"), _setter(shingle), "v long, set array<long>")
     sets = written(sets.dropDuplicates(["v"]), "minhash-sets")
 
-    # an id of several texts ties their sets together
+    # an id of several texts ties its sets together
     ties = vertex.groupBy("_id").agg(F.min("s1").alias("u"), F.max("s1").alias("o")).where("u <> o").select("_id", "u")
-    links = [vertex.join(ties, "_id").select(F.col("u").alias("a"), F.col("s1").alias("b")).distinct()]
-    links[0] = written(links[0], "minhash-links")
-    comp = None
+    new = written(vertex.join(ties, "_id").select("u", F.col("s1").alias("v")).where("u <> v").distinct(), "minhash-ties")
+    comp = new.select(F.col("u").alias("id"), F.col("v").alias("component")).where("false")
+    if new.head(1):
+        comp = components(new)
     b = buckets.join(weight, "v").select("key", "v", "w")
     for turn in range(hub_rounds + 1):
-        comp = components(_all(links).select(F.col("a").alias("u"), F.col("b").alias("v")))
         b = b.select("key", "v", "w").join(comp.withColumnRenamed("id", "v"), "v", "left") \
             .select("key", "v", "w", F.coalesce("component", "v").alias("comp"))
         span = b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
@@ -193,16 +265,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         span = span.where("lo < hi").select("key", F.col("hub.v").alias("a"), F.col("hub.comp").alias("ca"))
         b = written(b.join(span, "key"), "minhash-open")
         if turn < hub_rounds:
-            pairs = b.where("ca <> comp").select("a", F.col("v").alias("b"))
+            pairs = written(b.where("ca <> comp").select("a", F.col("v").alias("b")).distinct(), "minhash-pairs")
+            if not pairs.head(1):
+                break
+            new = _confirmed(pairs, sets, percent)
         else:
-            left = b.select("key", F.col("v").alias("a"), F.col("comp").alias("ca"))
-            pairs = left.join(b.select("key", F.col("v").alias("b"), "comp"), "key").where("ca < comp").select("a", "b")
-        pairs = written(pairs.distinct(), "minhash-pairs")
-        if not pairs.head(1):
-            break
-        links.append(written(_confirmed(pairs, sets, percent), "minhash-links"))
+            new = _family_links(b, sets, percent)
+        new = written(new, "minhash-links")
+        if new.head(1):
+            stars = comp.select(F.col("id").alias("u"), F.col("component").alias("v"))
+            comp = components(stars.unionByName(new.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         b = b.where("v <> a")  # the hub has met all of its bucket
-    comp = components(_all(links).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     least = reps.select("s1", "rep").join(comp.withColumnRenamed("id", "s1"), "s1", "left") \
         .select("s1", "rep", F.coalesce("component", "s1").alias("comp"))
@@ -214,16 +287,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.col("root")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The documents (all their columns) without near-copies: of each component the one of
     the least id. Repeated rows of that id are one document; null ids stay."""
-    root = near_duplicates(docs, **kw).where("doc_id = component_id").select("doc_id").distinct()
-    null = docs.where(F.col("doc_id").isNull())
-    return docs.dropDuplicates(["doc_id"]).join(root, "doc_id", "left_semi").unionByName(null)
+    keep = near_duplicates(docs, **kw).where("doc_id = component_id").select("doc_id").distinct()
+    keep = written(keep, "minhash-kept")
+    keep = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
+    out = docs.join(keep, "doc_id", "left_semi")
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id"), "minhash-twice")
+    if twice.head(1):
+        again = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(twice, "doc_id", "left_anti").unionByName(again)
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
