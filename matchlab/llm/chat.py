@@ -40,16 +40,19 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\*)(" + CONTROL + ")", "$1$2")
 
 
-def parse(rendered: Column) -> Column:
-    """The turns of a rendered conversation as array<struct<role, text, body>>; null if
-    the text doesn't follow the grammar. ``body`` is the text as it stands, escaped."""
-    tokens = F.regexp_extract_all(rendered, F.lit(TOKEN), F.lit(0))
-    parts = F.split(rendered, TOKEN, -1)
-    # headers (even places) with the bodies after them, ends (odd) with the gaps after them
-    z = F.arrays_zip(tokens.alias("token"), F.slice(parts, F.lit(2), F.size(parts)).alias("after"))
-    right = F.transform(z, lambda x, i: F.when(i % 2 == 0, x["token"].startswith("### ") & x["after"].endswith("\n"))
-                        .otherwise((x["token"] == "</turn>") & (x["after"] == "\n")))
-    good = (F.get(parts, F.lit(0)) == "") & F.forall(right, lambda x: x) & (F.size(z) % 2 == 0)
+def cut(rendered: Column) -> Column:
+    """A rendered text at its control strings: array<struct<token, after>>, the first with an
+    empty token and what precedes the first control string."""
+    tokens = F.concat(F.array(F.lit("")), F.regexp_extract_all(rendered, F.lit(TOKEN), F.lit(0)))
+    return F.arrays_zip(tokens.alias("token"), F.split(rendered, TOKEN, -1).alias("after"))
+
+
+def turns(pieces: Column) -> Column:
+    """The turns of a text that was ``cut``, as array<struct<role, text, body>>; null if it
+    doesn't follow the grammar. ``body`` is the text as it stands, escaped."""
+    right = F.forall(F.transform(pieces, lambda x, i: F.when(i == 0, x["after"] == "")
+                                 .when(i % 2 == 1, x["token"].startswith("### ") & x["after"].endswith("\n"))
+                                 .otherwise((x["token"] == "</turn>") & (x["after"] == "\n"))), lambda x: x)
 
     def role(head):
         label = F.regexp_extract(head, r"^### (.*): $", 1)
@@ -59,27 +62,29 @@ def parse(rendered: Column) -> Column:
         body = F.left(x["after"], F.char_length(x["after"]) - 1)
         return F.struct(role(x["token"]).alias("role"), unescape(body).alias("text"), body.alias("body"))
 
-    return F.when(good, F.transform(F.filter(z, lambda x, i: i % 2 == 0), turn))
+    return F.when((F.size(pieces) % 2 == 1) & right, F.transform(F.filter(pieces, lambda x, i: i % 2 == 1), turn))
 
 
-def _reads_back(role: Column, text: Column, body: Column) -> Column:
-    """Whether one rendered turn is read back as exactly that turn."""
-    turns = parse(F.concat(header(role), body, F.lit(END)))
-    return turns.eqNullSafe(F.array(F.struct(role.alias("role"), text.alias("text"), body.alias("body"))))
+def parse(rendered: Column) -> Column:
+    """``turns`` of a rendered conversation."""
+    return turns(cut(rendered))
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, n_escaped (turns that needed an
-    escape) and loss_spans, the assistant bodies as [start, end) code points of
-    ``formatted``. Fails if a conversation isn't read back as its source.
+    escape), loss_spans, the assistant bodies as [start, end) code points of
+    ``formatted``, and turns, what the parser reads back from it. Fails if that isn't the
+    source.
 
     A conversation is gathered into one row, as its one output text is; the
     number of conversations, not their size, is what a cluster spreads."""
     t = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("_turn"),
                     F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    plain = _reads_back(F.col("_role"), F.col("_text"), F.col("_text"))
-    t = t.withColumn("_plain", plain)
+    # the pieces are a column of their own, so that each text is searched once
+    t = t.withColumn("_cut", cut(F.concat(header(F.col("_role")), F.col("_text"), F.lit(END))))
+    same = F.array(F.struct(F.col("_role").alias("role"), F.col("_text").alias("text"), F.col("_text").alias("body")))
+    t = t.withColumn("_plain", turns(F.col("_cut")).eqNullSafe(same)).drop("_cut")
     t = t.withColumn("_body", F.when(F.col("_plain"), F.col("_text")).otherwise(escape(F.col("_text"))))
     t = t.withColumn("_shown", F.concat(header(F.col("_role")), F.col("_body"), F.lit(END)))
     order = Window.partitionBy("conv_id").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_text")
@@ -94,7 +99,8 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     formatted = F.array_join(F.transform("_t", lambda x: x["_shown"]), "")
     source = F.transform("_t", lambda x: F.struct(x["_role"].alias("role"), x["_text"].alias("text")))
     g = g.select("conv_id", formatted.alias("formatted"), "n_escaped", "loss_spans", source.alias("_source"))
-    back = F.transform(parse(F.col("formatted")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    g = g.withColumn("_cut", cut(F.col("formatted"))).withColumn("turns", turns(F.col("_cut")))
+    back = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     checked = F.when(back == F.col("_source"), F.col("formatted")).otherwise(
         F.raise_error(F.concat(F.lit("not read back as its source: conversation "), F.col("conv_id").cast("string"))))
-    return g.select("conv_id", checked.alias("formatted"), "n_escaped", "loss_spans")
+    return g.select("conv_id", checked.alias("formatted"), "n_escaped", "loss_spans", "turns")

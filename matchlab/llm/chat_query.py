@@ -38,12 +38,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED_TEXT).alias("text"))
     added = added.select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns])
-    out = chat.format_conversations(rows.unionByName(added)).withColumn("_t", chat.parse(F.col("formatted")))
-    turns = F.array_join(F.transform("_t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = chat.format_conversations(rows.unionByName(added))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring(
         F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
     out = out.withColumn("_loss", under)
     return out.select(
-        "conv_id", F.size("_t").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
