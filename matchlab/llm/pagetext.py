@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,14 +151,17 @@ def common(a: list, b: list) -> np.ndarray:
     return out
 
 
+def _hashes(lines: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in lines]
+
+
 def _parser(batches):
     from matchlab.llm import pagetext as own
 
     for batch in batches:
-        got = [own.page_lines(t) if t else ([], []) for t in batch.column("_html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("_row", "_id", "_url")), pa.array([g[0] for g in got], pa.list_(pa.string())),
-             pa.array([g[1] for g in got], pa.list_(pa.int8()))], names=["_row", "_id", "_url", "lines", "zones"])
+        got = [own._hashes(own.page_lines(t)[0]) if t else [] for t in batch.column("_html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_url"), pa.array(got, pa.list_(pa.int64()))],
+                                         names=["_key", "_url", "hashes"])
 
 
 def _differ(batches):
@@ -165,7 +169,9 @@ def _differ(batches):
 
     for batch in batches:
         texts, shared = [], []
-        for lines, zones, mine, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "zones", "hashes", "other"))):
+        for page, other in zip(batch.column("_html").to_pylist(), batch.column("other").to_pylist()):
+            lines, zones = own.page_lines(page) if page else ([], [])
+            mine = own._hashes(lines)
             same = own.common(mine, other) if other and other != mine else np.zeros(len(lines), bool)
             marked = own.ARTICLE in zones
             keep = [z == own.ARTICLE or z == own.PLAIN and not marked and not s for z, s in zip(zones, same)]
@@ -175,12 +181,17 @@ def _differ(batches):
                                          names=["_id", "_url", "text", "n_shared"])
 
 
+#: Line hashes of neighbours that may be broadcast (8 bytes each); beyond it the pages are
+#: joined to them by shuffle.
+BROADCAST_LINES = 4_000_000
+
+
 def _neighbours(p: DataFrame) -> DataFrame:
-    """(host, path, other): a row of the page whose path is nearest within the host."""
-    paths = p.where("host <> ''").groupBy("host", "path").agg(F.min("_row").alias("_row"))
-    n = with_next(paths, ["host", "path", "_row"]).where("next.host = host")
-    pairs = written(n.select("host", F.col("path").alias("a"), F.col("_row").alias("ra"), F.col("next.path").alias("b"),
-                             F.col("next._row").alias("rb")), "page-pairs")
+    """(host, path, other): the key of a page whose path is nearest within the host."""
+    paths = p.where("host <> ''").groupBy("host", "path").agg(F.min("_key").alias("_key"))
+    n = with_next(paths, ["host", "path", "_key"]).where("next.host = host")
+    pairs = written(n.select("host", F.col("path").alias("a"), F.col("_key").alias("ra"), F.col("next.path").alias("b"),
+                             F.col("next._key").alias("rb")), "page-pairs")
     # length of the common prefix: characters before the first place that differs
     z = F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y"))
     least = F.array_position(F.transform(z, lambda c: c["x"].eqNullSafe(c["y"])), F.lit(False))
@@ -191,18 +202,24 @@ def _neighbours(p: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text and n_shared (lines that the nearest page holds too)."""
-    d = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"))
+    """One row per page: page_id, url, text and n_shared (lines that the nearest page holds too).
+
+    Pages are read twice: once for the hashes of their lines, and once to cut them. Between
+    the two only hashes move. A page is known by a hash of its id, url and html."""
+    d = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"))
+    d = d.withColumn("_key", F.xxhash64("_id", "_url", "_html"))
     kind = d.schema["_id"].dataType.simpleString()
-    p = arrow_map(d, _parser, f"_row long, _id {kind}, _url string, lines array<string>, zones array<tinyint>")
+    p = arrow_map(d.select("_key", "_url", "_html"), _parser, "_key long, _url string, hashes array<long>")
     after = F.regexp_replace(F.coalesce("_url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "//")
     host = F.lower(F.regexp_extract(after, r"^//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_replace(F.regexp_extract(after, r"^//[^/?#]*([^?#]*)", 1), r"/+$", "")
-    p = p.withColumns({"host": host, "path": path, "hashes": F.transform("lines", lambda x: F.xxhash64(x))})
-    p = written(p, "page-lines")
-    near = _neighbours(p.select("host", "path", "_row"))
-    other = near.join(p.select(F.col("_row").alias("other"), F.col("hashes").alias("_other")), "other")
-    mine = p.select("_row", "host", "path").join(other, ["host", "path"]).select("_row", F.col("_other").alias("other"))
-    out = p.select("_row", "_id", "_url", "lines", "zones", "hashes").join(mine, "_row", "left").drop("_row")
-    out = arrow_map(out, _differ, f"_id {kind}, _url string, text string, n_shared long")
+    p = written(p.select("_key", host.alias("host"), path.alias("path"), "hashes"), "page-lines")
+    near = _neighbours(p.select("host", "path", "_key"))
+    one = p.groupBy("_key").agg(F.first("hashes").alias("_other")).withColumnRenamed("_key", "other")
+    other = near.join(one, "other").drop("other")
+    mine = p.select("_key", "host", "path").distinct().join(other, ["host", "path"])
+    mine = written(mine.select("_key", F.col("_other").alias("other")), "page-neighbours")
+    lines = mine.agg(F.sum(F.size("other") + 2)).first()[0] or 0
+    out = d.join(F.broadcast(mine) if lines <= BROADCAST_LINES else mine, "_key", "left")
+    out = arrow_map(out.select("_id", "_url", "_html", "other"), _differ, f"_id {kind}, _url string, text string, n_shared long")
     return out.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_shared")

@@ -72,7 +72,7 @@ def test_differencing_deletes_shared_lines(spark):
              (14, "http://m.example/1", "<nav>N</nav><article><h1>T</h1><p>shared</p><aside>no</aside></article><footer>F</footer>"),
              (15, "http://m.example/2", "<nav>N</nav><article><h1>U</h1><p>shared</p></article><footer>F</footer>"),
              (15, "http://m.example/2", "<nav>N</nav><article><h1>U</h1><p>shared</p></article><footer>F</footer>")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, lines string, _row int")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, lines string, _key int")
     got = {r.page_id: r.text for r in pagetext.main_text(df).collect()}
     assert pagetext.main_text(df).count() == len(rows)
     for k in range(6):
