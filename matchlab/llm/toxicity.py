@@ -34,25 +34,31 @@ FOLD[[9, 10, 11, 12, 13]] = 32
 
 
 def positions(buf, offs):
-    """(bucket of every n-gram, its document), sizes one after the other."""
+    """(bucket of every n-gram, offsets by document) for each size."""
     text, spaces = vec.padded(FOLD[buf], offs)
-    for n in SIZES:
+    for n, grams in zip(SIZES, vec.growing_grams(text, SIZES)):
         at, first = vec.gram_docs(spaces, n)
-        b = (vec.mix64(vec.byte_grams(text, n)[at]) >> np.uint64(44)).astype(np.int64)
-        yield b, first
+        yield ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.uint32)[at], first
 
 
-def present(buf, offs, use: np.ndarray):
+def present(buf, offs, use: np.ndarray | None):
     """Sorted distinct (document, feature) pairs of a chunk; ``use`` maps a bucket to its
-    feature, or to -1."""
+    feature, or to -1; without it the buckets are the features."""
+    docs = len(offs) - 1
+    kind = np.uint32 if docs <= 1 << 12 else np.uint64  # document and feature in one number
     pairs = []
-    for b, first in positions(buf, offs):
-        f = use[b]
-        at = np.flatnonzero(f >= 0)
-        doc = np.searchsorted(first, at, side="right") - 1
-        pairs.append(doc * (1 << 21) + f[at])
-    p = np.unique(np.concatenate(pairs))
-    return p >> 21, p & ((1 << 21) - 1)
+    for f, first in positions(buf, offs):
+        if use is None:
+            doc = np.repeat(np.arange(docs, dtype=kind), np.diff(first))
+        else:
+            f = use[f]
+            at = np.flatnonzero(f >= 0)
+            doc, f = (np.searchsorted(first, at, side="right") - 1).astype(kind), f[at]
+        pairs.append(doc << kind(20) | f.astype(kind))
+    p = np.concatenate(pairs)
+    p.sort()
+    p = p[np.append(True, p[1:] != p[:-1])] if len(p) else p
+    return (p >> kind(20)).astype(np.int64), (p & kind((1 << 20) - 1)).astype(np.int64)
 
 
 def _counter(batches):
@@ -60,13 +66,12 @@ def _counter(batches):
     from matchlab.llm import toxicity as own
     from matchlab.llm import vec
 
-    every = np.arange(own.BUCKETS)
     counts = np.zeros((2, own.BUCKETS), np.int64)
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False)
         buf, offs = vec.text_buffer(batch.column("text"))
         for i, j in vec.doc_chunks(offs):
-            doc, f = own.present(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], every)
+            doc, f = own.present(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], None)
             for y in (0, 1):
                 counts[y] += np.bincount(f[label[i:j][doc] == y], minlength=own.BUCKETS)
     some = np.flatnonzero(counts.any(axis=0))

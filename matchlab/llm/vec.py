@@ -161,6 +161,19 @@ def byte_grams(buf: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def growing_grams(buf: np.ndarray, sizes):
+    """``byte_grams`` for each of the ascending ``sizes``, each made from the one before."""
+    out = np.zeros(len(buf), U64)
+    at = 0
+    for n in sizes:
+        m = max(len(buf) - n + 1, 0)
+        out = out[:m]
+        for k in range(at, n):
+            out = out | buf[k:k + m].astype(U64) << U64(8 * k)
+        at = n
+        yield out | U64(n << 56)
+
+
 def gram_docs(spaces: np.ndarray, n: int):
     """(positions, offsets by document) of the n-grams inside each padded document, both of
     its spaces included; ``spaces`` as ``padded`` gives them."""
