@@ -141,14 +141,15 @@ def _mark(h, woffs, bench: Benchmark):
     return np.diff(woffs), runs, (np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1])
 
 
-def _marker(bench, keys: list[str]):
+def _marker(bench, keys: list[str], inside=None):
     def run(batches):
         from matchlab.llm import decontaminate as own
 
         b = bench.value
         names = pa.array(b.names, pa.string())
         for batch in batches:
-            buf, offs = vec.text_buffer(batch.column("_text"))
+            text = batch.column("_id").field(inside) if inside is not None else batch.column("_text")
+            buf, offs = vec.text_buffer(text)
             for i, j in vec.doc_chunks(offs):
                 o = offs[i:j + 1] - offs[i]
                 h, woffs = vec.word_hashes(buf[offs[i]:offs[j]], o, vec.ALNUM)
@@ -162,16 +163,18 @@ def _marker(bench, keys: list[str]):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = 2_000_000) -> DataFrame:
+         item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = 2_000_000, inside: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, runs (hit words as [s, e)), items (ids of
-    items with a window in the document, as sorted strings)."""
+    items with a window in the document, as sorted strings). With ``inside``, ``doc_id`` names
+    a struct that is handed through, whose field of that place is the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")) \
         .where("id IS NOT NULL AND text IS NOT NULL")
     # bytes / 2 bounds the words of a text
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_words))
-    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    d = docs.select(F.col(doc_id).alias("_id"), *([F.col(text).alias("_text")] if inside is None else []))
+    sent = ["_text"] if inside is None else []
     keys = ["_id"]
     if blocks > 1:
         d = written(d.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-docs")
@@ -181,7 +184,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         bench = spark.sparkContext.broadcast(Benchmark(part["id"].to_pylist(), part["text"], window, k))
-        passes.append(arrow_map(d.select(*keys, "_text"), _marker(bench, keys), schema))
+        passes.append(arrow_map(d.select(*keys, *sent), _marker(bench, keys, inside), schema))
     if blocks == 1:
         return passes[0].withColumnRenamed("_id", "doc_id")
     found = passes[0]
@@ -207,6 +210,6 @@ def n_hit(runs="runs"):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents (all their columns) without a hit. Marks and filters in one pass: the
     id column handed through is the whole row."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_t"))
-    out = mark(whole, benchmark, doc_id="_doc", text="_t", **kw).where(F.size("runs") == 0)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    out = mark(whole, benchmark, doc_id="_doc", inside=docs.columns.index("text"), **kw).where(F.size("runs") == 0)
     return out.select("doc_id.*")

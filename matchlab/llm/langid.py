@@ -145,7 +145,7 @@ def learn(rows: DataFrame, least_share: float = 1e-5, rows_per_language: int = 5
     return Filters(langs, [gram[name == x] for x in langs])
 
 
-def _predictor(filters, cols):
+def _predictor(filters, cols, inside=None):
     def run(batches):
         from matchlab.llm import langid as own
         from matchlab.llm import vec
@@ -153,7 +153,8 @@ def _predictor(filters, cols):
         f = filters.value
         names = pa.array([*f.langs, own.UNDETERMINED], pa.string())
         for batch in batches:
-            buf, offs = vec.text_buffer(batch.column("_text"))
+            text = batch.column("_id").field(inside) if inside is not None else batch.column("_text")
+            buf, offs = vec.text_buffer(text)
             for i, j in vec.doc_chunks(offs):
                 b, o = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
                 total, held = f.counts(b, o)
@@ -184,5 +185,8 @@ def held_out(doc_id: Column) -> Column:
 def keep_known(docs: DataFrame, **kw) -> DataFrame:
     """The documents (all their columns) whose text gets a language."""
     f = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"), **kw)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_t"))
-    return predict(whole, f, "_doc", "_t").where(F.col("lang_pred") != UNDETERMINED).select("doc_id.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(f)
+    schema = f"_id {whole.schema['_id'].dataType.simpleString()}, lang_pred string, score double"
+    out = arrow_map(whole, _predictor(shared, ["_id"], docs.columns.index("text")), schema)
+    return out.where(F.col("lang_pred") != UNDETERMINED).select("_id.*")

@@ -157,7 +157,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Sets and shingles of a block; a task compares two blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 400, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 400, 250_000
 #: Shingles that one step of a block's product holds.
 COLUMNS = 4096
 
