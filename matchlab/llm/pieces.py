@@ -2,16 +2,18 @@
 
 Texts are segmented by the merges of a SentencePiece BPE model. Its agenda takes the
 adjacent pair of the best score, leftmost first; each candidate merge is skipped for
-good if a keyed hash of its word, place and extent falls under the dropout rate. The
-key holds the seed and one of ``variants`` numbers that a hash of the text and the
-word's place choose, so a word is cut in several ways over a corpus while every run
-gives the same pieces. Rate 0 gives the model's own segmentation.
+good if a keyed hash of its occurrence and extent falls under the dropout rate. The
+key holds the seed, a hash of the text and the word's place in it, so each occurrence
+of a word is cut on its own, while every run gives the same pieces. Rate 0 gives the
+model's own segmentation.
 
 No piece of such a model holds a space after another character, so words (spaces,
-then other characters) are segmented alone. The distinct words of a chunk are
-processed together, by length: one matrix row a word, one merge a round, so the
-matrix loses a column each round. Words of more than ``LONG`` characters go through
-an agenda of their own, with the same result.
+then other characters) are segmented alone. The occurrences of a word share the rows
+of a matrix as long as their merges went the same way: a row's best merge is found
+once, each of its occurrences decides by its own key whether to skip it, and the row
+is split in two where they differ. Rows are taken by length, longest first, and a
+merge moves a row to the next length. Words of more than ``LONG`` characters go
+through an agenda of their own, one an occurrence, with the same result.
 
 Decoding joins the pieces' bytes. Characters without a piece, and U+2581 (the mark
 that stands for a space), are encoded as byte pieces, so decoding gives the text
@@ -115,56 +117,86 @@ def _skips(key, start, mid, end, rate):
     return (vec.mix64(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
 
 
-def _skip(key, start, mid, end, rate):
-    one = lambda v: np.array([v], np.uint64)
-    return bool(_skips(one(key), one(start), one(mid), one(end), rate)[0])
-
-
-def _ranks(p: Pieces, left, right, key, start, mid, end, rate):
+def _ranks(p: Pieces, left, right):
     at = p.find(left, right)
-    ok = at >= 0
-    if rate > 0:
-        ok &= ~_skips(key, start, mid, end, rate)
-    return np.where(ok, p.pair_rank[at], _FAR), at
-
-
-def merge_matrix(p: Pieces, sym: np.ndarray, key: np.ndarray, rate: float):
-    """Segments words of one length: (row, pieces, starts) for each finished group of rows."""
+    return np.where(at >= 0, p.pair_rank[at], _FAR), at
+
+
+def merge_matrix(p: Pieces, words: dict, word: np.ndarray, key: np.ndarray, rate: float):
+    """Segments occurrences of words: (occurrences, their row, word, pieces, starts of each row) for
+    each finished group of rows.
+
+    ``words`` has, by length, the numbers of distinct words and the matrix of their characters;
+    ``word`` and ``key`` hold the word and the key of each occurrence."""
+    order = np.argsort(word, kind="stable")
+    first = np.searchsorted(word[order], np.arange(int(word.max(initial=-1)) + 2))
+    moved = None  # rows that a merge has brought to this length
+    for k in range(max(words, default=0), 0, -1):
+        parts = [moved] if moved else []
+        moved = None
+        if k in words:
+            w, sym = words[k]
+            n = len(w)
+            start = np.broadcast_to(np.arange(k + 1, dtype=np.int32), (n, k + 1))
+            rank, at = _ranks(p, sym[:, :-1].ravel(), sym[:, 1:].ravel())
+            count = first[w + 1] - first[w]
+            parts.append((order[_spread(first[w], count)], np.repeat(np.arange(n), count), w, sym, start, rank.reshape(n, k - 1), at.reshape(n, k - 1)))
+        if not parts:
+            continue
+        base = np.cumsum([0] + [len(x[2]) for x in parts])
+        occ, row = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + b for x, b in zip(parts, base)])
+        w, sym, start, rank, at = (np.concatenate([x[c] for x in parts]) for c in range(2, 7))
+        if k == 1:
+            yield occ, row, w, sym, start[:, :-1]
+            return
+        merged = []
+        while len(w):
+            q = rank.argmin(axis=1)
+            go = rank[np.arange(len(w)), q] < _FAR
+            if not go.all():
+                mine, new = go[row], np.where(go, np.cumsum(go), np.cumsum(~go)) - 1
+                yield occ[~mine], new[row[~mine]], w[~go], sym[~go], start[~go, :-1]
+                occ, row = occ[mine], new[row[mine]]
+                w, sym, start, rank, at, q = (x[go] for x in (w, sym, start, rank, at, q))
+                if not len(w):
+                    break
+            i = np.arange(len(w))
+            if rate > 0:
+                skip = _skips(key[occ], *(start[i, q + c][row] for c in range(3)), rate)
+            else:
+                skip = np.zeros(len(occ), bool)
+            # occurrences that merge take their row to the next length; the others go on without the pair
+            has = np.zeros(len(w), bool)
+            has[row[~skip]] = True
+            merged.append((occ[~skip], (np.cumsum(has) - 1)[row[~skip]], w[has], *_merge(p, sym[has], start[has], rank[has], at[has], q[has])))
+            rank[i, q] = _FAR
+            has = np.zeros(len(w), bool)
+            has[row[skip]] = True
+            occ, row = occ[skip], (np.cumsum(has) - 1)[row[skip]]
+            w, sym, start, rank, at = (x[has] for x in (w, sym, start, rank, at))
+        if merged:
+            base = np.cumsum([0] + [len(x[2]) for x in merged])
+            moved = (np.concatenate([x[0] for x in merged]), np.concatenate([x[1] + b for x, b in zip(merged, base)]),
+                     *(np.concatenate([x[c] for x in merged]) for c in range(2, 7)))
+
+
+def _merge(p: Pieces, sym, start, rank, at, q):
+    """Rows after the merge of their pair ``q``."""
     n, k = sym.shape
-    rows = np.arange(n)
-    start = np.broadcast_to(np.arange(k + 1, dtype=np.int32), (n, k + 1)).copy()
-    if k > 1:
-        rank, at = _ranks(p, sym[:, :-1].ravel(), sym[:, 1:].ravel(), np.repeat(key, k - 1), start[:, :-2].ravel(),
-                          start[:, 1:-1].ravel(), start[:, 2:].ravel(), rate)
-        rank, at = rank.reshape(n, k - 1), at.reshape(n, k - 1)
-    while k > 1 and len(rows):
-        i = np.arange(len(rows))
-        q = rank.argmin(axis=1)
-        go = rank[i, q] < _FAR
-        if not go.all():
-            stop = ~go
-            yield rows[stop], sym[stop], start[stop, :-1]
-            rows, sym, start, rank, at, key, q = (x[go] for x in (rows, sym, start, rank, at, key, q))
-            i = np.arange(len(rows))
-            if not len(rows):
-                return
-        new = p.pair_id[at[i, q]]
-        pick = np.arange(k - 1) + (np.arange(k - 1) > q[:, None])
-        sym = np.take_along_axis(sym, pick, 1)
-        sym[i, q] = new
-        start = np.concatenate([np.take_along_axis(start, pick, 1), start[:, -1:]], 1)
-        pick = np.arange(k - 2) + (np.arange(k - 2) >= q[:, None])
-        rank, at = np.take_along_axis(rank, pick, 1), np.take_along_axis(at, pick, 1)
-        k -= 1
-        for shift in (-1, 0):  # the pairs that the new piece is part of
-            c = q + shift
-            m = np.flatnonzero((c >= 0) & (c < k - 1))
-            if len(m):
-                cm = c[m]
-                r, a = _ranks(p, sym[m, cm], sym[m, cm + 1], key[m], start[m, cm], start[m, cm + 1], start[m, cm + 2], rate)
-                rank[m, cm], at[m, cm] = r, a
-    if len(rows):
-        yield rows, sym, start[:, :-1]
+    i = np.arange(n)
+    new = p.pair_id[at[i, q]]
+    pick = np.arange(k - 1) + (np.arange(k - 1) > q[:, None])
+    sym = np.take_along_axis(sym, pick, 1)
+    sym[i, q] = new
+    start = np.concatenate([np.take_along_axis(start, pick, 1), start[:, -1:]], 1)
+    pick = np.arange(k - 2) + (np.arange(k - 2) >= q[:, None])
+    rank, at = np.take_along_axis(rank, pick, 1), np.take_along_axis(at, pick, 1)
+    for shift in (-1, 0):  # the pairs that the new piece is part of
+        c = q + shift
+        m = np.flatnonzero((c >= 0) & (c < k - 2))
+        if len(m):
+            rank[m, c[m]], at[m, c[m]] = _ranks(p, sym[m, c[m]], sym[m, c[m] + 1])
+    return sym, start, rank, at
 
 
 def merge_agenda(p: Pieces, sym: np.ndarray, key, rate: float):
@@ -180,7 +212,9 @@ def merge_agenda(p: Pieces, sym: np.ndarray, key, rate: float):
         a = np.array(lefts)
         b = np.array([nxt[x] for x in lefts])
         ea, eb = np.array([ends[x] for x in lefts]), np.array([ends[x] for x in b])
-        rank, at = _ranks(p, np.array([ids[x] for x in a]), np.array([ids[x] for x in b]), np.full(len(a), key), a, ea, eb, rate)
+        rank, at = _ranks(p, np.array([ids[x] for x in a]), np.array([ids[x] for x in b]))
+        if rate > 0:
+            rank[_skips(np.full(len(a), key), a, ea, eb, rate)] = _FAR
         for x, y, r, t, e in zip(a.tolist(), b.tolist(), rank.tolist(), at.tolist(), eb.tolist()):
             if r < _FAR:
                 heapq.heappush(agenda, (r, x, y, ends[x], e, int(p.pair_id[t])))
@@ -218,8 +252,9 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(before - first, count)
 
 
-def encode(p: Pieces, buf: np.ndarray, offs: np.ndarray, seed: int, rate: float, variants: int):
-    """(pieces, offsets by document) of a chunk of whole documents."""
+def encode(p: Pieces, buf: np.ndarray, offs: np.ndarray, seed: int, rate: float, variants: int | None = None):
+    """(pieces, offsets by document) of a chunk of whole documents. ``variants`` has no effect:
+    nothing bounds the segmentations of a word."""
     docs = len(offs) - 1
     # a space before each document that isn't empty
     size = np.diff(offs)
@@ -237,14 +272,14 @@ def encode(p: Pieces, buf: np.ndarray, offs: np.ndarray, seed: int, rate: float,
     h = vec.span_hashes(text, ws, we)
     wo = np.searchsorted(ws, o)
     full = np.flatnonzero(size)
-    doc_key = np.zeros(docs, np.uint64)
-    doc_key[full] = np.add.reduceat(h, wo[full])
     count = np.diff(wo)
     place = np.arange(len(ws)) - np.repeat(wo[:-1], count)
+    doc_key = np.zeros(docs, np.uint64)
+    doc_key[full] = np.add.reduceat(vec.mix64(h + place.astype(np.uint64) * np.uint64(_K[1])), wo[full])
     s = np.uint64(seed & _M64)
-    variant = vec.mix64(vec.mix64(np.repeat(doc_key, count) + s) + place.astype(np.uint64)) % np.uint64(variants)
-    key = vec.mix64(h ^ vec.mix64(variant * np.uint64(_K[0]) + s))
-    _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+    # one key an occurrence: nothing but the skips of its own merges depends on it
+    key = vec.mix64(h ^ vec.mix64(vec.mix64(np.repeat(doc_key, count) + s) + place.astype(np.uint64)))
+    _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
 
     at = _spread(ws[one], (we - ws)[one])
     b = text[at]
@@ -255,25 +290,33 @@ def encode(p: Pieces, buf: np.ndarray, offs: np.ndarray, seed: int, rate: float,
     sym = p.chars[cp]
     wc = np.append(0, np.cumsum(is_lead))[wb]  # characters before each word
     chars = np.diff(wc)
-    widths = np.zeros(len(one), np.int64)
-    parts = []
-    for n in np.unique(chars):
+    short = chars <= LONG
+    words = {}
+    for n in np.unique(chars[short]):
         w = np.flatnonzero(chars == n)
-        if n <= LONG:
-            m = sym[wc[w][:, None] + np.arange(n)]
-            for rows, ids, starts in merge_matrix(p, m, key[one[w]], rate):
-                widths[w[rows]] = ids.shape[1]
-                parts.append((w[rows], ids, starts))
-        else:
-            for x in w:
-                ids, starts = merge_agenda(p, sym[wc[x]:wc[x + 1]], key[one[x]], rate)
-                widths[x] = len(ids)
-                parts.append((np.array([x]), ids[None], starts[None]))
+        words[int(n)] = w, sym[wc[w][:, None] + np.arange(n)]
+    parts, made = [], 0  # (word, pieces, starts) of the segmentations, and which one each occurrence has
+    of = np.zeros(len(ws), np.int64)
+    mine = np.flatnonzero(short[inverse])
+    for occ, row, w, ids, starts in merge_matrix(p, words, inverse[mine], key[mine], rate):
+        of[mine[occ]] = row + made
+        parts.append((w, ids, starts))
+        made += len(w)
+    for x in np.flatnonzero(~short[inverse]):
+        w = inverse[x]
+        ids, starts = merge_agenda(p, sym[wc[w]:wc[w + 1]], key[x], rate)
+        of[x] = made
+        parts.append((np.array([w]), ids[None], starts[None]))
+        made += 1
+    inverse = of
+    widths = np.concatenate([np.full(len(w), i.shape[1], np.int64) for w, i, _ in parts])
     first = np.cumsum(widths) - widths
     ids, char = np.zeros(int(widths.sum()), np.uint16), np.zeros(int(widths.sum()), np.int64)
+    row = 0
     for w, i, st in parts:
-        put = first[w][:, None] + np.arange(i.shape[1])
+        put = first[row:row + len(w), None] + np.arange(i.shape[1])
         ids[put], char[put] = i, st + wc[w][:, None]
+        row += len(w)
     # characters without a piece as their bytes
     width = np.diff(np.append(lead, len(b)))
     none = ids == NO_PIECE
@@ -302,11 +345,11 @@ def same_docs(a, ao, b, bo) -> np.ndarray:
     return np.array([s and np.array_equal(a[ao[i]:ao[i + 1]], b[bo[i]:bo[i + 1]]) for i, s in enumerate(same)])
 
 
-#: Bytes of text taken at once; the distinct words of a chunk are segmented once.
+#: Bytes of text taken at once; the occurrences of a word in a chunk share their equal steps.
 CHUNK = 2 << 20
 
 
-def _encoder(tables, seed, rate, variants):
+def _encoder(tables, seed, rate):
     def run(batches):
         from matchlab.llm import pieces as own
         from matchlab.llm import vec
@@ -315,7 +358,7 @@ def _encoder(tables, seed, rate, variants):
         for batch in batches:
             buf, offs = vec.text_buffer(batch.column("_text"))
             for i, j in vec.doc_chunks(offs, own.CHUNK):
-                ids, po, text, to = own.encode(p, buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], seed, rate, variants)
+                ids, po, text, to = own.encode(p, buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], seed, rate)
                 back, bo = own.decode(p, ids, po)
                 same = own.same_docs(back, bo, text, to)
                 if not same.all():
@@ -327,12 +370,13 @@ def _encoder(tables, seed, rate, variants):
 
 
 def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = 1,
-                 rate: float = 0.1, variants: int = 4) -> DataFrame:
-    """doc_id, n_pieces and pieces (ids) of every row. Fails if a text isn't decoded exactly."""
+                 rate: float = 0.1, variants: int | None = None) -> DataFrame:
+    """doc_id, n_pieces and pieces (ids) of every row. Fails if a text isn't decoded exactly.
+    ``variants`` has no effect (see ``encode``)."""
     tables = docs.sparkSession.sparkContext.broadcast(Pieces(model))
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     kind = d.schema["_id"].dataType.simpleString()
-    out = arrow_map(d, _encoder(tables, seed, rate, variants), f"_id {kind}, n_pieces long, pieces array<int>")
+    out = arrow_map(d, _encoder(tables, seed, rate), f"_id {kind}, n_pieces long, pieces array<int>")
     return out.withColumnRenamed("_id", "doc_id")
 
 

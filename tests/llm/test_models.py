@@ -188,6 +188,23 @@ def test_dropout_varies_and_decodes(spark, monkeypatch):
     assert pieces.encode_texts(docs.where("false")).count() == 0
 
 
+def test_each_occurrence_is_cut_on_its_own():
+    p = pieces.Pieces()
+    word = "internationalization"
+    buf, offs = vec.text_buffer(pa.array([" ".join([word] * 400), " ".join([word] * 400) + " x"]))
+    ids, at, _, _ = pieces.encode(p, buf, offs, 1, 0.3)
+    ends = np.cumsum(p.raw_len[ids[:at[1]]])
+    cuts = np.flatnonzero(ends % (len(word) + 1) == 0) + 1
+    ways = {tuple(x.tolist()) for x in np.split(ids[:at[1]], cuts[:-1])}
+    assert len(cuts) == 400 and len(ways) > 20  # a cap of 4 a word before
+    a, b = ids[:at[1]], ids[at[1]:at[2]]
+    assert not np.array_equal(a[:100], b[:100])  # another text, other skips
+    # each merge is skipped at the rate: with one possible merge, a share of the occurrences stays apart
+    buf, offs = vec.text_buffer(pa.array([" ".join(["a"] * 4000)]))
+    n = len(pieces.encode(p, buf, offs, 1, 0.1)[0])
+    assert 4300 < n < 4500
+
+
 def test_words_match_the_patterns():
     rng = random.Random(1)
     alphabet = "aZ09 _-\t\n\x0b\x0c\r\x1c\x85\xa0é漢😀/:`{~\x7f"
