@@ -6,8 +6,8 @@ prefix. Lines are aligned by longest common subsequence; what both pages hold in
 same order is the site's template. Shared lines are deleted, unless they stand inside an
 element that marks the article itself (article, main): copies of an article occur
 within one host, and differencing alone would empty them. Elements whose meaning is
-clear (menus, footers, adverts, forms, comments ...) go in any case. Where a page marks
-its article, what lies outside of it goes too.
+clear (menus, footers, adverts, forms, comments ...) go in any case. The marks only
+protect: lines outside of them are decided by the comparison on every page.
 
 Defined cases: a null html is empty and gives an empty text; a null url, or one without
 a host, has no neighbour, and neither has the only path of a host; pages of one path
@@ -173,8 +173,7 @@ def _differ(batches):
             lines, zones = own.page_lines(page) if page else ([], [])
             mine = own._hashes(lines)
             same = own.common(mine, other) if other and other != mine else np.zeros(len(lines), bool)
-            marked = own.ARTICLE in zones
-            keep = [z == own.ARTICLE or z == own.PLAIN and not marked and not s for z, s in zip(zones, same)]
+            keep = [z == own.ARTICLE or z == own.PLAIN and not s for z, s in zip(zones, same)]
             texts.append("\n".join(t for t, k in zip(lines, keep) if k))
             shared.append(int(same.sum()))
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(shared, pa.int64())],

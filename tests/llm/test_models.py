@@ -83,6 +83,18 @@ def test_differencing_deletes_shared_lines(spark):
     assert pagetext.main_text(df.where("false")).count() == 0
 
 
+def main_texts(spark, pages):
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pagetext.main_text(df).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+def test_difference_decides_on_marked_pages(spark):
+    page = "<div>Site</div><div><p>body {0} one</p><p>body {0} two</p></div><article><p>teaser</p></article><div>Imprint</div>"
+    got = main_texts(spark, [(f"http://a.example/{k}", page.format(k)) for k in range(3)])
+    assert got == [f"body {k} one\nbody {k} two\nteaser" for k in range(3)]
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(500):
