@@ -6,7 +6,9 @@ prefix. Lines are aligned by longest common subsequence; what both pages hold in
 same order is the site's template. Shared lines are deleted, unless they stand inside an
 element that marks the article itself (article, main): copies of an article occur
 within one host, and differencing alone would empty them. Elements whose meaning is
-clear (menus, footers, adverts, forms, comments ...) go in any case. The marks only
+clear (menus, footers, adverts, forms, comments ...) go in any case; of a form that
+holds an article, or most of the page, only the controls go. An article's own class
+words do not make it furniture, unless they name a comment or an advert. The marks only
 protect: lines outside of them are decided by the comparison on every page.
 
 Defined cases: a null html is empty and gives an empty text; a null url, or one without
@@ -33,7 +35,9 @@ from .store import written
 
 # Elements of HTML by their role.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|select"
-DROPPED = frozenset("nav footer aside form button dialog head menu".split())
+DROPPED = frozenset("nav footer aside button dialog head menu".split())
+#: What a form asks, in a form that wraps the page.
+CONTROLS = frozenset("label legend optgroup option datalist output".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -60,11 +64,12 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     """The zone inside an element that opens within ``zone``."""
     named = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     words = set(re.split(r"[^a-z]+", " ".join(v for k, v in named.items() if k != "itemprop")))
-    if tag in DROPPED or tag != "body" and words & NAMES and not words & {"has", "with", "no"}:
-        return OUT
     if tag in ("article", "main") or named.get("role") == "main" or named.get("itemprop") == "articlebody":
-        # a comment is an article too, but stays out; a wrapper's name doesn't reach into the page's article
-        return ARTICLE
+        # a comment or an advert is an article too, but stays out; a wrapper's name doesn't reach into the page's article
+        own = set(f"{named.get('class', '')} {named.get('id', '')}".split())
+        return OUT if own & {"comment", "comments"} or own and own <= {"ad", "ads", "advert", "advertisement"} else ARTICLE
+    if tag in DROPPED or tag not in ("body", "html") and words & NAMES and not words & {"has", "with", "no"}:
+        return OUT
     if zone == PLAIN and (tag == "header" or words & PAGE_HEADS):
         return OUT
     return zone
@@ -72,8 +77,9 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
 
 def page_lines(text: str) -> tuple[list[str], list[int]]:
     """(text, zone) of each block of a page, in order; white space as one space."""
-    lines, zones, stack, parts = [], [], [("", PLAIN, False)], []
-    at = 0
+    # the last of an open element: the number of the form it stands in, or 0
+    lines, zones, forms, stack, parts = [], [], [], [("", PLAIN, False, 0)], []
+    at, outside = 0, []  # the zone around each form
 
     def close():
         if parts:
@@ -81,6 +87,7 @@ def page_lines(text: str) -> tuple[list[str], list[int]]:
             if line:
                 lines.append(line)
                 zones.append(stack[-1][1])
+                forms.append(stack[-1][3])
             parts.clear()
 
     for m in TOKEN.finditer(text):
@@ -111,19 +118,39 @@ def page_lines(text: str) -> tuple[list[str], list[int]]:
                     del stack[k:]
                     break
         elif tag not in VOID and not m[4].endswith("/"):
-            outer, closed = stack[-1][1], stack[-1][2]
+            _, outer, closed, form = stack[-1]
             zone = _zone(tag, m[4], outer)
+            if form and (tag == "form" or tag in CONTROLS):
+                zone = OUT
             # what reader comments hold stays out, whatever it is marked as
-            shut = closed or zone == OUT and tag not in ("div", "section", "span", "body") \
-                or zone == OUT and "comment" in m[4].lower()
+            shut = closed or zone == OUT and tag not in ("main", "article", "html", "body") and (
+                tag not in ("div", "section", "span", "form") or "comment" in m[4].lower())
             zone = OUT if closed else zone
             if zone != outer:
                 close()
-            stack.append((tag, zone, shut))
+            if tag == "form" and not form:
+                outside.append(outer)
+                form = len(outside)
+            stack.append((tag, zone, shut, form))
     if at < len(text):
         parts.append(text[at:])
     close()
-    return lines, zones
+    return lines, _without_forms(lines, zones, forms, outside) if outside else zones
+
+
+def _without_forms(lines: list[str], zones: list[int], forms: list[int], outside: list[int]) -> list[int]:
+    """The zones with forms left out, but for a form that wraps the page: it holds an article, or
+    most of the lines and of the text that aren't left out."""
+    held, marked = [[0, 0] for _ in range(len(outside) + 1)], set()
+    for line, zone, form in zip(lines, zones, forms):
+        if zone != OUT:
+            held[form][0] += 1
+            held[form][1] += len(line)
+            if form and zone == ARTICLE != outside[form - 1]:
+                marked.add(form)
+    total = [sum(h[c] for h in held) for c in (0, 1)]
+    wraps = {f for f in range(1, len(held)) if f in marked or all(2 * held[f][c] > total[c] for c in (0, 1))} | {0}
+    return [z if f in wraps else OUT for z, f in zip(zones, forms)]
 
 
 def common(a: list, b: list) -> np.ndarray:

@@ -95,6 +95,22 @@ def test_difference_decides_on_marked_pages(spark):
     assert got == [f"body {k} one\nbody {k} two\nteaser" for k in range(3)]
 
 
+def test_names_of_articles_and_wrapping_forms():
+    def kept(html):
+        lines, zones = pagetext.page_lines(html)
+        return [t for t, z in zip(lines, zones) if z != pagetext.OUT]
+    body = "<p>one</p><p>two</p>"
+    for html in (f'<article class="post category-social">{body}</article>', f'<main class="sidebar-right">{body}</main>',
+                 f'<html class="cookie-consent"><body>{body}</body></html>', f'<div role="main" class="widget">{body}</div>',
+                 f'<form id="f"><nav>n</nav><label>Mail</label><article>{body}</article><button>Go</button></form><p></p>',
+                 f'<body><form action="/x"><div>{body}</div><label>Mail</label><input></form></body>',
+                 f'<article class="share"><section>{body}</section></article>',
+                 f'{body}<form><p>Mail</p></form>', f'<article>{body}<form><p>Mail</p></form></article>',
+                 f'{body}<article class="comment"><p>first!</p></article>', f'{body}<article class="ad"><p>buy</p></article>',
+                 f'{body}<div class="comments"><article><p>first!</p></article></div>', f'{body}<form class="comment-form"><main>x</main></form>'):
+        assert kept(html) == ["one", "two"], html
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(500):
