@@ -2,7 +2,11 @@
 
 A page is cut into its text blocks (one line each). Within a host, pages are ordered by
 URL path, and each one is compared with the neighbour whose path shares the longer
-prefix. Lines are aligned by longest common subsequence; what both pages hold in the
+prefix. Neighbours in the order whose text is mostly the same (``COPY`` of the characters
+of the longer one, in lines that aren't furniture) are copies of one article; a page is
+compared with the nearest path before or after the whole row of copies it stands in. If
+its host has no such path, it is compared with a neighbour that differs in more than a
+few lines (``ONLY_COPY``), and else with none. Lines are aligned by longest common subsequence; what both pages hold in the
 same order is the site's template. Shared lines are deleted, unless they stand inside an
 element that marks the article itself (article, main): copies of an article occur
 within one host, and differencing alone would empty them. Elements whose meaning is
@@ -13,8 +17,8 @@ protect: lines outside of them are decided by the comparison on every page.
 
 Defined cases: a null html is empty and gives an empty text; a null url, or one without
 a host, has no neighbour, and neither has the only path of a host; pages of one path
-are compared with the neighbour of that path, never with each other; a neighbour of
-just the same lines says nothing and deletes nothing. Repeated rows give a row each.
+are compared with the neighbour of that path, never with each other; a page of just the
+same lines says nothing and deletes nothing, and a host of copies alone keeps its texts. Repeated rows give a row each.
 Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -22,11 +26,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import with_next
@@ -56,6 +61,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
+#: Share of text from which neighbours are copies, and from which a copy isn't compared at all.
+COPY, ONLY_COPY = 2 / 3, 0.9
+
 #: Zones of a line.
 OUT, PLAIN, ARTICLE = 0, 1, 2
 
@@ -186,9 +194,33 @@ def _parser(batches):
     from matchlab.llm import pagetext as own
 
     for batch in batches:
-        got = [own._hashes(own.page_lines(t)[0]) if t else [] for t in batch.column("_html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_url"), pa.array(got, pa.list_(pa.int64()))],
-                                         names=["_key", "_url", "hashes"])
+        got, size = [], []
+        for t in batch.column("_html").to_pylist():
+            lines, zones = own.page_lines(t) if t else ([], [])
+            got.append(own._hashes(lines))
+            size.append([0 if z == own.OUT else len(x) for x, z in zip(lines, zones)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_key"), batch.column("_url"), pa.array(got, pa.list_(pa.int64())), pa.array(size, pa.list_(pa.int32()))],
+            names=["_key", "_url", "hashes", "size"])
+
+
+def share(a: list, a_size: list, b: list, b_size: list) -> float:
+    """Part of the text of the longer page that both hold, by lines (with repeats) and their sizes."""
+    left = Counter(a)
+    both = 0
+    for x, n in zip(b, b_size):
+        if left[x] > 0:
+            left[x] -= 1
+            both += n
+    return min(1.0, both / max(sum(a_size), sum(b_size), 1)) if a and b else 0.0
+
+
+def _sharer(batches):
+    from matchlab.llm import pagetext as own
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("ha", "sa", "hb", "sb")]
+        yield pa.RecordBatch.from_arrays([batch.column("ra"), pa.array([own.share(*x) for x in zip(*cols)], pa.float64())], names=["ra", "share"])
 
 
 def _differ(batches):
@@ -212,35 +244,69 @@ def _differ(batches):
 BROADCAST_LINES = 4_000_000
 
 
+def _beyond_copies(n: DataFrame) -> DataFrame:
+    """``n`` (host, path, _key, next, share) with ``back`` and ``ahead``: the last row before the row of
+    copies that a path stands in, and the row at its end (whose ``next`` is the first one after).
+
+    A row ends where the next one isn't a copy. Inside a range, windows find the ends; the ends of
+    whole ranges, one row per task, close the gaps, as in ``with_next``."""
+    me = F.struct("host", "path", "_key", "next")
+    keys = ["host", "path", "_key"]
+    r = n.withColumn("end", F.when(F.coalesce("share", F.lit(0.0)) < COPY, me))
+    r = written(r.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "page-ranges")
+    first = Window.unboundedPreceding
+    up = Window.partitionBy("_part").orderBy(*keys).rowsBetween(first, -1)
+    down = Window.partitionBy("_part").orderBy(*[F.desc(c) for c in keys]).rowsBetween(first, 0)
+    ends = r.groupBy("_part").agg(F.min("end").alias("least"), F.max("end").alias("most"))
+    ends = ends.select("_part", F.last("most", True).over(Window.orderBy("_part").rowsBetween(first, -1)).alias("_back"),
+                       F.last("least", True).over(Window.orderBy(F.desc("_part")).rowsBetween(first, -1)).alias("_ahead"))
+    r = r.withColumn("back", F.last("end", True).over(up)).withColumn("ahead", F.last("end", True).over(down)).join(ends, "_part", "left")
+    return r.select(*n.columns, F.coalesce("back", "_back").alias("back"), F.coalesce("ahead", "_ahead").alias("ahead"))
+
+
 def _neighbours(p: DataFrame) -> DataFrame:
-    """(host, path, other): the key of a page whose path is nearest within the host."""
+    """(host, path, other): the key of the page that a path is compared with, the nearest of the host
+    beyond its copies."""
     paths = p.where("host <> ''").groupBy("host", "path").agg(F.min("_key").alias("_key"))
-    n = with_next(paths, ["host", "path", "_key"]).where("next.host = host")
-    pairs = written(n.select("host", F.col("path").alias("a"), F.col("_key").alias("ra"), F.col("next.path").alias("b"),
-                             F.col("next._key").alias("rb")), "page-pairs")
+    n = written(with_next(paths, ["host", "path", "_key"]), "page-paths")
+    one = p.groupBy("_key").agg(F.first(F.struct("hashes", "size")).alias("l"))
+    two = n.where("next.host = host").select(F.col("_key").alias("ra"), F.col("next._key").alias("rb"))
+    two = two.join(one.select(F.col("_key").alias("ra"), F.col("l.hashes").alias("ha"), F.col("l.size").alias("sa")), "ra") \
+        .join(one.select(F.col("_key").alias("rb"), F.col("l.hashes").alias("hb"), F.col("l.size").alias("sb")), "rb")
+    shares = arrow_map(two.select("ra", "ha", "sa", "hb", "sb"), _sharer, "ra long, share double")
+    n = written(n.join(shares.withColumnRenamed("ra", "_key"), "_key", "left").select("host", "path", "_key", "next", "share"), "page-pairs")
+
+    def pair(rows, path, to, other, before, rank):
+        return rows.select("host", F.col(path).alias("path"), F.col(to).alias("to"), F.col(other).alias("other"),
+                           F.lit(before).alias("before"), F.lit(rank).alias("rank"))
+    far = written(_beyond_copies(n), "page-beyond")
+    alike = n.where(F.col("share").between(COPY, ONLY_COPY))
+    both = pair(far.where("ahead.next.host = host"), "path", "ahead.next.path", "ahead.next._key", 0, 1) \
+        .unionByName(pair(far.where("back.host = host"), "path", "back.path", "back._key", 1, 1)) \
+        .unionByName(pair(alike, "path", "next.path", "next._key", 0, 0)) \
+        .unionByName(pair(alike, "next.path", "path", "_key", 1, 0))
     # length of the common prefix: characters before the first place that differs
-    z = F.arrays_zip(F.split("a", "").alias("x"), F.split("b", "").alias("y"))
+    z = F.arrays_zip(F.split("path", "").alias("x"), F.split("to", "").alias("y"))
     least = F.array_position(F.transform(z, lambda c: c["x"].eqNullSafe(c["y"])), F.lit(False))
-    pairs = pairs.withColumn("like", F.when(least == 0, 1 << 30).otherwise(least))
-    both = pairs.select("host", F.col("a").alias("path"), F.col("rb").alias("other"), "like", F.lit(0).alias("before")) \
-        .unionByName(pairs.select("host", F.col("b").alias("path"), F.col("ra").alias("other"), "like", F.lit(1).alias("before")))
-    return both.groupBy("host", "path").agg(F.max_by("other", F.struct("like", "before")).alias("other"))
+    both = both.withColumn("like", F.when(least == 0, 1 << 30).otherwise(least))
+    return both.groupBy("host", "path").agg(F.max_by("other", F.struct("rank", "like", "before")).alias("other"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text and n_shared (lines that the nearest page holds too).
+    """One row per page: page_id, url, text and n_shared (lines that the page it is
+    compared with holds too).
 
     Pages are read twice: once for the hashes of their lines, and once to cut them. Between
     the two only hashes move. A page is known by a hash of its id, url and html."""
     d = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     d = d.withColumn("_key", F.xxhash64("_id", "_url", "_html"))
     kind = d.schema["_id"].dataType.simpleString()
-    p = arrow_map(d.select("_key", "_url", "_html"), _parser, "_key long, _url string, hashes array<long>")
+    p = arrow_map(d.select("_key", "_url", "_html"), _parser, "_key long, _url string, hashes array<long>, size array<int>")
     after = F.regexp_replace(F.coalesce("_url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "//")
     host = F.lower(F.regexp_extract(after, r"^//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_replace(F.regexp_extract(after, r"^//[^/?#]*([^?#]*)", 1), r"/+$", "")
-    p = written(p.select("_key", host.alias("host"), path.alias("path"), "hashes"), "page-lines")
-    near = _neighbours(p.select("host", "path", "_key"))
+    p = written(p.select("_key", host.alias("host"), path.alias("path"), "hashes", "size"), "page-lines")
+    near = _neighbours(p)
     one = p.groupBy("_key").agg(F.first("hashes").alias("_other")).withColumnRenamed("_key", "other")
     other = near.join(one, "other").drop("other")
     mine = p.select("_key", "host", "path").distinct().join(other, ["host", "path"])

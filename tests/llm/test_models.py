@@ -95,6 +95,30 @@ def test_difference_decides_on_marked_pages(spark):
     assert got == [f"body {k} one\nbody {k} two\nteaser" for k in range(3)]
 
 
+def test_near_copies_are_not_compared(spark):
+    page = "<div>Site name</div><p>first paragraph of {0} story</p><p>second paragraph of {0} story</p><p>{1}</p><div>Imprint</div>"
+
+    def text(k, day):
+        return f"first paragraph of {k} story\nsecond paragraph of {k} story\n{day}"
+    # groups of near copies, one exact copy, single pages; a host with copies alone; a host with a long template
+    pages = [(f"http://a.example/{g}/{k:02}", page.format(f"{g}{g}{g}", f"day {g}{min(k, 10)}")) for g, n in zip("pqrs", (12, 1, 2, 1)) for k in range(n)]
+    want = [text(g * 3, f"day {g}{min(k, 10)}") for g, n in zip("pqrs", (12, 1, 2, 1)) for k in range(n)]
+    pages += [(f"http://b.example/{k}", page.format("only", f"{k}")) for k in range(3)]
+    want += [f"Site name\n{text('only', k)}\nImprint" for k in range(3)]
+    menu = "".join(f"<div>entry {k} of the menu</div>" for k in range(10))
+    pages += [(f"http://c.example/{k}", f"{menu}<p>what page {k} says of matter {k}, in {k} lines</p>") for k in range(4)]
+    want += [f"what page {k} says of matter {k}, in {k} lines" for k in range(4)]
+    assert main_texts(spark, pages) == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")  # rows of copies that cross ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert main_texts(spark, pages) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_names_of_articles_and_wrapping_forms():
     def kept(html):
         lines, zones = pagetext.page_lines(html)
