@@ -16,7 +16,8 @@ in a written table, and the hits of the passes are joined on it.
 
 Defined cases: null and empty texts have no words, no hit and no items; a null
 item text gives no window; repeated documents each get their row; repeated items
-are items of their own and equal item ids count once. Empty tables give empty
+are items of their own and equal item ids count once. Items without an id count as one
+item, the null at the end of items. Empty tables give empty
 or clean results. Extra columns are ignored here, whatever their names.
 """
 
@@ -50,9 +51,9 @@ def winnow(kg: np.ndarray, woffs: np.ndarray, window: int, k: int) -> np.ndarray
 class Benchmark:
     """Sorted fingerprints, windows and the items of each window of one block."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, window: int, k: int):
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int, k: int):
         self.window, self.k = window, k
-        self.names = sorted(set(ids))
+        self.names = sorted(set(ids) - {None}) + [None] * (None in ids)
         place = {x: i for i, x in enumerate(self.names)}
         buf, offs = vec.text_buffer(texts)
         h, woffs = vec.word_hashes(buf[offs[0]:offs[-1]], offs - offs[0], vec.ALNUM)
@@ -165,11 +166,11 @@ def _marker(bench, keys: list[str], inside=None):
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = 2_000_000, inside: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, runs (hit words as [s, e)), items (ids of
-    items with a window in the document, as sorted strings). With ``inside``, ``doc_id`` names
+    items with a window in the document, as sorted strings, null last). With ``inside``, ``doc_id`` names
     a struct that is handed through, whose field of that place is the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")) \
-        .where("id IS NOT NULL AND text IS NOT NULL")
+        .where("text IS NOT NULL")
     # bytes / 2 bounds the words of a text
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_words))
@@ -182,7 +183,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in keys) + ", " + HITS
     passes = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        part = items.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(blocks)) == b).toArrow()
         bench = spark.sparkContext.broadcast(Benchmark(part["id"].to_pylist(), part["text"], window, k))
         passes.append(arrow_map(d.select(*keys, *sent), _marker(bench, keys, inside), schema))
     if blocks == 1:
@@ -197,7 +198,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     runs = runs.select("_row", F.greatest("s", "p").alias("s"), "e").where("e > s")
     runs = runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
     names = found.select("_row", F.explode("items").alias("i")).groupBy("_row") \
-        .agg(F.array_sort(F.collect_set("i")).alias("items"))
+        .agg(F.array_sort(F.collect_set("i")).alias("items"), F.bool_or(F.col("i").isNull()).alias("unnamed"))
+    names = names.select("_row", F.when(F.col("unnamed"), F.concat("items", F.array(F.lit(None).cast("string")))).otherwise(F.col("items")).alias("items"))
     out = base.join(runs, "_row", "left").join(names, "_row", "left")
     return out.select("doc_id", "n_words", F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>")).alias("runs"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -170,6 +170,16 @@ def test_decontamination_equals_brute_force(spark, block_words):
         assert decontaminate.mark(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [10, 2_000_000])
+def test_items_without_an_id_count(spark, block_words):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (None, b), (7, b), (3, c), (None, None)], "item_id int, text string")
+    docs = spark.createDataFrame([(0, "x " + a), (1, b), (2, c), (3, a + " " + c), (4, "clean text")], "doc_id long, text string")
+    got = {r.doc_id: (r.h, r["items"]) for r in decontaminate.mark(docs, bench, block_words=block_words).withColumn("h", decontaminate.n_hit()).collect()}
+    assert got == {0: (12, [None]), 1: (12, ["7", None]), 2: (12, ["3"]), 3: (24, ["3", None]), 4: (0, [])}
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, block_words=block_words).collect()] == [4]
+
+
 def test_with_next(spark):
     df = spark.createDataFrame([(k // 3, k) for k in random.Random(1).sample(range(500), 200)] + [(None, 1)], "a int, b int")
     rows = sorted((((r.a, r.b), (r.next.a, r.next.b)) for r in with_next(df.repartition(7), ["a", "b"], wrap=True).collect()),
