@@ -19,7 +19,7 @@ from matchlab.session import table_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text gets a language; the others (no text, no letter) go."""
+    """Documents whose text gets a language; the others (no text, no letter, no learned language) go."""
     return langid.keep_known(docs)
 
 

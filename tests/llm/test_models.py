@@ -180,6 +180,13 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.predict(docs.where("false"), f).count() == 0
 
 
+def test_texts_of_no_learned_language_go(spark):
+    df, rows = labelled(spark)
+    out = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 4 == 2)  # an id that isn't learned from
+    docs = df.drop("toxic").unionByName(spark.createDataFrame([(out, "漢字仮名交文", "en")], "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in langid.keep_known(docs).collect()} == {r[0] for r in rows}
+
+
 def test_language_bits_equal_sets():
     a, b = (np.arange(k, 4000, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (1, 2))
     f = langid.Filters(["a", "b"], [a, b])
