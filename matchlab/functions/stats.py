@@ -49,3 +49,29 @@ def chi2_sf(x: Column, dof: Column) -> Column:
     body = F.when(terms > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, step)["total"]).otherwise(F.lit(0.0))
     p = body + F.when(odd, erfc(F.sqrt(half))).otherwise(F.lit(0.0))
     return F.when(x <= 0, F.lit(1.0)).when((x > 0) & (dof > 0), F.least(p, F.lit(1.0)))
+
+
+def rank_sum_two_sided(u: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sided p-value of a Mann-Whitney U (either sample's) without ties: twice the
+    share of arrangements with the smaller U or less, 1 at most.
+
+    The number of arrangements by U has the generating function of the products
+    (1 - q^(n + i)) / (1 - q^i), i = 1..m, with m the smaller sample. It is kept as an array of the
+    coefficients up to the observed U. A factor is a shifted copy taken off or added:
+    1 / (1 - q^i) is the product of (1 + q^i), (1 + q^2i), (1 + q^4i), ..."""
+    m, n = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    least = F.least(u, n1 * n2 - u).cast("int")
+    size = least + 1
+    doubled = lambda i: F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(30)), lambda t: F.call_function("shiftleft", i.cast("long"), t)), lambda s: s < size)
+    shifts = F.flatten(F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.array(-(n + i).cast("long")), doubled(i))))
+    one = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), least))
+
+    def factor(a: Column, s: Column) -> Column:
+        by = F.least(F.abs(s), size.cast("long")).cast("int")
+        moved = F.concat(F.array_repeat(F.lit(0.0), by), F.slice(a, F.lit(1), size - by))
+        return F.zip_with(a, moved, lambda x, y: F.when(s < 0, x - y).otherwise(x + y))
+
+    below = F.aggregate(F.aggregate(shifts, one, factor), F.lit(0.0), lambda t, x: t + x)
+    ways = F.aggregate(F.sequence(F.lit(1), m), F.lit(1.0), lambda t, i: t * (n + i) / i)
+    return F.least(F.lit(1.0), 2 * below / ways)

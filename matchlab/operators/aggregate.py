@@ -2,8 +2,7 @@
 
 All results are small aggregated DataFrames; partial (map-side) aggregation
 happens before every shuffle.  Exact medians / quantiles use
-``ranks.exact_quantiles`` (sketch-bracketed selection, no per-group value map
-in one task); ``method="builtin"`` switches to Spark's ``percentile`` (fine
+``ranks.exact_quantiles`` (radix selection, no per-group value map in one task); ``method="builtin"`` switches to Spark's ``percentile`` (fine
 when the number of distinct values per group is small) and
 ``method="approx"`` to ``percentile_approx``.
 """
@@ -22,11 +21,11 @@ from .joins import attach_one_row, full_join_counts
 
 
 def _quantile_table(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str],
-                    method: str) -> DataFrame:
+                    method: str, wide: bool = False) -> DataFrame:
     """(by..., q, value_q) by the chosen method."""
     by = list(by)
     if method == "exact":
-        return ranks.exact_quantiles(df, value, qs, by)
+        return ranks.exact_quantiles(df, value, qs, by, wide)
     v = F.col(value).cast("double")
     d = df.filter(v.isNotNull() & ~F.isnan(v))
     for b in by:
@@ -43,11 +42,11 @@ def _quantile_table(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
 
 
 def group_quantiles_wide(df: DataFrame, value: str, qs: Mapping[str, float], by: Sequence[str] = (),
-                         method: str = "exact") -> DataFrame:
-    """One row per group with one column per named quantile."""
+                         method: str = "exact", wide: bool = False) -> DataFrame:
+    """One row per group with one column per named quantile; ``wide`` as in ``exact_quantiles``."""
     by = list(by)
     names = list(qs)
-    t = _quantile_table(df, value, [qs[n] for n in names], by, method)
+    t = _quantile_table(df, value, [qs[n] for n in names], by, method, wide)
     aggs = [F.max(F.when(F.col("q") == float(qs[n]), F.col("value_q"))).alias(n) for n in names]
     return t.groupBy(*by).agg(*aggs) if by else t.agg(*aggs)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import group_quantiles_wide
-from .joins import attach_one_row, pinned
+from .joins import attach_one_row, few
 from .windows import ordinal_position
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -50,14 +50,15 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None,
 
 
 def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid_size: int = 50, cut: float = 3.0,
-        clip: tuple[float, float] | None = None, bw_adjust: float = 1.0) -> DataFrame:
+        clip: tuple[float, float] | None = None, bw_adjust: float = 1.0, wide: bool = False) -> DataFrame:
     """Gaussian kernel density per group, each group normalised on its own.
 
     Bandwidth: Scott's rule, h = bw_adjust * stddev_samp * n^(-1/5).
     Grid: ``grid_size`` points over [min - cut h, max + cut h] clipped to ``clip``.
     The density is the direct sum over all rows: one aggregation pass, combined before the
     shuffle, adds each row's kernel at every grid point of its group, so rows stay where
-    they are. The groups' statistics are computed when the plan is built (``pinned``).
+    they are. The groups' statistics are broadcast behind a check of their number
+    (``joins.few``); ``wide`` leaves that join to Spark.
     Output: (by..., j, x, density).
     """
     by = list(by)
@@ -74,7 +75,8 @@ def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid_size: int = 50,
     if clip is not None:
         glo = F.greatest(glo, F.lit(float(clip[0])))
         ghi = F.least(ghi, F.lit(float(clip[1])))
-    st = pinned(st.select(*keys, "_n", "_h", glo.alias("_glo"), ghi.alias("_ghi")))
+    st = st.select(*keys, "_n", "_h", glo.alias("_glo"), ghi.alias("_ghi"))
+    st = st if wide else few(st)
 
     def at(j):
         return F.col("_glo") + j * (F.col("_ghi") - F.col("_glo")) / (grid_size - 1)
@@ -89,32 +91,31 @@ def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid_size: int = 50,
     return long.select(*by, "j", at(F.col("j")).alias("x"), (F.col("_s") / (F.col("_n") * F.col("_h") * SQRT_2PI)).alias("density"))
 
 
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def box_summary(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5,
-                method: str = "exact") -> DataFrame:
+                method: str = "exact", wide: bool = False) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside the fences),
     outlier count and mean per group."""
     by = list(by)
     d = _clean(df, value, by)
-    q = pinned(group_quantiles_wide(d, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, method))
-    q = q.withColumn("_iqr", F.col("q3") - F.col("q1")) \
-        .withColumn("_lo", F.col("q1") - whisker * F.col("_iqr")) \
-        .withColumn("_hi", F.col("q3") + whisker * F.col("_iqr"))
-    j = d.join(q.select(*by, "_lo", "_hi"), by)
+    q = group_quantiles_wide(d, value, _QUARTILES, by, method, wide)
+    j = d.join(q if wide else few(q), by)
     x = F.col(value).cast("double")
-    inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
-    s = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
-                           F.min(F.when(inside, x)).alias("whisker_lo"),
-                           F.max(F.when(inside, x)).alias("whisker_hi"),
-                           F.count_if(~inside).alias("n_outliers"))
-    return q.drop("_iqr", "_lo", "_hi").join(s, by)
+    reach = whisker * (F.col("q3") - F.col("q1"))
+    inside = x.between(F.col("q1") - reach, F.col("q3") + reach)
+    return j.groupBy(*by, *_QUARTILES).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(F.when(inside, x)).alias("whisker_lo"),
+        F.max(F.when(inside, x)).alias("whisker_hi"), F.count_if(~inside).alias("n_outliers"))
 
 
-def violin_table(df: DataFrame, value: str, by: Sequence[str], **kw) -> DataFrame:
+def violin_table(df: DataFrame, value: str, by: Sequence[str], wide: bool = False, **kw) -> DataFrame:
     """A26 + A28 for a violin plot: the density grid of each group with its quartiles
     (by..., j, x, density, q1, median, q3); keywords as in ``kde``."""
     by = list(by)
-    q = pinned(group_quantiles_wide(_clean(df, value, by), value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by))
-    return kde(df, value, by, **kw).join(q, by)
+    q = group_quantiles_wide(_clean(df, value, by), value, _QUARTILES, by, wide=wide)
+    return kde(df, value, by, wide=wide, **kw).join(q, by)
 
 
 def linear_trend(series: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

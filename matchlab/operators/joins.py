@@ -14,21 +14,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import catalog
-
-#: Rows of a small table that may travel with the plan (some MB at most).
-PINNED_ROWS = 10_000
-
-
-def pinned(small: DataFrame, by_rows: int = 1) -> DataFrame:
-    """A small aggregated table, computed now and held fixed: as constants of the plan with a
-    broadcast hint up to PINNED_ROWS (times ``by_rows``) rows; beyond that as a written
-    table, which Spark joins by its size."""
-    most = PINNED_ROWS * by_rows
-    got = small.limit(most + 1).toArrow()
-    if got.num_rows > most:
-        return catalog.written(small, "pinned")
-    return F.broadcast(small.sparkSession.createDataFrame(got, small.schema))
+#: Rows of a small table that may be broadcast (some MB).
+FEW_ROWS = 100_000
+
+
+def few(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A small aggregated table with a broadcast hint behind a check of its rows, made when the
+    plan runs: beyond ``most`` rows the query ends with an error that says so, before
+    anything is broadcast. Callers offer a form without the hint for such tables."""
+    # grouped by a constant: an empty table stays empty, and Spark drops what is joined to it
+    rows = small.limit(most + 1).groupBy(F.lit(0).alias("_k")).agg(F.collect_list(F.struct(*small.columns)).alias("_all"))
+    error = F.raise_error(F.lit(f"more than {most} rows to broadcast: use wide=True"))
+    return F.broadcast(rows.select(F.inline(F.when(F.size("_all") <= most, F.col("_all")).otherwise(error))))
 
 
 def scalar_struct(one_row: DataFrame) -> Column:

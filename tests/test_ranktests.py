@@ -104,3 +104,68 @@ def test_group_of_size_one(spark):
     r = RT.mann_whitney_pairs(df, "g", "v").collect()[0]
     u, _ = _brute_mw(np.array([1.0]), np.array([2.0, 3.0, 0.5]))
     assert r["u"] == pytest.approx(u)
+
+
+def exact_distribution(m, n):
+    """Arrangements of m among m + n ranks by their U, listed one by one."""
+    from collections import Counter
+    from itertools import combinations
+    return Counter(sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m))
+
+
+def test_exact_p_of_every_arrangement(spark):
+    from pyspark.sql import functions as F
+
+    from matchlab.functions import stats
+    sizes = [(1, 1), (1, 5), (2, 2), (3, 3), (3, 8), (5, 4), (8, 8), (8, 3), (6, 11), (1, 40)]
+    dist = {s: exact_distribution(*s) for s in sizes}
+    rows = [(float(u), m, n) for m, n in sizes for u in range(m * n + 1)]
+    df = spark.createDataFrame(rows, "u double, n1 long, n2 long")
+    for u, m, n, p in df.select("*", stats.rank_sum_two_sided(F.col("u"), F.col("n1"), F.col("n2"))).collect():
+        d = dist[m, n]
+        want = min(1.0, 2 * sum(c for x, c in d.items() if x <= min(u, m * n - u)) / sum(d.values()))
+        assert p == pytest.approx(want, rel=1e-12), (u, m, n)
+    wide = spark.createDataFrame([(1900.0, 8, 500), (0.0, 2, 3000)], "u double, n1 long, n2 long") \
+        .select(stats.rank_sum_two_sided(F.col("u"), F.col("n1"), F.col("n2")).alias("p")).collect()
+    assert wide[0].p == pytest.approx(0.81, abs=0.02) and wide[1].p == pytest.approx(2 / math.comb(3002, 2), rel=1e-12)
+
+
+def test_small_samples_get_exact_p(spark):
+    rows = [("a", x) for x in (1.0, 2.0, 3.0)] + [("b", x) for x in (4.0, 5.0, 6.0)] + [("c", x) for x in (1.0, 9.0, 10.0)]
+    got = {(r.grupo_1, r.grupo_2): r for r in RT.mann_whitney_tests(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got["a", "b"].p_value == pytest.approx(0.1) and got["b", "c"].p_value == pytest.approx(0.7)
+    assert got["a", "c"].ties > 0  # a tie: normal form
+    u, p = _brute_mw(np.array([1.0, 2, 3]), np.array([1.0, 9, 10]))
+    assert got["a", "c"].u == u and got["a", "c"].p_value == pytest.approx(p)
+
+
+@pytest.mark.parametrize("block,rows", [(512, 1 << 16), (2, 40)])
+def test_pairs_in_ranges_and_blocks(spark, monkeypatch, block, rows):
+    """Many small ranges and blocks give what one of each gives; disjoint groups included."""
+    monkeypatch.setattr(RT, "BLOCK_GROUPS", block)
+    monkeypatch.setattr(RT, "RANGE_ROWS", rows)
+    rng = np.random.default_rng(6)
+    g = rng.choice(list("abcde"), size=900, p=[.4, .3, .2, .06, .04])
+    v = np.round(rng.normal(size=900), 2) + np.where(g == "e", 50, 0)
+    pdf = pd.DataFrame({"g": g, "v": v})
+    got = {(r.grupo_1, r.grupo_2): r for r in RT.mann_whitney_pairs(spark.createDataFrame(pdf), "g", "v").collect()}
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        x, y = pdf.v[pdf.g == a].values, pdf.v[pdf.g == b].values
+        u, _ = _brute_mw(x, y)
+        t = pd.Series(np.concatenate([x, y])).value_counts().values.astype(float)
+        assert r.u == pytest.approx(u) and r.ties == pytest.approx((t ** 3 - t).sum()) and (r.n1, r.n2) == (len(x), len(y))
+        assert r.delta_mediana == pytest.approx(np.median(x) - np.median(y))
+
+
+def test_two_thousand_groups(spark):
+    """The plan doesn't grow with the groups, and each pair is there once."""
+    from pyspark.sql import functions as F
+    size = {}
+    for k in (20, 2000):
+        df = spark.range(4 * k).select((F.col("id") % k).cast("string").alias("g"), F.hash("id").cast("double").alias("v"))
+        t = RT.mann_whitney_pairs(df, "g", "v")
+        size[k] = len(t._jdf.queryExecution().optimizedPlan().toString())
+        assert t.agg(F.count("*"), F.countDistinct("grupo_1", "grupo_2")).first()[:] == (k * (k - 1) // 2,) * 2
+    assert size[2000] < 1.1 * size[20]
+    assert t.where("grupo_1 < grupo_2 AND u BETWEEN 0 AND 16").count() == 1999000
