@@ -5,6 +5,10 @@ shared folder named by ``spark.checkpoint.dir`` (never a machine-local temp
 folder on a cluster), partitioned by region so region filters prune files.
 Later queries in the same application read that table; lineage is cut, so a
 lost executor only re-reads files instead of re-running the joins.
+
+A table belongs to the state of its inputs when it was built. Reading it again
+starts no job and lists no input; ``refresh`` compares the states on request and
+forgets what is out of date.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+#: (application, name, key) -> (path, frame that reads it, inputs, their state)
 _TABLES: dict[tuple, tuple] = {}
 
 
@@ -54,24 +60,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_state(spark: SparkSession, paths) -> tuple:
-    """Names, sizes and times of the files under ``paths``, listed by Spark."""
-    out = []
-    for p in paths:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p) \
-            .select("path", "length", "modificationTime").orderBy("path").collect()
-        out.append(tuple((f["path"], f["length"], str(f["modificationTime"])) for f in files))
-    return tuple(out)
+    """Digest of the files under ``paths`` (their number, and names, sizes and times hashed), formed
+    by the executors that list them; one row reaches the driver."""
+    if not paths:
+        return ()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    h = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h))).first())
 
 
 def materialized(spark: SparkSession, name: str, key: str, build, partition_by: tuple[str, ...] = (),
                  cluster_by: tuple[str, ...] = (), inputs: tuple[str, ...] = ()) -> DataFrame:
-    """Build-once table per (application, name, key, state of the ``inputs``); later calls read
-    the files, with the schema they were written with (a text partition '01' stays text)."""
-    k = (spark.sparkContext.applicationId, f"{name}:{key}", input_state(spark, inputs))
-    path, schema = _TABLES.get(k, (None, None))
+    """Build-once table per (application, name, key); later calls read its files without
+    a job, with the schema they were written with (a text partition '01' stays text).
+    Changed ``inputs`` are seen after ``refresh``."""
+    k = (spark.sparkContext.applicationId, name, key)
+    path, df, *_ = _TABLES.get(k, (None, None))
     if path is None or not _exists(path):
         digest = hashlib.sha1(key.encode()).hexdigest()[:8]
-        df = build()
-        path, schema = write_table(df, f"{name}-{digest}", partition_by, cluster_by=cluster_by), df.schema
-        _TABLES[k] = path, schema
-    return spark.read.schema(schema).parquet(path)
+        state = input_state(spark, inputs)  # before the build: what comes later is a change
+        built = build()
+        path = write_table(built, f"{name}-{digest}", partition_by, cluster_by=cluster_by)
+        df = spark.read.schema(built.schema).parquet(path)
+        _TABLES[k] = path, df, inputs, state
+    return df
+
+
+def refresh(spark: SparkSession, name: str | None = None) -> list[str]:
+    """Forget the tables (of one name, or all) whose inputs changed; their next reader builds them
+    again. Returns their keys. Frames made before go on reading the old files."""
+    app = spark.sparkContext.applicationId
+    old = [k for k, (_, _, inputs, state) in _TABLES.items()
+           if k[0] == app and name in (None, k[1]) and input_state(spark, inputs) != state]
+    for k in old:
+        del _TABLES[k]
+    return [k[2] for k in old]

@@ -44,10 +44,23 @@ def test_materialized_follows_its_inputs(spark, tmp_path):
     spark.createDataFrame([("01", 1), ("", 2)], "p string, x int").write.parquet(src)
     get = lambda: catalog.materialized(spark, "t", src, read, partition_by=("p",), inputs=(src,))
     assert dict(get().dtypes)["p"] == "string" and {r.p for r in get().where("x = 1").collect()} == {"01"}
+    assert catalog.refresh(spark, "t") == []
     spark.createDataFrame([("02", 3)], "p string, x int").write.mode("append").parquet(src)
+    assert get().count() == 2  # until a refresh is asked for
+    assert catalog.refresh(spark, "t") == [src]
     assert get().count() == 3
 
 
+def test_warm_table_starts_no_job(spark):
+    from matchlab.plans.common import M
+    M(spark, "/root/testdata/sf0.001")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("warm-table", "warm")
+    M(spark, "/root/testdata/sf0.001").groupBy("estado").count()
+    assert not tracker.getJobIdsForGroup("warm-table")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_csv_chunked_roundtrip(spark, tmp_path):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 2 == 0).cast("string").alias("flag"))
     p = S.write_csv(df.coalesce(1), str(tmp_path / "out"), max_records_per_file=30)
