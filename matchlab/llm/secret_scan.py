@@ -44,15 +44,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24,}"),
 )
-# A key from its BEGIN line to its END line, with no other BEGIN line between. Where END is missing:
-# to the last base64 line, over headers (Proc-Type: ...); lines are apart by white space, quotes or
-# a written-out \\n, hold 16 characters or more but for the last, or a mark of the rules above.
-_GAP = r"""[\s>"',]*(?:\\[rn][\s>"',]*){0,4}"""
+# A key from its BEGIN line to its END line, with no other BEGIN or END line between. Where END is
+# missing: to the last base64 line, over headers (Proc-Type: ...); lines are apart by white space,
+# quotes or a written-out \\n, hold 16 characters or more but for the last, or a mark of the rules
+# above. Repeats are possessive: they have no bound, and the engine runs them without a stack.
+_GAP = r"""[\s>"',]*+(?:\\[rn][\s>"',]*+)*+"""
 _PRIVATE_KEY = (
     r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:"
-    r"[^-]*(?:-{1,4}[^-]+){0,200}-----END (?:[A-Z]+ )*PRIVATE KEY-----|"
-    rf"(?:{_GAP}[A-Z][A-Za-z-]+:[^\r\n\\]*(?=[\r\n\\])){{0,8}}"
-    rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]*\[REDACTED-[A-Z]+\][A-Za-z0-9+/]*={{0,2}})){{1,300}}"
+    r"[^-]*+(?:-(?!----(?:BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY-----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----|"
+    rf"(?:{_GAP}[A-Z][A-Za-z-]+:[^\r\n\\]*+(?=[\r\n\\]))*+"
+    rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]*+\[REDACTED-[A-Z]+\][A-Za-z0-9+/]*+={{0,2}}))++"
     r"(?:(?:\r?\n|\\n)[\x20\t>]*[A-Za-z0-9+/]{1,15}(?:={1,2}|(?=[\r\n\\\"']|$)))?)?")
 RULES = BASE_RULES + (
     Rule("private_key", _PRIVATE_KEY),

@@ -12,10 +12,16 @@ The files are read in ranges through pyarrow's file systems (local and mounted
 folders, S3, GCS, HDFS); where pyarrow doesn't know the scheme, Spark reads whole
 files and the blocks are cut from them.
 
-Writing tokenizes each text with byte-level BPE ranks in the task that read it and
+``write_flat`` tokenizes each text with byte-level BPE ranks in the task that read it and
 stores each document's bytes as a line whose line separator is the separator's
 bytes, so Spark's own text writer, with its commit, makes the flat files.
 
+``document_token_counts`` keeps the streams of its tasks in a table instead, one row per
+block of a fixed number of bytes wherever documents begin and end, and beside them the
+ids in the order in which their documents went into the stream. Tokens and ids come from
+one evaluation of the input: however its rows are shuffled, or dealt anew after a lost
+executor, a count can't meet another document's id.
+
 Defined cases: a null or empty text is a document of no tokens; tokens after the
 last separator of a file are a document that isn't ended; empty files and empty
 tables have no documents; a length that isn't a whole number of tokens fails.
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ship import arrow_map
-from .store import new_path
+from .store import written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public vocabulary cuts a text before its merges.
@@ -44,23 +50,64 @@ BLOCK = 1 << 20
 GROUP = 4096
 
 
+def _encoder(ranks: dict):
+    """The function from an Arrow column of texts to the bytes of each one's tokens."""
+    import tiktoken
+
+    e = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+    return lambda col: [e.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes() if t else b"" for t in col.to_pylist()]
+
+
 def _tokenizer(ranks: dict):
     def run(batches):
-        import tiktoken
+        from matchlab.llm import tokens as own
 
-        e = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        encode = own._encoder(ranks)
         for batch in batches:
-            out = [e.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes() if t else b""
-                   for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(encode(batch.column("_text")), pa.binary())], names=["tokens"])
     return run
 
 
+def _streamer(ranks: dict, block_bytes: int):
+    """Blocks of one stream of tokens per task (file, block, at, size, content), each with the ids
+    whose documents went into the stream since the block before, the first of them number ``first``."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        from matchlab.llm import tokens as own
+
+        encode, end = own._encoder(ranks), own.EOD.to_bytes(own.WIDTH, "little")
+        file, block, first, held, ids = TaskContext.get().partitionId(), 0, 0, b"", []
+
+        def row(content):
+            there = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([block * block_bytes], pa.int64()),
+                 pa.array([len(content)], pa.int64()), pa.array([first], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(there)], pa.int32()), there), pa.array([content], pa.binary())],
+                names=["file", "block", "at", "size", "first", "ids", "content"]), len(there)
+
+        for batch in batches:
+            ids.append(batch.column("_id"))
+            held += b"".join(t + end for t in encode(batch.column("_text")))
+            for k in range(0, len(held) // block_bytes * block_bytes, block_bytes):
+                out, n = row(held[k:k + block_bytes])
+                yield out
+                block, first, ids = block + 1, first + n, [batch.column("_id").slice(0, 0)]
+            held = held[len(held) // block_bytes * block_bytes:]
+        if held:
+            yield row(held)[0]
+    return run
+
+
+def _ranks(spark: SparkSession, path: str):
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in (line.split() for line in f)})
+
+
 def write_flat(docs: DataFrame, path: str, text: str = "text", ranks: str = RANKS) -> None:
     """Flat token files of all texts, one file per partition, in the rows' order."""
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = _ranks(docs.sparkSession, ranks)
     rows = arrow_map(docs.select(F.col(text).alias("_text")), _tokenizer(shared), "tokens binary")
     mark = EOD.to_bytes(WIDTH, "little").decode("latin-1")
     rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", mark) \
@@ -121,7 +168,19 @@ def count_tokens(spark: SparkSession, path: str, eod: int = EOD, width: int = WI
         files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_p"), F.col("content").alias("_c"))
         cut = F.expr("substring(_c, CAST(at AS INT) + 1, CAST(size AS INT))")
         read = b.join(files, b["path"] == F.col("_p")).select(*b.columns, cut.alias("content"))
-    found = arrow_map(read.drop("length"), _separators(eod, width), "path string, grp long, block long, seps array<long>")
+    ended, groups = _documents(read.drop("length"), eod, width)
+    whole = groups.groupBy("path").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    rest = b.where("block = 0").select("path", "length").join(whole, "path")
+    start = F.coalesce(F.col("last") + 1, F.lit(0))
+    rest = rest.select("path", F.col("n").alias("doc_no"), start.alias("start"),
+                       (F.floor(F.col("length") / width) - start).alias("n_tokens"), F.lit(False).alias("ended")).where("n_tokens > 0")
+    return ended.unionByName(rest)
+
+
+def _documents(read: DataFrame, eod: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The ended documents of the blocks ``read`` (path, grp, block, at, size and, unless it is to be
+    read from the path, content), and the last separator and their number of each group of blocks."""
+    found = arrow_map(read, _separators(eod, width), "path string, grp long, block long, seps array<long>")
     # per block: where its last separator is, and how many there are
     last = F.element_at("seps", -1)
     found = found.withColumn("last", F.when(F.size("seps") > 0, last)).withColumn("n", F.size("seps").cast("long"))
@@ -137,27 +196,22 @@ def count_tokens(spark: SparkSession, path: str, eod: int = EOD, width: int = WI
     ended = s.select("path", "done", F.posexplode(F.arrays_zip(F.col("seps").alias("sep"), F.slice(starts, F.lit(1), F.size("seps")).alias("start")))) \
         .select("path", (F.col("done") + F.col("pos")).alias("doc_no"), F.col("col.start").alias("start"),
                 (F.col("col.sep") - F.col("col.start")).alias("n_tokens"), F.lit(True).alias("ended"))
-    whole = groups.groupBy("path").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
-    rest = b.where("block = 0").select("path", "length").join(whole, "path")
-    start = F.coalesce(F.col("last") + 1, F.lit(0))
-    rest = rest.select("path", F.col("n").alias("doc_no"), start.alias("start"),
-                       (F.floor(F.col("length") / width) - start).alias("n_tokens"), F.lit(False).alias("ended")).where("n_tokens > 0")
-    return ended.unionByName(rest)
-
-
-def document_token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """Writes the flat files of ``docs`` below the shared folder and counts them: doc_id,
-    n_tokens, file (its number), doc_no, start. Files keep the rows' order, so the ids come
-    from the same scan by partition and place; the counts of both are compared."""
-    spark = docs.sparkSession
-    path = new_path(spark, "flat-tokens")
-    write_flat(docs, path, text)
-    counts = count_tokens(spark, path, block_bytes=block_bytes)
-    counts = counts.withColumn("file", F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int"))
-    mid = F.monotonically_increasing_id()
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.shiftrightunsigned(mid, 33).cast("int").alias("file"),
-                      mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
-    out = counts.join(ids.withColumn("there", F.lit(True)), ["file", "doc_no"], "full")
+    return ended, groups
+
+
+def document_token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK,
+                          ranks: str = RANKS) -> DataFrame:
+    """Writes the streams of tokens of ``docs`` below the shared folder and counts them: doc_id,
+    n_tokens, file (the stream's number), doc_no, start."""
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    kind = d.schema["_id"].dataType.simpleString()
+    t = written(arrow_map(d, _streamer(_ranks(docs.sparkSession, ranks), block_bytes // WIDTH * WIDTH),
+                          f"file int, block long, at long, size long, first long, ids array<{kind}>, content binary"), "flat-tokens")
+    read = t.select(F.col("file").cast("string").alias("path"), F.floor(F.col("block") / GROUP).alias("grp"), "block", "at", "size", "content")
+    counts, _ = _documents(read, EOD, WIDTH)
+    ids = t.select("file", "first", F.posexplode("ids").alias("pos", "doc_id")) \
+        .select("file", (F.col("first") + F.col("pos")).alias("doc_no"), "doc_id", F.lit(True).alias("there"))
+    out = counts.withColumn("file", F.col("path").cast("int")).join(ids, ["file", "doc_no"], "full")
     both = F.col("there") & F.col("ended")
-    n = F.when(both, F.col("n_tokens")).otherwise(F.raise_error(F.lit("documents and flat files differ")).cast("long"))
+    n = F.when(both, F.col("n_tokens")).otherwise(F.raise_error(F.lit("documents and separators differ")).cast("long"))
     return out.select("doc_id", n.alias("n_tokens"), "file", "doc_no", "start")

@@ -61,6 +61,27 @@ def test_token_counts_at_block_edges(spark, tmp_path):
     assert tokens.document_token_counts(docs.where("false")).count() == 0
 
 
+def test_token_counts_of_inputs_in_any_order(spark):
+    """Shuffled, de-duplicated, filtered and re-dealt inputs: every count meets its own id."""
+    rng = np.random.default_rng(1)
+    rows = [(int(k), "tok " * int(rng.integers(0, 40)) + "x" * int(k % 7)) for k in range(600)]
+    rows += rows[:50]
+    import tiktoken
+    table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(tokens.RANKS, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=table, special_tokens={})
+    n = {i: len(enc.encode_ordinary(t)) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        for df in (docs.repartition(7), docs.dropDuplicates(["doc_id"]), docs.where("doc_id % 3 = 1").repartition(5, "text"), docs.orderBy(F.rand()),
+                   docs.withColumn("doc_id", F.col("doc_id").cast("string")).coalesce(1)):
+            got = tokens.document_token_counts(df, block_bytes=64).collect()
+            assert sorted((int(r.doc_id), r.n_tokens) for r in got) == sorted((int(r.doc_id), n[int(r.doc_id)]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+
+
 PAGE = """<html><body><!-- x --><div class="menu"><a>Home</a></div><div>Our site name</div>
 <p>{a}</p><p>{b} &amp; more<br>text</p><div id="sidebar"><p>side</p></div><p class=notice>We use<p>{c}
 <section class="comments"><article><p>first!</p></article></section><form><p>Mail</p></form><div>All rights kept</div><script>var x="</p>"</script></body></html>"""

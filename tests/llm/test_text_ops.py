@@ -272,7 +272,10 @@ def test_private_keys_are_covered_whole(spark):
     head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789abcdef0123456789abcdef", ""]
     key = "\n".join([begin, *body, last])
     whole = [f"{key}\n{end}", "\n".join([begin, *head, *body, last, end]), "\r\n".join([begin, *body, end]), "\\n".join([begin, *body, last, end]),
-             " ".join([begin, *body, end]), key, "\n".join([begin, *head, *body, last]), "\n".join([begin, *lines(250)]), "\n".join([begin, *lines(3000), end])]
+             " ".join([begin, *body, end]), key, "\n".join([begin, *head, *body, last]), "\n".join([begin, *lines(250)]), "\n".join([begin, *lines(3000), end]),
+             "\n".join([begin, *lines(400)]), "\n".join([begin, *lines(20_000)]), "\n".join([begin, *["Comment: a-b-c-d"] * 80, "", *lines(25), end]),
+             "\n".join([begin, *[f"Header-{chr(65 + k)}: x-y" for k in range(20)], "", *lines(25)]), "\\n\\n\\n\\n\\n\\n".join([begin, *lines(30)]),
+             "\n".join([begin, *["-" * k for k in range(1, 300)], "--" + end])]
     texts = [(k, f"before\n{w}\n\nand after, it goes on") for k, w in enumerate(whole)]
     texts += [(50, f"{begin} is a line that starts a key"), (51, f"{key}\n{whole[0]}\nx - y")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
