@@ -17,6 +17,7 @@ from ..operators import topk as TK
 from ..operators import windows as WN
 from ..session import checkpoint_dir
 from ..sources import files as S
+from ..sources import fixtures
 from .common import M, R, T
 from .registry import query, r6
 
@@ -60,6 +61,24 @@ def best_match_nulls_last(spark, sf):
     return b.select("cod_imovel", r6("indice"), "dono_igual", "id_vizinhanca", "id_parte", "linha")
 
 
+@query("best_match_owners", extra_ctes="""
+bridge AS (SELECT o_orderkey AS cod_imovel, o_custkey AS dono FROM orders WHERE o_orderkey % 7 <> 3
+           UNION SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 2 = 0),
+fan AS (SELECT m.cod_imovel, indice, id_vizinhanca, id_parte, linha,
+               coalesce(CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey END = s_nationkey, FALSE) AS mesmo_dono
+        FROM matches m JOIN bridge b ON b.cod_imovel = m.cod_imovel JOIN customer ON c_custkey = dono JOIN supplier ON s_suppkey = id_vizinhanca)""",
+       sql="""
+SELECT cod_imovel, round(indice, 6) AS indice, mesmo_dono, id_vizinhanca, id_parte, linha FROM (
+  SELECT *, row_number() OVER (PARTITION BY cod_imovel ORDER BY indice DESC NULLS FIRST, mesmo_dono DESC,
+                               id_vizinhanca, id_parte, linha) AS rn FROM fan) WHERE rn = 1
+""")
+def best_match_owners(spark, sf):
+    """J1 with its n:m owner bridge + W1: a match of one of the owners wins among equal indices."""
+    b = J.best_match_by_owner(M(spark, sf).select("cod_imovel", "indice", "id_vizinhanca", "id_parte", "linha"),
+                              *fixtures.owner_tables(spark, sf), "cod_imovel", "id_vizinhanca", "indice", ["id_vizinhanca", "id_parte", "linha"])
+    return b.select("cod_imovel", r6("indice"), "mesmo_dono", "id_vizinhanca", "id_parte", "linha")
+
+
 YEARS = list(range(1995, 2002))
 NO_OVERLAP = "Sem sobreposição a desmatamento"
 _D = ", ".join(f"coalesce(sum(area) FILTER (WHERE ano = {y}), 0) AS d{y}" for y in YEARS)
@@ -134,6 +153,19 @@ def csv_roundtrip(spark, sf):
         F.count(X.year_from_text("data_cadastro_imovel")).alias("n_datas"))
 
 
+@query("csv_switch", """
+SELECT regiao, CAST(count(*) AS BIGINT) AS n, round(sum(area_a), 2) AS total_area FROM raw_matches GROUP BY 1
+""")
+def csv_switch(spark, sf):
+    """A CSV table replaced by a new version in checked chunks, read through its manifest."""
+    m = M(spark, sf).select("cod_imovel", "regiao", "area_a")
+    path = os.path.join(checkpoint_dir(spark), "matchlab-csv", uuid.uuid4().hex[:12])
+    S.replace_csv(m.where("area_a IS NULL"), path)
+    S.replace_csv(m, path)
+    back = S.read_current_csv(spark, path, "cod_imovel bigint, regiao string, area_a double")
+    return back.groupBy("regiao").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area_a"), 2).alias("total_area"))
+
+
 @query("frame_sql", """
 SELECT class_tam_imovel, CAST(count(*) AS BIGINT) AS n, round(avg(pct), 6) AS avg_pct FROM (
   SELECT indice * 100 AS pct, class_tam_imovel FROM matches WHERE indice IS NOT NULL AND class_tam_imovel IS NOT NULL

@@ -7,12 +7,14 @@ database is read through Spark's JDBC source with partitioned reads.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ..operators.topk import union_all
 
@@ -61,6 +63,58 @@ def write_csv(df: DataFrame, path: str, max_records_per_file: int | None = None,
     return path
 
 
+#: Rows of a chunk, and of the smaller ones that a failed write is tried with again.
+CSV_CHUNKS = (5_000_000, 1_000_000, 200_000)
+
+
+def replace_csv(df: DataFrame, path: str, chunks: Sequence[int] = CSV_CHUNKS, multi_line: bool = False) -> str:
+    """A new version of the CSV table at ``path``, with retry and switch. Returns its folder.
+
+    The version is written to a folder of its own, in chunks of ``chunks[0]`` rows; its rows are
+    read back and compared with the rows that went in. A write that fails, or doesn't
+    compare, is tried again in the next smaller chunks, in another folder. Then one line
+    is added to the manifest, which ``read_current_csv`` follows: readers see the old version, whole,
+    until then, and also if no size works (the last error is raised)."""
+    spark = df.sparkSession
+    version = _versions(spark, path) + 1
+    for k, rows in enumerate(chunks):
+        folder = f"data-{uuid.uuid4().hex}"
+        try:
+            seen = Observation()
+            write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/{folder}", rows, mode="errorifexists")
+            there = read_csv(spark, f"{path}/{folder}", df.schema, multi_line=multi_line).count()
+            if there != seen.get["rows"]:
+                raise OSError(f"{path}/{folder} has {there} rows of {seen.get['rows']}")
+            break
+        except (PySparkException, Py4JError, OSError):
+            if k + 1 == len(chunks):
+                raise
+    line = F.to_json(F.struct(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.lit(there).alias("rows")))
+    spark.range(1, numPartitions=1).select(line.alias("value")).write.mode("append").text(f"{path}/manifest")
+    return f"{path}/{folder}"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version long, folder string, rows long").json(f"{path}/manifest")
+    except AnalysisException:  # no version yet
+        return None
+
+
+def _versions(spark: SparkSession, path: str) -> int:
+    m = _manifest(spark, path)
+    return (m.agg(F.max("version")).first()[0] or 0) if m is not None else 0
+
+
+def read_current_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """The version that the manifest of ``path`` names last."""
+    m = _manifest(spark, path)
+    if m is None:
+        raise FileNotFoundError(f"{path} has no manifest")
+    folder = m.agg(F.max_by("folder", "version")).first()[0]
+    return read_csv(spark, f"{path}/{folder}", schema, multi_line=multi_line)
+
+
 def jdbc_options(url: str, query: str | None = None, table: str | None = None, user: str | None = None,
                  password: str | None = None, partition_column: str | None = None,
                  lower_bound: int | None = None, upper_bound: int | None = None,

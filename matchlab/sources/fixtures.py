@@ -76,3 +76,18 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_matches(raw_matches(spark, sf_dir))
+
+
+def owner_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The n:m owner bridge (property, owner), its owners and the parcels' owner codes: an order's
+    customer owns it, and customer 1 every second order too, a third of the bridge; every
+    seventh order has no owner and every tenth owner no code."""
+    o = read_table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 3")
+    key = F.col("o_orderkey").alias("cod_imovel")
+    bridge = o.select(key, F.col("o_custkey").alias("owner")).union(
+        o.where("o_orderkey % 2 = 0 AND o_custkey <> 1").select(key, F.lit(1).cast("long")))
+    owners = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("owner"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("owner_code"))
+    parcels = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id_vizinhanca"), F.col("s_nationkey").alias("parcel_code"))
+    return bridge, owners, parcels

@@ -66,3 +66,44 @@ def test_top_k_hot_category(spark, skewed):
     assert top[0] == 0
     rel = TK.top_k_or_other(df, "k", 3, -1)
     assert rel.count() == len(rows)
+
+
+@pytest.mark.parametrize("hot_rows", [50, 10 ** 6])
+def test_best_match_over_a_hot_owner(spark, hot_rows):
+    """The n:m bridge with one owner holding a third of it, against nested loops."""
+    from matchlab.operators import joins as J
+    rng = np.random.default_rng(5)
+    matches = [(int(k), int(p), None if i > 8 else float(i), int(n)) for n, (k, p, i) in enumerate(
+        zip(rng.integers(0, 120, 600), rng.integers(0, 40, 600), rng.integers(0, 10, 600)))]
+    bridge = sorted({(int(k), int(o)) for k, o in zip(rng.integers(0, 110, 200), rng.integers(1, 60, 200))} | {(k, 0) for k in range(100)})
+    bridge += [(5, None), (None, 3)]
+    owners = [(o, None if o % 10 == 9 else o % 6) for o in range(50)]
+    parcels = [(p, p % 7 if p % 8 else None) for p in range(35)]
+    got = J.best_match_by_owner(
+        spark.createDataFrame(matches, "k long, p long, i double, n long"), spark.createDataFrame(bridge, "k long, owner long"),
+        spark.createDataFrame(owners, "owner long, owner_code long"), spark.createDataFrame(parcels, "p long, parcel_code long"),
+        "k", "p", "i", ["p", "n"], hot_rows).collect()
+    codes, of = dict(parcels), dict(owners)
+    rows = {}
+    for k, p, i, n in matches:
+        for b, o in bridge:
+            if b == k and o in of and p in codes:
+                same = of[o] is not None and of[o] == codes[p]
+                rows.setdefault(k, []).append((i is not None, -(i or 0), not same, p, n))
+    want = {(k, -r[1] if r[0] else None, not r[2], r[3], r[4]) for k, r in ((k, min(v)) for k, v in rows.items())}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("block,wide", [(20, False), (20, True), (10 ** 6, False)])
+def test_near_pairs_of_a_dense_cell(spark, block, wide):
+    """Half of all points in one cell, some of them in one place: same pairs, bounded blocks."""
+    from matchlab.operators import joins as J
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.random((300, 2)), np.full((60, 2), 0.37), rng.random((360, 2)) * 24 - 12, [[1.0, 1.0], [0.0, 1.0], [1.0, 0.5], [2.0, 1.0]]])
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(xy)] + [(-1, None, 0.5)], "id long, x double, y double")
+    got = {(r.id_1, r.id_2) for r in J.pairs_within(df, "id", "x", "y", 1.0, block=block, wide=wide).collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    assert got == {(i, j) for i, j in zip(*np.nonzero(d < 1.0)) if i < j}
+    if block == 20:
+        for side in J.near_blocks(df, "id", "x", "y", 1.0, block=block, wide=wide):
+            assert side.groupBy(J._KEY).count().agg(F.max("count")).first()[0] <= 5 * block

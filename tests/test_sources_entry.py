@@ -70,6 +70,34 @@ def test_csv_chunked_roundtrip(spark, tmp_path):
     assert back.filter("flag").count() == 50
 
 
+def test_csv_is_replaced_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "id long, s string"
+    old = spark.createDataFrame([(1, "old")], schema)
+    new = spark.range(1000).select("id", F.concat(F.lit('a "quoted", value '), "id").alias("s")).repartition(3)
+    with pytest.raises(FileNotFoundError):
+        S.read_current_csv(spark, path, schema)
+    S.replace_csv(old, path)
+    real, sizes = S.write_csv, []
+
+    def broken(df, to, rows, mode="overwrite"):
+        """The first write breaks off, the second loses rows."""
+        assert S.read_current_csv(spark, path, schema).collect() == old.collect()
+        sizes.append(rows)
+        if len(sizes) == 1:
+            real(df.where("id < 10"), to, rows, mode)
+            raise OSError("disk full")
+        return real(df, to, rows, mode) if len(sizes) > 2 else [real(df, to, rows, mode), os.remove(next(
+            os.path.join(to, f) for f in os.listdir(to) if f.startswith("part")))]
+    monkeypatch.setattr(S, "write_csv", broken)
+    with pytest.raises(OSError):
+        S.replace_csv(new, path, chunks=(500, 300))
+    assert S.read_current_csv(spark, path, schema).collect() == old.collect() and sizes == [500, 300]
+    sizes.clear()
+    folder = S.replace_csv(new, path, chunks=(500, 300, 100))
+    assert sizes == [500, 300, 100] and len([f for f in os.listdir(folder) if f.endswith(".csv")]) >= 10
+    assert sorted(S.read_current_csv(spark, path, schema).collect()) == sorted(new.collect())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
