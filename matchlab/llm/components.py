@@ -2,8 +2,9 @@
 
 Each round ties every vertex and all its neighbours to the least of them, until the
 edges form stars around the least vertices. A round is a grouped minimum (combined
-before the shuffle), a join that Spark may split at a hot vertex, and a distinct;
-its edges are written to the shared folder.
+before the shuffle), a join and a distinct; its edges are written to the shared folder.
+The minima are written too: both sides of the join are then plain shuffles, which is
+what Spark needs to split the rows of a hot vertex, a star's centre, over many tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .store import written
 def _contract(e: DataFrame) -> DataFrame:
     """One round on edges (u, v) with u > v."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     out = both.join(least, "u").select("u", "v", "m")
     return out.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 

@@ -183,7 +183,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in keys) + ", " + HITS
     passes = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(blocks)) == b).toArrow()
+        part = items.where(F.pmod(F.xxhash64(F.coalesce("text", "id")), F.lit(blocks)) == b).toArrow()
         bench = spark.sparkContext.broadcast(Benchmark(part["id"].to_pylist(), part["text"], window, k))
         passes.append(arrow_map(d.select(*keys, *sent), _marker(bench, keys, inside), schema))
     if blocks == 1:
