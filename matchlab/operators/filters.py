@@ -186,8 +186,9 @@ def context_rows(df: DataFrame, spec: FilterSpec, membership: DataFrame) -> Data
 def guard_min_rows(df: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """return ``df`` only when it has >= k rows (> k with strict); else empty.
 
-    Plan-level HAVING: one count aggregated on executors used as a scalar
-    subquery in the filter, no driver count().
+    Plan-level HAVING: a count of as many rows as decide it, used as a scalar
+    subquery in the filter, no driver count() and no scan to the end.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    return df.filter(n > k if strict else n >= k)
+    least = k + 1 if strict else k
+    n = df.limit(max(least, 0)).agg(F.count(F.lit(1)).alias("_n")).scalar()
+    return df.filter(n >= least)

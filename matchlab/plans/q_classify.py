@@ -161,7 +161,7 @@ def two_way_match(spark, sf):
     entities matched in A, and the integration quadrant."""
     c = T(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = T(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("estado"))
-    cn = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("c_custkey", "estado")
+    cn = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "estado")
     o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     li = T(spark, sf, "lineitem").select("l_orderkey")
     rate_a = A.match_rate(cn, "c_custkey", "estado",

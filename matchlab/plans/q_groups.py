@@ -39,7 +39,7 @@ def state_year_totals_table(spark, sf):
     o = T(spark, sf, "orders").select("o_custkey", "o_orderkey", X.year_of("o_orderdate").alias("ano_cadastro"))
     c = T(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = T(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("estado"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return A.distinct_count(j, "o_orderkey", ["estado", "ano_cadastro"], "total_cars_cadastrados")
 
 
@@ -226,7 +226,7 @@ def count_by_year(spark, sf):
     a = A.group_size(T(spark, sf, "orders"), [X.year_of("o_orderdate").cast("string").alias("k")])
     c = T(spark, sf, "customer")
     n = T(spark, sf, "nation")
-    b = A.group_size(c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey), [F.col("n_name").alias("k")])
+    b = A.group_size(c.join(n, c.c_nationkey == n.n_nationkey), [F.col("n_name").alias("k")])
     return (a.select(F.lit("year").alias("grouping"), "k", F.col("n").cast("long"))
             .unionByName(b.select(F.lit("state").alias("grouping"), "k", F.col("n").cast("long"))))
 

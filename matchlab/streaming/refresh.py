@@ -1,7 +1,7 @@
 """Incremental refresh of the derived fact table (S7 as a stream).
 
 The reference rebuilds its table from scratch on every reload.  With
-Structured Streaming the same derivation (``fixtures.derive_matches`` - pure
+Structured Streaming the same derivation (``derive.derive_matches`` - pure
 Column expressions) runs on new raw files only and appends them to the
 materialised Parquet table; the checkpoint location (in the shared folder)
 makes the sink exactly-once across restarts and executor loss.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import checkpoint_dir
-from ..sources.fixtures import derive_matches
+from ..operators.derive import derive_matches
 
 
 def raw_stream(spark: SparkSession, source_dir: str, schema, max_files_per_trigger: int | None = None
