@@ -124,15 +124,16 @@ def mann_whitney_pairs(df: DataFrame, group: str, value: str, groups: Sequence[s
                        with_medians: bool = True) -> DataFrame:
     """K3 (J8 pairs g1 < g2): U of the first group, n1, n2, tie term, rank-biserial
     r = 1 - 2U/(n1 n2) and the median difference (of the middle values, as ranks find them
-    in the running counts). Any number of groups; ``groups`` keeps some."""
+    in the running counts). Any number of groups; ``groups`` keeps some, in their order."""
     d = _clean(df, group, value)
     d = d if groups is None else d.where(F.col("_g").isin(list(groups)))
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
     vc = catalog.written(d.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("c")), "group-values")
     cube = F.col("c").cast("double")
     per = vc.groupBy("_g").agg(F.sum("c").alias("n"), F.sum(cube * cube * cube - cube).alias("t"))
-    # the groups are numbered in the order of their labels: one row each
-    per = catalog.written(per.withColumn("gid", F.row_number().over(Window.orderBy("_g")) - 1), "groups")
+    # the groups are numbered in the order of their labels, or of ``groups``: one row each
+    order = [F.col("_g")] if groups is None else [F.array_position(F.array(*map(F.lit, groups)), F.col("_g"))]
+    per = catalog.written(per.withColumn("gid", F.row_number().over(Window.orderBy(*order)) - 1), "groups")
     k = per.count()
     ranges = max(1, -(-vc.count() // max(RANGE_ROWS, 32 * k)))
     vc = vc.join(per.select("_g", "gid"), "_g").select("gid", "_v", "c")
@@ -185,11 +186,15 @@ def kruskal_test(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
 
 
 def mann_whitney_tests(df: DataFrame, group: str, value: str, alpha: float = 0.05,
-                       correction: str = "bonferroni", groups: Sequence[str] | None = None) -> DataFrame:
+                       correction: str = "bonferroni", groups: Sequence[str] | None = None,
+                       method: str = "auto") -> DataFrame:
     """K3 + K4: two-sided p, corrected alpha (bonferroni / sidak / none), significance and direction.
 
     p is exact where the smaller sample has at most EXACT_SAMPLE rows and the pair has no
-    ties; else it is the normal approximation, tie and continuity corrected."""
+    ties (``method`` auto); else, or with ``method`` asymptotic, it is the normal
+    approximation, tie and continuity corrected."""
+    if method not in ("auto", "asymptotic"):
+        raise ValueError(f"method {method!r}: auto or asymptotic")
     mw = mann_whitney_pairs(df, group, value, groups)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -198,7 +203,7 @@ def mann_whitney_tests(df: DataFrame, group: str, value: str, alpha: float = 0.0
     # within half a rank of the mean the corrected distance is none
     z = F.when(sigma > 0, F.greatest(F.lit(0.0), F.abs(F.col("u") - mu) - 0.5) / sigma)
     m = mw.agg(F.count(F.lit(1)).alias("_m"))
-    small = (F.least("n1", "n2") <= EXACT_SAMPLE) & (F.col("ties") == 0)
+    small = (F.least("n1", "n2") <= (EXACT_SAMPLE if method == "auto" else 0)) & (F.col("ties") == 0)
     p = F.when(small, rank_sum_two_sided(F.col("u"), F.col("n1"), F.col("n2"))) \
         .when(sigma > 0, normal_two_sided(z)).otherwise(F.lit(1.0))
     out = attach_one_row(mw, m).withColumn("p_value", p)

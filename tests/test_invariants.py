@@ -77,12 +77,14 @@ def test_published_kruskal_examples(spark):
 
 
 def test_published_mann_whitney_example(spark):
-    # SciPy documentation example (asymptotic method): U = 17, p = 0.11134688653314041
+    # SciPy documentation example: U = 17, p = 0.11134688653314041 (asymptotic), 0.1111111111111111 (exact)
     males = [19, 22, 16, 29, 24]
     females = [20, 11, 17, 12]
     df = spark.createDataFrame([("a_m", float(v)) for v in males] + [("b_f", float(v)) for v in females],
                                "g string, v double")
-    r = RT.mann_whitney_tests(df, "g", "v").collect()[0]
+    exact = RT.mann_whitney_tests(df, "g", "v").collect()[0]
+    assert exact["u"] == 17.0 and exact["p_value"] == pytest.approx(1 / 9, rel=1e-12)
+    r = RT.mann_whitney_tests(df, "g", "v", method="asymptotic").collect()[0]
     assert r["u"] == 17.0
     assert r["p_value"] == pytest.approx(0.11134688653314041, rel=1e-9)
     z = (abs(17 - 10) - 0.5) / math.sqrt(5 * 4 * 10 / 12)
