@@ -114,26 +114,50 @@ def place_predicate(places: Sequence[str], name_col: str, state_col: str) -> Col
     return reduce(lambda a, b: a | b, terms) if terms else F.lit(True)
 
 
+#: Values of a selection table that go to the scan as an array; longer ones are left to the join.
+FEW_VALUES = 200
+
+
+def _at_scan(values: DataFrame, column: str) -> tuple[Column, Column]:
+    """(the selection is empty, a row may pass) for a one-column table of values: a scalar subquery
+    takes up to ``FEW_VALUES`` + 1 of them. On a partition column the scan evaluates it when the query
+    runs and opens the folders it leaves; on another one it spares the join the other rows."""
+    few = values.limit(FEW_VALUES + 1).agg(F.collect_set(values.columns[0])).scalar()
+    empty = F.size(few) == 0
+    return empty, empty | (F.size(few) > FEW_VALUES) | F.array_contains(few, F.col(column))
+
+
 def place_filter_from_table(df: DataFrame, selection: DataFrame, name_col: str = "municipio_nome",
                             state_col: str = "estado") -> DataFrame:
-    """F2 for a selection held in a DataFrame of qualified names (column ``place``):
-    a semi-join on (name, state) with the state matched null-safely as a wildcard."""
+    """F2 for a selection held in a DataFrame (column ``place``) of bare and qualified names. Blanks are
+    ignored, and a selection without names filters nothing (F4). The facts are scanned once."""
+    sel = selection.select(F.trim("place").alias("place")).where(F.col("place") != "")
     name, st = X.split_qualified(F.col("place"))
-    sel = selection.select(name.alias("_n"), st.alias("_s")).distinct()
-    cond = (F.col(name_col) == F.col("_n")) & (F.col("_s").isNull() | (F.col(state_col) == F.col("_s")))
-    return df.join(sel, cond, "left_semi")
+    sel = sel.select(name.alias("_n"), st.alias("_s")).distinct()
+    empty, may_pass = _at_scan(sel.select("_n").distinct(), name_col)
+    bare = sel.where("_s IS NULL").select(F.col("_n").alias("_bare"))
+    full = sel.where("_s IS NOT NULL").select(F.col("_n").alias("_name"), F.col("_s").alias("_state"))
+    j = df.filter(may_pass).join(bare, F.col(name_col) == F.col("_bare"), "left").join(
+        full, (F.col(name_col) == F.col("_name")) & (F.col(state_col) == F.col("_state")), "left")
+    return j.filter(empty | F.col("_bare").isNotNull() | F.col("_name").isNotNull()).select(*df.columns)
 
 
 def isin_or_semijoin(df: DataFrame, column: str, values: DataFrame | Sequence) -> DataFrame:
     """F1 for a selection given as a list or as a one-column table of any length. Either
     way blanks are ignored, and a selection without values filters nothing (F4). A list is
-    an IN-list of constants; a table is a semi-join, which Spark broadcasts by its size."""
+    an IN-list of constants; a table is a join, which Spark broadcasts by its size, behind a filter
+    that prunes the scan when the query runs. The facts are scanned once."""
     if not isinstance(values, DataFrame):
         vals = _clean(values)
         return df.filter(F.col(column).isin(*vals)) if vals else df
-    v = values.select(F.trim(F.col(values.columns[0]).cast("string")).alias(column)).filter(F.col(column) != "").distinct()
-    none = v.agg(F.count(F.lit(1))).scalar() == 0
-    return df.join(v, column, "left_semi").unionByName(df.filter(none))
+    v = values.select(F.trim(F.col(values.columns[0]).cast("string")).alias("_value")).filter(F.col("_value") != "")
+    v = v.select(F.col("_value").try_cast(df.schema[column].dataType).alias("_value")).distinct()
+    # a value that the column's type can't hold matches nothing, but it is a selection
+    empty = v.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+    v = v.where("_value IS NOT NULL")
+    _, may_pass = _at_scan(v, column)
+    j = df.filter(may_pass).join(v, F.col(column) == F.col("_value"), "left")
+    return j.filter(empty | F.col("_value").isNotNull()).select(*df.columns)
 
 
 def not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:

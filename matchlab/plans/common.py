@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import sketches
 from ..operators.filters import FilterSpec
 from ..session import table_path
 from ..sources import catalog, fixtures
@@ -21,6 +22,17 @@ def M(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
 
 
+#: Columns that the stored sketches of the properties can be filtered and grouped by.
+SKETCH_DIMS = ("regiao", "estado", "municipio_nome", "ano_cadastro")
+
+
+def property_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the properties by place and year, materialised once per application (A2, opt-in)."""
+    return catalog.materialized(spark, "sketches", sf_dir,
+                                lambda: sketches.distinct_sketches(M(spark, sf_dir), "cod_imovel", SKETCH_DIMS),
+                                partition_by=("regiao",), inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
+
+
 def R(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.raw_matches(spark, sf_dir)
 

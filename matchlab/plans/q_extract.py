@@ -16,6 +16,7 @@ from ..operators import joins as J
 from ..operators import topk as TK
 from ..operators import windows as WN
 from ..session import checkpoint_dir
+from ..sources import blocks as B
 from ..sources import files as S
 from ..sources import fixtures
 from .common import M, R, T
@@ -209,6 +210,37 @@ def feature_join_id(spark, sf):
     return feats.join(med, feats["id"] == med["idt_municipio"], "left").select("id", r6("median_indice"))
 
 
+@query("csv_blocks", """
+SELECT local_txt, CAST(count(*) AS BIGINT) AS n, round(sum(area_a), 2) AS total_area, CAST(count(indice) AS BIGINT) AS n_indice
+FROM (SELECT regiao || chr(10) || '"' || estado || '", ' || status_imovel AS local_txt, area_a, indice FROM raw_matches) GROUP BY 1
+""")
+def csv_blocks(spark, sf):
+    """S1 + S6 with line breaks and quotes in values: rows found by quote parity over blocks."""
+    text = F.concat("regiao", F.lit('\n"'), "estado", F.lit('", '), "status_imovel").alias("local_txt")
+    path = os.path.join(checkpoint_dir(spark), "matchlab-csv", uuid.uuid4().hex[:12])
+    S.write_csv(M(spark, sf).select("cod_imovel", text, "area_a", "indice"), path, max_records_per_file=CSV_ROWS_PER_FILE)
+    back = B.read_csv_blocks(spark, path, "cod_imovel bigint, local_txt string, area_a double, indice double")
+    return back.groupBy("local_txt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area_a"), 2).alias("total_area"),
+                                         F.count("indice").alias("n_indice"))
+
+
+@query("feature_blocks", """
+SELECT c_custkey AS id, CAST(count(cod_imovel) AS BIGINT) AS n, round(avg(indice), 6) AS avg_indice
+FROM customer LEFT JOIN matches ON matches.idt_municipio = c_custkey GROUP BY 1
+""")
+def feature_blocks(spark, sf):
+    """Feature collections as whole documents (braces and quotes in their strings), cut at
+    feature borders by string state and depth over blocks, joined to the matches of each place."""
+    places = T(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"),
+                                             F.concat(F.lit('}{" '), "c_name").alias("nome"))
+    path = os.path.join(checkpoint_dir(spark), "matchlab-geo", uuid.uuid4().hex[:12])
+    S.write_feature_documents(places, path, "c_custkey", others=["nome"])
+    feats = B.read_feature_blocks(spark, path)
+    per = M(spark, sf).groupBy("idt_municipio").agg(F.count(F.lit(1)).alias("n"), F.avg("indice").alias("avg_indice"))
+    j = feats.join(per, feats["id"] == per["idt_municipio"], "left")
+    return j.select("id", F.coalesce("n", F.lit(0)).alias("n"), r6("avg_indice"))
+
+
 @query("preview_rows", """
 SELECT cod_imovel, linha, id_parte, id_vizinhanca FROM matches
 ORDER BY cod_imovel, linha, id_parte, id_vizinhanca LIMIT 5

@@ -237,3 +237,24 @@ def state_selection_table(spark, sf):
     """F1 with the selection in a table."""
     chosen = T(spark, sf, "nation").where("n_regionkey = 1").select("n_name")
     return FL.isin_or_semijoin(M(spark, sf), "estado", chosen).groupBy("estado").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("region_selection_table", """
+SELECT regiao, class_tam_imovel, CAST(count(*) AS BIGINT) AS n, round(avg(indice), 6) AS avg_indice FROM matches
+WHERE regiao IN (SELECT r_name FROM region WHERE r_regionkey IN (1, 3)) GROUP BY ALL
+""")
+def region_selection_table(spark, sf):
+    """F1 with a table of regions: the scan opens the folders of those regions only."""
+    chosen = T(spark, sf, "region").where("r_regionkey IN (1, 3)").select("r_name")
+    return FL.isin_or_semijoin(M(spark, sf), "regiao", chosen).groupBy("regiao", "class_tam_imovel").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("indice"), "avg_indice"))
+
+
+@query("empty_selection_table", """
+SELECT estado, CAST(count(*) AS BIGINT) AS n FROM matches GROUP BY 1
+""")
+def empty_selection_table(spark, sf):
+    """selection tables without values filter nothing."""
+    none = T(spark, sf, "nation").where("n_regionkey < 0").select(F.col("n_name").alias("place"))
+    rows = FL.place_filter_from_table(FL.isin_or_semijoin(M(spark, sf), "regiao", none), none)
+    return rows.groupBy("estado").agg(F.count(F.lit(1)).alias("n"))

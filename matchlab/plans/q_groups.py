@@ -9,9 +9,10 @@ from ..functions import labels as L
 from ..operators import aggregate as A
 from ..operators import filters as FL
 from ..operators import joins as J
+from ..operators import sketches as SK
 from ..operators import topk as TK
 from ..operators import windows as WN
-from .common import M, T
+from .common import M, T, property_sketches
 from .registry import query, r6
 
 # --- totals enrichment (J3, A2, A21) ---------------------------------------------------
@@ -413,3 +414,20 @@ def stacked_shares(spark, sf):
         .groupBy("pair", "y", "hue").agg(F.count(F.lit(1)).alias("n"))
     s = A.normalized_share(c, ["pair", "y"])
     return s.select("pair", "y", "hue", F.col("n").cast("long"), r6("pct"))
+
+
+# --- distinct counts from stored sketches (A2, A3 opt-in) -------------------------------
+
+@query("distinct_sketches", """
+SELECT regiao, estado, CAST(count(DISTINCT cod_imovel) AS BIGINT) AS n_exact, TRUE AS within
+FROM matches WHERE ano_cadastro BETWEEN 1994 AND 1997 AND regiao IN ('AMERICA', 'ASIA') GROUP BY ALL
+""")
+def distinct_sketches(spark, sf):
+    """A2, opt-in: properties by state under a filter, from stored sketches of places and years, beside
+    the exact count; ``within``: they differ by no more than the stated error."""
+    keep = F.col("ano_cadastro").between(1994, 1997) & F.col("regiao").isin("AMERICA", "ASIA")
+    est = SK.merged_distinct(property_sketches(spark, sf), ["regiao", "estado"], keep, "n_est")
+    exact = M(spark, sf).where(keep).groupBy("regiao", "estado").agg(F.countDistinct("cod_imovel").alias("n_exact"))
+    near = F.abs(F.col("n_est") - F.col("n_exact")) <= F.ceil(F.lit(SK.error_bound()) * F.col("n_exact"))
+    return exact.join(est, ["regiao", "estado"], "left").select(
+        "regiao", "estado", "n_exact", F.coalesce(near, F.lit(False)).alias("within"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,6 +177,25 @@ def feature_collection_json(features: DataFrame, id_col: str, prop: str = "sigla
                                     F.collect_list("f").alias("features"))).alias("value"))
 
 
+def write_feature_documents(features: DataFrame, path: str, id_col: str, prop: str = "id",
+                            others: Sequence[str] = (), documents: int = 8) -> str:
+    """Feature collections, one JSON document a file, each written line by line by one task; the
+    features are dealt out to ``documents`` files by a hash of their id. ``others`` are
+    further columns to write as properties."""
+    part = F.pmod(F.xxhash64(id_col), F.lit(documents)).cast("int").alias("part")
+    rows = features.select(part, F.lit(1).alias("kind"), F.col(id_col).alias("k"), F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col(id_col).alias(prop), *others).alias("properties"))).alias("value"))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("k")) == 1
+    rows = rows.withColumn("value", F.when(first, F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))))
+    ends = features.sparkSession.range(documents).select(F.col("id").cast("int").alias("part"), F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.lit('{"type":"FeatureCollection","features":[').alias("value")),
+        F.struct(F.lit(2).alias("kind"), F.lit("]}").alias("value")))).alias("e"))
+    rows = rows.unionByName(ends.select("part", "e.kind", F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "e.value"))
+    rows.repartition(documents, "part").sortWithinPartitions("part", "kind", "k").select("part", "value") \
+        .write.mode("overwrite").partitionBy("part").text(path)
+    return path
+
+
 def write_feature_lines(features: DataFrame, path: str, id_col: str, prop: str = "id") -> str:
     """One feature a line, written in parallel (for tables of places of any length)."""
     features.select(F.lit("Feature").alias("type"), F.struct(F.col(id_col).alias(prop)).alias("properties")) \
