@@ -22,6 +22,12 @@ def M(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
 
 
+def by_property(spark: SparkSession, sf_dir: str) -> catalog.CoLocated:
+    """The fact table bucketed by property, for work on each property by itself."""
+    return catalog.co_located(spark, "matches_by_property", sf_dir, lambda: M(spark, sf_dir), "cod_imovel",
+                              inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
+
+
 #: Columns that the stored sketches of the properties can be filtered and grouped by.
 SKETCH_DIMS = ("regiao", "estado", "municipio_nome", "ano_cadastro")
 

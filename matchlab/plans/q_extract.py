@@ -19,7 +19,7 @@ from ..session import checkpoint_dir
 from ..sources import blocks as B
 from ..sources import files as S
 from ..sources import fixtures
-from .common import M, R, T
+from .common import M, R, T, by_property
 from .registry import query, r6
 
 _BEST_CTE = """
@@ -62,6 +62,20 @@ def best_match_nulls_last(spark, sf):
     return b.select("cod_imovel", r6("indice"), "dono_igual", "id_vizinhanca", "id_parte", "linha")
 
 
+@query("best_match_colocated", extra_ctes=_BEST_CTE + """,
+per AS (SELECT cod_imovel, CAST(count(*) AS BIGINT) AS n, round(avg(indice), 6) AS avg_indice FROM raw_matches GROUP BY 1)""", sql="""
+SELECT b.cod_imovel, round(indice, 6) AS indice, dono_igual, id_vizinhanca, id_parte, linha, n, avg_indice
+FROM best b JOIN per p ON p.cod_imovel = b.cod_imovel
+""")
+def best_match_colocated(spark, sf):
+    """S7 bucketed by property: W1 best row, joined to the profile of the property, without an exchange."""
+    def operator(rows):
+        per = rows.groupBy("cod_imovel").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("indice"), "avg_indice"))
+        return best_matches(spark, sf, raw=rows).join(per, "cod_imovel")
+    b = by_property(spark, sf).per_key(operator)
+    return b.select("cod_imovel", r6("indice"), "dono_igual", "id_vizinhanca", "id_parte", "linha", "n", "avg_indice")
+
+
 @query("best_match_owners", extra_ctes="""
 bridge AS (SELECT o_orderkey AS cod_imovel, o_custkey AS dono FROM orders WHERE o_orderkey % 7 <> 3
            UNION SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 2 = 0),
