@@ -10,6 +10,7 @@ from . import pagetext
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page, with the number of lines its nearest page shares."""
+    """Main text of every page, with the lines that its nearest page shares, and those that go by
+    the difference and by rule."""
     out = pagetext.main_text(spark.read.parquet(table_path(sf_dir, "pages")))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted", "n_ruled")

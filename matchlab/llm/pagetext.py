@@ -7,13 +7,21 @@ of the longer one, in lines that aren't furniture) are copies of one article; a
 compared with the nearest path before or after the whole row of copies it stands in. If
 its host has no such path, it is compared with a neighbour that differs in more than a
 few lines (``ONLY_COPY``), and else with none. Lines are aligned by longest common subsequence; what both pages hold in the
-same order is the site's template. Shared lines are deleted, unless they stand inside an
-element that marks the article itself (article, main): copies of an article occur
-within one host, and differencing alone would empty them. Elements whose meaning is
-clear (menus, footers, adverts, forms, comments ...) go in any case; of a form that
-holds an article, or most of the page, only the controls go. An article's own class
-words do not make it furniture, unless they name a comment or an advert. The marks only
-protect: lines outside of them are decided by the comparison on every page.
+same order is the site's template, and shared lines are deleted.
+
+A line of text is compared by its words. A line of a template slot is compared by its place, the path of
+elements with their class, id and role (digits apart): menus, adverts or footers whose words differ from page to page are shared
+too, and every line of a shared slot goes. Slots are: elements whose tag or name tells of page
+furniture; on a page whose article (article, main) holds at least as much text as the plain lines around it, every named
+element outside of the article, but for h1; inside an article, elements named by nothing but words of furniture
+(``share-buttons``, not ``share-price``). Lines of the article itself are never deleted by their text: copies of an article
+occur within one host, and differencing alone would empty them.
+
+What no page shares is then decided by rules. Elements whose meaning is
+clear (menus, footers, adverts, forms, comments ...) go; of a form that
+holds an article, or most of the page, only the controls go. Class words decide nothing inside an article,
+but for comments, adverts and, on a page that is compared with none, the slots above. An article's own class
+words do not make it furniture, unless they name a comment or an advert.
 
 Defined cases: a null html is empty and gives an empty text; a null url, or one without
 a host, has no neighbour, and neither has the only path of a host; pages of one path
@@ -55,27 +63,44 @@ NAMES = frozenset(
     "gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 PAGE_HEADS = frozenset(("header", "banner", "masthead", "topbar"))
+#: Words that go with them in a name and say nothing of their own.
+STRUCTURE = frozenset(
+    "area articles bar block body box button buttons container content form icons inner item items links list outer posts section "
+    "signup stories thread top bottom unit wrap wrapper".split())
+#: Of ``NAMES``, what goes inside an article too, shared or not; and the roles that a tag could tell as well.
+NEVER = frozenset("ad ads advert advertisement adverts comment comments disqus".split())
+ROLES = frozenset("navigation complementary search dialog menu menubar toolbar".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+DIGITS = re.compile("[0-9]+")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 #: Share of text from which neighbours are copies, and from which a copy isn't compared at all.
 COPY, ONLY_COPY = 2 / 3, 0.9
 
-#: Zones of a line.
-OUT, PLAIN, ARTICLE = 0, 1, 2
+#: Zones of a line; NAMED: in an article, below a name of furniture.
+OUT, PLAIN, ARTICLE, NAMED = 0, 1, 2, 3
 
 
-def _zone(tag: str, attributes: str, zone: int) -> int:
-    """The zone inside an element that opens within ``zone``."""
-    named = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(text)} if text else {}
+
+
+def _zone(tag: str, named: dict[str, str], zone: int) -> int:
+    """The zone inside an element with these attributes that opens within ``zone``."""
+    if zone == NAMED:
+        return OUT if tag in DROPPED else zone
     words = set(re.split(r"[^a-z]+", " ".join(v for k, v in named.items() if k != "itemprop")))
     if tag in ("article", "main") or named.get("role") == "main" or named.get("itemprop") == "articlebody":
         # a comment or an advert is an article too, but stays out; a wrapper's name doesn't reach into the page's article
         own = set(f"{named.get('class', '')} {named.get('id', '')}".split())
         return OUT if own & {"comment", "comments"} or own and own <= {"ad", "ads", "advert", "advertisement"} else ARTICLE
+    if zone == ARTICLE:
+        words.discard("")
+        only = words & NAMES and words <= NAMES | STRUCTURE
+        return OUT if tag in DROPPED or named.get("role") in ROLES or only and words & NEVER else NAMED if only else zone
     if tag in DROPPED or tag not in ("body", "html") and words & NAMES and not words & {"has", "with", "no"}:
         return OUT
     if zone == PLAIN and (tag == "header" or words & PAGE_HEADS):
@@ -83,10 +108,20 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     return zone
 
 
+def _step(path: int, tag: str, named: dict[str, str]) -> int:
+    name = ".".join(DIGITS.sub("#", named.get(k, "")) for k in ("class", "id", "role"))
+    return xxhash.xxh3_64_intdigest(f"{path}/{tag}.{name}".encode())
+
+
 def page_lines(text: str) -> tuple[list[str], list[int]]:
     """(text, zone) of each block of a page, in order; white space as one space."""
-    # the last of an open element: the number of the form it stands in, or 0
-    lines, zones, forms, stack, parts = [], [], [], [("", PLAIN, False, 0)], []
+    return page_blocks(text)[:2]
+
+
+def page_blocks(text: str) -> tuple[list[str], list[int], list[int]]:
+    """``page_lines`` and the path of each line as a number, 0 where no element on it has a name."""
+    # the last of an open element: the number of the form it stands in, or 0; its path; whether something on that is named
+    lines, zones, forms, slots, stack, parts = [], [], [], [], [("", PLAIN, False, 0, 0, False)], []
     at, outside = 0, []  # the zone around each form
 
     def close():
@@ -96,6 +131,7 @@ def page_lines(text: str) -> tuple[list[str], list[int]]:
                 lines.append(line)
                 zones.append(stack[-1][1])
                 forms.append(stack[-1][3])
+                slots.append(stack[-1][4] if stack[-1][5] else 0)
             parts.clear()
 
     for m in TOKEN.finditer(text):
@@ -126,8 +162,9 @@ def page_lines(text: str) -> tuple[list[str], list[int]]:
                     del stack[k:]
                     break
         elif tag not in VOID and not m[4].endswith("/"):
-            _, outer, closed, form = stack[-1]
-            zone = _zone(tag, m[4], outer)
+            _, outer, closed, form, path, marked = stack[-1]
+            named = _attributes(m[4])
+            zone = _zone(tag, named, outer)
             if form and (tag == "form" or tag in CONTROLS):
                 zone = OUT
             # what reader comments hold stays out, whatever it is marked as
@@ -139,11 +176,19 @@ def page_lines(text: str) -> tuple[list[str], list[int]]:
             if tag == "form" and not form:
                 outside.append(outer)
                 form = len(outside)
-            stack.append((tag, zone, shut, form))
+            if zone in (ARTICLE, NAMED) and outer in (OUT, PLAIN):
+                path, marked = 0, False  # an article is the same place wherever it stands
+            elif tag not in ("body", "html"):
+                if tag in BLOCKS or named:
+                    path = _step(path, tag, named)
+                marked = marked or zone in (OUT, NAMED) or zone == PLAIN and (tag in ("header", "form") or bool(named))
+                if tag == "h1" and zone == PLAIN:
+                    marked = False  # a headline above the article is compared by its words
+            stack.append((tag, zone, shut, form, path, marked))
     if at < len(text):
         parts.append(text[at:])
     close()
-    return lines, _without_forms(lines, zones, forms, outside) if outside else zones
+    return lines, _without_forms(lines, zones, forms, outside) if outside else zones, slots
 
 
 def _without_forms(lines: list[str], zones: list[int], forms: list[int], outside: list[int]) -> list[int]:
@@ -186,8 +231,13 @@ def common(a: list, b: list) -> np.ndarray:
     return out
 
 
-def _hashes(lines: list[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in lines]
+def identities(lines: list[str], zones: list[int], slots: list[int]) -> tuple[list[int], list[bool]]:
+    """What each line is compared by, its words or its slot; and whether it is the slot."""
+    inside = sum(len(x) for x, z in zip(lines, zones) if z in (ARTICLE, NAMED))
+    around = sum(len(x) for x, z in zip(lines, zones) if z == PLAIN)
+    most = inside > 0 and inside >= around
+    slot = [s != 0 and (z in (OUT, NAMED) or z == PLAIN and most) for s, z in zip(slots, zones)]
+    return [(s if k else xxhash.xxh3_64_intdigest(x.encode())) - (1 << 63) for x, s, k in zip(lines, slots, slot)], slot
 
 
 def _parser(batches):
@@ -196,9 +246,10 @@ def _parser(batches):
     for batch in batches:
         got, size = [], []
         for t in batch.column("_html").to_pylist():
-            lines, zones = own.page_lines(t) if t else ([], [])
-            got.append(own._hashes(lines))
-            size.append([0 if z == own.OUT else len(x) for x, z in zip(lines, zones)])
+            lines, zones, slots = own.page_blocks(t) if t else ([], [], [])
+            ids, slot = own.identities(lines, zones, slots)
+            got.append(ids)
+            size.append([0 if z == own.OUT or k else len(x) for x, z, k in zip(lines, zones, slot)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("_key"), batch.column("_url"), pa.array(got, pa.list_(pa.int64())), pa.array(size, pa.list_(pa.int32()))],
             names=["_key", "_url", "hashes", "size"])
@@ -223,20 +274,29 @@ def _sharer(batches):
         yield pa.RecordBatch.from_arrays([batch.column("ra"), pa.array([own.share(*x) for x in zip(*cols)], pa.float64())], names=["ra", "share"])
 
 
+def difference(text: str, other: list[int] | None) -> tuple[str, int, int, int]:
+    """(main text, shared lines, lines that the difference deletes, lines that rules delete) of a
+    page against the identities of the page it is compared with, or none."""
+    lines, zones, slots = page_blocks(text) if text else ([], [], [])
+    mine, slot = identities(lines, zones, slots)
+    compared = bool(other) and other != mine
+    same = common(mine, other) if compared else np.zeros(len(lines), bool)
+    held = {x for x, k, s in zip(mine, slot, same) if k and s}
+    same = [bool(s) or k and x in held for x, k, s in zip(mine, slot, same)]
+    gone = [s and z != ARTICLE for s, z in zip(same, zones)]
+    ruled = [not g and (z == OUT or z == NAMED and not compared) for g, z in zip(gone, zones)]
+    kept = "\n".join(t for t, g, r in zip(lines, gone, ruled) if not g and not r)
+    return kept, sum(same), sum(gone), sum(ruled)
+
+
 def _differ(batches):
     from matchlab.llm import pagetext as own
 
     for batch in batches:
-        texts, shared = [], []
-        for page, other in zip(batch.column("_html").to_pylist(), batch.column("other").to_pylist()):
-            lines, zones = own.page_lines(page) if page else ([], [])
-            mine = own._hashes(lines)
-            same = own.common(mine, other) if other and other != mine else np.zeros(len(lines), bool)
-            keep = [z == own.ARTICLE or z == own.PLAIN and not s for z, s in zip(zones, same)]
-            texts.append("\n".join(t for t, k in zip(lines, keep) if k))
-            shared.append(int(same.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(shared, pa.int64())],
-                                         names=["_id", "_url", "text", "n_shared"])
+        got = [own.difference(t, o) for t, o in zip(batch.column("_html").to_pylist(), batch.column("other").to_pylist())]
+        counts = [pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array([g[0] for g in got], pa.string()), *counts],
+                                         names=["_id", "_url", "text", "n_shared", "n_deleted", "n_ruled"])
 
 
 #: Line hashes of neighbours that may be broadcast (8 bytes each); beyond it the pages are
@@ -293,8 +353,8 @@ def _neighbours(p: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text and n_shared (lines that the page it is
-    compared with holds too).
+    """One row per page: page_id, url, text, n_shared (lines that the page it is
+    compared with holds too), n_deleted (those of them that go) and n_ruled (lines that go by rule).
 
     Pages are read twice: once for the hashes of their lines, and once to cut them. Between
     the two only hashes move. A page is known by a hash of its id, url and html."""
@@ -313,5 +373,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     mine = written(mine.select("_key", F.col("_other").alias("other")), "page-neighbours")
     lines = mine.agg(F.sum(F.size("other") + 2)).first()[0] or 0
     out = d.join(F.broadcast(mine) if lines <= BROADCAST_LINES else mine, "_key", "left")
-    out = arrow_map(out.select("_id", "_url", "_html", "other"), _differ, f"_id {kind}, _url string, text string, n_shared long")
-    return out.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_shared")
+    out = arrow_map(out.select("_id", "_url", "_html", "other"), _differ, f"_id {kind}, _url string, text string, n_shared long, n_deleted long, n_ruled long")
+    return out.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_shared", "n_deleted", "n_ruled")
