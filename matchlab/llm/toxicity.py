@@ -1,18 +1,21 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes feature scales.
 
-Features are hashed n-grams of 5 to 7 bytes of the lower-cased text (A-Z, and white
-space runs as one space), counted once per document. Documents with each feature
+Features are hashed n-grams of 5 to 7 bytes of the lower-cased text (A-Z; white
+space bytes as spaces), counted once per document. Documents with each feature
 are counted by label over all training rows; r = log((p / |p|) / (q / |q|)) of the smoothed
 counts scales the feature. Of the features that at least ``least_docs`` training
 documents hold, the ``features`` of the greatest chi-square statistic are used, so the
 model has a fixed size. A logistic regression with L2 penalty is then fitted on the
 scaled features of a bounded sample of ``fit_rows`` training rows (on average,
-chosen by a hash of id and text). Every row is scored from its whole text.
+chosen by a hash of id and text). The penalty draws the scores of the rarer label below one half, the
+more so the more features there are; so the sample is dealt into ``folds`` by a hash of the text, each fold is
+scored by a fit of the others, and the logistic slope and shift that these scores need are put
+on the final weights. Every row is scored from its whole text.
 
 Defined cases: null and empty texts have no feature and get the intercept's score;
 labels other than 0 and 1 are not learned; several labels of one id: each joined row
 counts; with no row of either label every score is the share of label 1, or 0.5 if
-nothing was learned. Empty tables give no rows. Extra columns are ignored.
+nothing was learned; a fold without both labels around it leaves the scores as fitted. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,8 +91,8 @@ def _lister(use):
             for i, j in vec.doc_chunks(offs):
                 doc, f = own.present(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], use.value)
                 first = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), vec.lists(first, pa.array(f.astype(np.int32)))],
-                                                 names=["label", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("label", "fold")),
+                                                  vec.lists(first, pa.array(f.astype(np.int32)))], names=["label", "fold", "f"])
     return run
 
 
@@ -106,27 +109,72 @@ class Model:
 
 
 def fit_logistic(label, first, f, scale, l2: float, rounds: int = 300):
-    """(weights of the scaled features, bias) by accelerated gradient descent on the mean
-    logistic loss plus l2 / 2 of the squared weights; all rows in each round."""
+    """(weights of the scaled features, bias) by accelerated gradient descent on the logistic
+    loss plus l2 / 2 of the squared weights; all rows in each round. A step that raises the loss isn't
+    taken: the momentum starts again, and if there is none the steps are halved."""
     n, m = len(label), len(scale)
     doc = np.repeat(np.arange(n), np.diff(first))
     x = scale[f]
-    # the greatest row norm bounds the curvature
-    norm = np.bincount(doc, x * x, minlength=n).max(initial=0) + 1
-    step = 1 / (norm / 4 + l2)
+
+    def loss(w, z):
+        return np.sum(np.logaddexp(0, z) - label * z) + l2 / 2 * (w @ w)
+    # the greatest row norm: the curvature where rows share few features, else the halving finds it
+    step, rate = 1 / ((np.bincount(doc, x * x, minlength=n).max(initial=0) + 1) / 4 + l2), 1.0
     w, b = np.zeros(m), np.log((label.mean() + 1e-6) / (1 - label.mean() + 1e-6))
-    vw, vb = w, b
-    for k in range(rounds):
-        z = np.bincount(doc, x * vw[f], minlength=n) + vb
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / n
-        g = np.bincount(f, x * err[doc], minlength=m) + l2 / n * vw
-        nw, nb = vw - step * n * g, vb - 4 * err.sum()
-        vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
-        w, b = nw, nb
+    z = np.full(n, b)
+    vw, vb, vz, least, k = w, b, z, loss(w, z), 0
+    for _ in range(rounds):
+        err = 1 / (1 + np.exp(-np.clip(vz, -30, 30))) - label
+        nw = vw - rate * step * (np.bincount(f, x * err[doc], minlength=m) + l2 * vw)
+        nb = vb - rate * 4 * err.sum() / n
+        nz = np.bincount(doc, x * nw[f], minlength=n) + nb
+        new = loss(nw, nz)
+        if new > least:
+            if k == 0:
+                rate /= 2
+            vw, vb, vz, k = w, b, z, 0
+            continue
+        c = k / (k + 3)
+        vw, vb, vz = nw + c * (nw - w), nb + c * (nb - b), nz + c * (nz - z)
+        w, b, z, least, k = nw, nb, nz, new, k + 1
     return w, b
 
 
-def learn(rows: DataFrame, features: int = 1024, least_docs: int = 5, fit_rows: int = 20_000, l2: float = 1.0) -> Model:
+def out_of_fold(label, fold, first, f, scale, l2: float) -> np.ndarray | None:
+    """Log-odds of every row by a fit of the rows of the other folds; None if some fit lacks a label."""
+    size, out = np.diff(first), np.zeros(len(label))
+    row = np.repeat(np.arange(len(label)), size)
+    for k in np.unique(fold):
+        rest = fold != k
+        if len(np.unique(label[rest])) < 2:
+            return None
+        w, b = fit_logistic(label[rest], np.append(0, np.cumsum(size[rest])), f[rest[row]], scale, l2)
+        z = np.bincount(row, (w * scale)[f], minlength=len(label)) + b
+        out[~rest] = z[~rest]
+    return out
+
+
+def slope_and_shift(z: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(a, b) of the least logistic loss of a * z + b, plus half the square of (a - 1, b), by Newton
+    steps that are halved until the loss falls; (1, 0) if the best slope isn't positive."""
+    x = np.stack([z, np.ones(len(z))])
+
+    def loss(t):
+        u = t @ x
+        return np.sum(np.logaddexp(0, u) - label * u) + ((t[0] - 1) ** 2 + t[1] ** 2) / 2
+    t = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(t @ x, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.eye(2), x @ (p - label) + t - [1, 0])
+        while np.abs(step).max() > 1e-9 and loss(t - step) > loss(t):
+            step /= 2
+        t = t - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
+
+
+def learn(rows: DataFrame, features: int = 16_384, least_docs: int = 5, fit_rows: int = 20_000, l2: float = 1.0, folds: int = 2) -> Model:
     """A model from labelled ``rows``: text, label (0 or 1) and id columns to choose the sample by."""
     rows = rows.where("label IN (0, 1)").withColumn("label", F.col("label").cast("int"))
     spark = rows.sparkSession
@@ -149,15 +197,18 @@ def learn(rows: DataFrame, features: int = 1024, least_docs: int = 5, fit_rows:
     use[f[top]] = np.arange(len(top))
     others = [x for x in rows.columns if x not in ("label", "text")]
     dice = F.pmod(F.xxhash64(*others, F.crc32("text")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(dice < min(1.0, fit_rows / n)).select("label", "text")
-    got = arrow_map(sample, _lister(spark.sparkContext.broadcast(use)), "label int, f array<int>").toArrow()
+    sample = rows.where(dice < min(1.0, fit_rows / n)).select("label", "text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"))
+    got = arrow_map(sample, _lister(spark.sparkContext.broadcast(use)), "label int, fold int, f array<int>").toArrow()
     lists = got["f"].combine_chunks()
     first = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0] if len(lists) else np.zeros(1, np.int64)
     label = got["label"].to_numpy().astype(np.float64)
     if not len(label) or not len(top):
         return Model(none, np.zeros(1), float(np.log(n1 / n0)))
-    w, b = fit_logistic(label, first, lists.flatten().to_numpy().astype(np.int64), r, l2)
-    return Model(use, w * r, float(b))
+    held = lists.flatten().to_numpy().astype(np.int64)
+    w, b = fit_logistic(label, first, held, r, l2)
+    z = out_of_fold(label, got["fold"].to_numpy(), first, held, r, l2) if folds > 1 else None
+    a, shift = (1.0, 0.0) if z is None else slope_and_shift(z, label)
+    return Model(use, a * w * r, float(a * b + shift))
 
 
 def _scorer(model):

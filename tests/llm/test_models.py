@@ -230,6 +230,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_slope_and_shift_of_folds(spark):
+    rng = np.random.default_rng(3)
+    true = rng.normal(-1, 2, 4000)
+    label = (rng.random(4000) < 1 / (1 + np.exp(-true))).astype(float)
+    a, b = toxicity.slope_and_shift((true + 1) / 2, label)  # shrunk and shifted log-odds come back
+    assert abs(a - 2) < 0.2 and abs(b + 1) < 0.2
+    assert toxicity.slope_and_shift(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))[0] < 10  # separable rows stay finite
+    assert toxicity.slope_and_shift(-true, label) == (1.0, 0.0)
+    # each fold is scored by a fit of the other: the same weights as of these rows alone
+    first, f = np.arange(0, 81, 2), rng.integers(0, 6, 80)
+    y, fold, scale = (rng.random(40) < 0.5).astype(float), np.arange(40) % 2, rng.normal(0, 1, 6)
+    z = toxicity.out_of_fold(y, fold, first, f, scale, 1.0)
+    for k in (0, 1):
+        rest = np.flatnonzero(fold != k)
+        w, b = toxicity.fit_logistic(y[rest], np.arange(0, 41, 2), np.concatenate([f[2 * i:2 * i + 2] for i in rest]), scale, 1.0)
+        for i in np.flatnonzero(fold == k):
+            assert abs(z[i] - (sum(w[j] * scale[j] for j in f[2 * i:2 * i + 2]) + b)) < 1e-9
+    assert toxicity.out_of_fold(np.ones(40), fold, first, f, scale, 1.0) is None
+
+
+def test_fit_equals_a_dense_fit():
+    """Newton steps on the dense matrix of scaled features reach the same weights."""
+    rng = np.random.default_rng(4)
+    n, m = 60, 5
+    has = rng.random((n, m)) < 0.4
+    y = (rng.random(n) < 1 / (1 + np.exp(-(has @ rng.normal(0, 2, m))))).astype(float)
+    scale = rng.normal(0, 1, m)
+    w, b = toxicity.fit_logistic(y, np.append(0, np.cumsum(has.sum(1))), np.nonzero(has)[1], scale, 1.0, rounds=20_000)
+    x = np.hstack([has * scale, np.ones((n, 1))])
+    ridge, t = np.diag([1.0] * m + [0.0]), np.zeros(m + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ t))
+        t -= np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (p - y) + ridge @ t)
+    assert np.abs(np.append(w, b) - t).max() < 1e-4
+
+
+def test_toxicity_counts_equal_sets():
+    """Features of a chunk against sets of n-grams of each text."""
+    texts = ["", None, "abc", "Hello  hello\thello", "a" * 40, "straße straße", "hello"]
+    buf, offs = vec.text_buffer(pa.array(texts))
+    doc, f = toxicity.present(buf, offs, None)
+    got = [sum(doc == k) for k in range(len(texts))]
+
+    def grams(t):
+        raw = (t or "").encode().lower()
+        for c in b"\t\n\x0b\x0c\r":
+            raw = raw.replace(bytes([c]), b" ")
+        raw = b" " + raw + b" "
+        return {raw[i:i + k] for k in toxicity.SIZES for i in range(len(raw) - k + 1)}
+    assert got == [len(grams(t)) for t in texts]
+
+
 TEXTS = ["", " ", "  a  b ", "x▁y", "😀é́ ﬁ\n\n\t", "a" * 100 + " " + "xy" * 60, "▁", "   ", "hello world, hello worlds; Straße über",
          "the quick brown fox jumps over the lazy dog " * 4]
 
