@@ -174,7 +174,7 @@ def slope_and_shift(z: np.ndarray, label: np.ndarray, rounds: int = 100) -> tupl
     return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
 
-def learn(rows: DataFrame, features: int = 16_384, least_docs: int = 5, fit_rows: int = 20_000, l2: float = 1.0, folds: int = 2) -> Model:
+def learn(rows: DataFrame, features: int = 8_192, least_docs: int = 5, fit_rows: int = 20_000, l2: float = 1.0, folds: int = 2) -> Model:
     """A model from labelled ``rows``: text, label (0 or 1) and id columns to choose the sample by."""
     rows = rows.where("label IN (0, 1)").withColumn("label", F.col("label").cast("int"))
     spark = rows.sparkSession
