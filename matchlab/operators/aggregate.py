@@ -134,8 +134,9 @@ def registered_totals_by_year(df: DataFrame, spec, year: str = "ano_cadastro", p
 # --- A5, A6, A7: grouped statistics -----------------------------------------
 
 def group_median(df: DataFrame, by: Sequence[str], value: str, alias: str = "median",
-                 method: str = "exact") -> DataFrame:
-    return group_quantiles_wide(df, value, {alias: 0.5}, by, method)
+                 method: str = "exact", wide: bool = False) -> DataFrame:
+    """A5; ``wide`` (as in ``exact_quantiles``) for keys of any number of groups."""
+    return group_quantiles_wide(df, value, {alias: 0.5}, by, method, wide)
 
 
 def group_flag_rate(df: DataFrame, by: Sequence[str], flag: str, alias: str = "pct") -> DataFrame:

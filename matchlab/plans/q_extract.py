@@ -220,7 +220,8 @@ def feature_join_id(spark, sf):
     path = os.path.join(checkpoint_dir(spark), "matchlab-geo", uuid.uuid4().hex[:12])
     S.write_feature_lines(T(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey")), path, "c_custkey")
     feats = S.read_feature_lines(spark, path)
-    med = A.group_median(M(spark, sf), ["idt_municipio"], "indice", "median_indice")
+    # a group per place, and places grow with the tables
+    med = A.group_median(M(spark, sf), ["idt_municipio"], "indice", "median_indice", wide=True)
     return feats.join(med, feats["id"] == med["idt_municipio"], "left").select("id", r6("median_indice"))
 
 
