@@ -9,16 +9,26 @@ state at the beginning of every block, and a running total inside the block the
 at every piece. A record is a piece that begins at rest with those after it that don't;
 its first piece names it, so the part in the next block finds it.
 
-Only counters pass a window over a file, a row for each block; the text is shuffled by
-block, then by record. Compressed files can't be cut and are one block each.
+Only counters pass a window over a file, a row for each block. Of CSV only the records
+that cross a border of blocks are shuffled, the others are joined where they are read; the text of
+JSON is shuffled by block, then by record. Compressed files can't be cut and are one block each.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import catalog
+
 _BLOCK = ["_file", "_block"]
 
 
@@ -49,10 +59,11 @@ def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 def _records(pieces: DataFrame, sep: str) -> DataFrame:
     """(text, first): pieces joined to records, which begin where ``_rest`` is true;
-    ``first`` marks the record at the beginning of a file."""
+    ``first`` marks the record at the beginning of a file, which ``_first`` marks where it is given."""
     start = F.when(F.col("_rest"), F.col("_row"))
-    p = pieces.withColumns({"_own": F.last(start, ignorenulls=True).over(_in_block()),
-                            "_first": (F.col("_block") == 0) & (F.row_number().over(_in_block()) == 1)})
+    p = pieces.withColumn("_own", F.last(start, ignorenulls=True).over(_in_block()))
+    if "_first" not in pieces.columns:
+        p = p.withColumn("_first", (F.col("_block") == 0) & (F.row_number().over(_in_block()) == 1))
     open_ = F.last("_last", ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, -1))
     blocks = pieces.groupBy(*_BLOCK).agg(F.max(start).alias("_last")).select(*_BLOCK, open_.alias("_open"))
     parts = F.array_sort(F.collect_list(F.struct("_block", "_row", "value")))
@@ -62,13 +73,75 @@ def _records(pieces: DataFrame, sep: str) -> DataFrame:
             .select("text", "first"))
 
 
+_JOINED = "_file string, _block long, _row long, value string, _rest boolean, _first boolean, _whole boolean"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (_file, _block, _row, value, _quotes, and _carry, the quotes before the block) in their order,
+    joined by line breaks as far as their block goes. ``_whole``: a record that begins and ends in it;
+    else the end of an earlier one, or one that may go on behind it (at ``_rest``)."""
+    block, carry, held = None, 0, []  # the open record: values, with its first row before them
+    rest = first = False
+
+    def row(whole):
+        return [[block[0]], [block[1]], [held[0]], ["\n".join(held[1:])], [rest], [first], [whole]]
+
+    def out(columns):
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+        names = ("_file", "_block", "_row", "value", "_rest", "_first", "_whole")
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+    for batch in batches:
+        files = pc.run_end_encode(batch["_file"])
+        starts = np.concatenate([[0], np.asarray(files.run_ends)]) if len(batch) else np.zeros(1, int)
+        at = batch["_block"].to_numpy()
+        cuts = sorted({*starts.tolist(), *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()})
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            here = (part["_file"][0].as_py(), int(at[lo]))
+            rows, quotes, values = part["_row"].to_numpy(), part["_quotes"].to_numpy(), part["value"]
+            begins = here != block
+            if begins:
+                if held:
+                    yield out(row(False))
+                block, carry, held = here, part["_carry"][0].as_py(), []
+            before = carry + np.cumsum(quotes) - quotes
+            carry = int(before[-1] + quotes[-1])
+            at_rest = np.flatnonzero(before % 2 == 0)
+            stop = int(at_rest[0]) if len(at_rest) else len(part)
+            if stop:  # goes on with the open record, or with one of an earlier block
+                if not held:
+                    held, rest, first = [int(rows[0])], False, here[1] == 0
+                held += values[:stop].to_pylist()
+            if not len(at_rest):
+                continue
+            if held:
+                yield out(row(rest))
+            if len(at_rest) > 1:
+                a, b = stop, int(at_rest[-1])
+                lists = pa.ListArray.from_arrays(pa.array(at_rest - a, pa.int32()), values[a:b])
+                n = len(lists)
+                yield out([pa.repeat(here[0], n), pa.repeat(here[1], n), rows[at_rest[:-1]], pc.binary_join(lists, "\n"),
+                           pa.repeat(True, n), (at_rest[:-1] == 0) & (begins and here[1] == 0), pa.repeat(True, n)])
+            last = int(at_rest[-1])
+            held, rest, first = [int(rows[last]), *values[last:].to_pylist()], True, begins and here[1] == 0 and last == 0
+    if held:
+        yield out(row(False))
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(text, first): the records of CSV files whose quoted values may hold line breaks."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
     p = _pieces(spark, path, "\n").withColumn("_quotes", _count(F.col("value"), '"'))
     blocks = p.groupBy(*_BLOCK).agg(F.sum("_quotes").alias("_quotes")).select(
         *_BLOCK, _before("_quotes", _in_file()).alias("_carry"))
-    p = p.withColumn("_inside", _before("_quotes", _in_block())).join(blocks, _BLOCK)
-    r = _records(p.withColumn("_rest", (F.col("_carry") + F.col("_inside")) % 2 == 0), "\n")
+    # a row for each block of a file (128 MB): broadcast, which leaves the pieces in their order
+    p = p.join(F.broadcast(blocks), _BLOCK).select(*_BLOCK, "_row", "value", "_quotes", "_carry")
+    j = p.mapInArrow(_joined, _JOINED)
+    whole = j.where("_whole").select(F.col("value").alias("text"), F.col("_first").alias("first"))
+    # written: two of a block at most, read twice
+    crossing = catalog.written(j.where("NOT _whole").drop("_whole"), "crossing")
+    r = whole.unionByName(_records(crossing, "\n"))
     return r.withColumn("text", F.regexp_replace("text", r"\r$", ""))
 
 

@@ -88,3 +88,25 @@ def test_feature_blocks_edges(small_blocks, tmp_path):
                 '{"type":"Feature","properties":{"id":"\\\\\\"}"}}]}') == [None, None, '\\"}']
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         read('{"features":[{"type":"Feature",,"properties":{}}]}')
+
+
+def test_csv_records_inside_a_block_are_not_shuffled(small_blocks, tmp_path):
+    """Borders of Arrow batches within and between blocks; only records that cross blocks stay open."""
+    spark = small_blocks
+    rows = table(5, 80)
+    for k in range(3):
+        pd.DataFrame(rows, columns=["id", "t", "x"]).to_csv(tmp_path / f"p{k}.csv", index=False)
+    pieces = B._pieces(spark, str(tmp_path), "\n").withColumn("_quotes", B._count(B.F.col("value"), '"'))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = B.csv_records(spark, str(tmp_path)).collect()
+        first = [r.text for r in got if r["first"]]
+        assert first == ["id,t,x"] * 3 and len(got) == 3 * 81
+        assert sorted(map(tuple, B.read_csv_blocks(spark, str(tmp_path), "id long, t string, x double").collect())) == sorted(rows * 3)
+        open_ = pieces.where("_block = 0").withColumn("_carry", B.F.lit(0).cast("long")).select(
+            "_file", "_block", "_row", "value", "_quotes", "_carry").mapInArrow(B._joined, B._JOINED).groupBy("_whole").count().collect()
+        n = {r._whole: r["count"] for r in open_}
+        assert n[False] == 3 and n[True] > 30  # each file's first block leaves one record open
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
