@@ -17,7 +17,7 @@ SPEC_SQL = ("regiao IN ('AMERICA','ASIA') AND class_tam_imovel IN ('Pequeno','M
 
 def M(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived fact table, materialised once per application."""
-    return catalog.materialized(spark, "matches", sf_dir, lambda: fixtures.matches(spark, sf_dir),
+    return catalog.materialized(spark, "matches", sf_dir, lambda: fixtures.matches(spark, sf_dir, fixtures.join_tasks(spark, sf_dir)),
                                 partition_by=("regiao",), cluster_by=("estado", "municipio_nome"),
                                 inputs=tuple(table_path(sf_dir, t) for t in fixtures.INPUTS))
 

@@ -32,7 +32,19 @@ def place_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nr, c.c_nationkey == nr.n_nationkey)
 
 
-def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of a task that joins, derives, sorts and writes the fact table.
+TASK_ROWS = 400_000
+
+
+def join_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks of the last join, so that one holds about ``TASK_ROWS`` rows however long the tables are
+    (counted in the footers; Spark takes its shuffle partitions if those are more); none for
+    tables of a few tasks, whose orders Spark may broadcast."""
+    n = -(-read_table(spark, sf_dir, "lineitem").count() // TASK_ROWS)
+    return n if n > 4 else None
+
+
+def raw_matches(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_quantity", "l_tax", "l_linestatus")
@@ -42,9 +54,10 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cd = place_dim(spark, sf_dir)
     od = o.join(cd, o.o_custkey == cd.c_custkey)
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-         .join(p, li.l_partkey == p.p_partkey)
-         .join(s, li.l_suppkey == s.s_suppkey))
+    j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+    if tasks:  # the two exchanges of the join below, in so many tasks
+        j, od = j.repartition(tasks, "l_orderkey"), od.repartition(tasks, "o_orderkey")
+    j = j.join(od, j.l_orderkey == od.o_orderkey)
     b = F.col("l_quantity") * F.col("p_retailprice")
     a = F.col("l_extendedprice")
     ln = F.col("l_linenumber")
@@ -74,8 +87,8 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_matches(raw_matches(spark, sf_dir))
+def matches(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    return derive_matches(raw_matches(spark, sf_dir, tasks))
 
 
 def owner_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlab.operators import joins, ranks
-from matchlab.plans.q_extract import feature_join_id
+from matchlab.plans.q_extract import feature_join_id, yearly_pivot
+from matchlab.sources import fixtures
 
 PLACES = 120
 
@@ -47,3 +48,28 @@ def test_median_of_more_places_than_may_be_broadcast(spark, tables, monkeypatch)
         want.setdefault(r.l_orderkey % PLACES, []).append(min(a, b) / max(a, b))
     got = {r.id: r.median_indice for r in feature_join_id(spark, tables).collect()}
     assert got == {k: pytest.approx(median(v), abs=1e-6) for k, v in want.items()} and len(got) == PLACES
+
+
+def test_fact_table_tasks_follow_its_rows(spark, tables, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 40)
+    n = fixtures.join_tasks(spark, tables)
+    assert n == -(-160 * 4 // 40) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain, dealt = fixtures.matches(spark, tables), fixtures.matches(spark, tables, n)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect())) and dealt.columns == plain.columns
+    assert max(len(rows) for rows in dealt.rdd.glom().collect()) < 4 * 40
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 400)
+    assert fixtures.join_tasks(spark, tables) is None
+
+
+def test_pivot_tasks_follow_the_rows(spark, tables, monkeypatch):
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").withColumn("l_returnflag", F.when(F.col("l_orderkey") % 2 == 0, "A").otherwise("N")) \
+        .withColumn("l_shipdate", F.to_timestamp(F.concat((F.col("l_orderkey") % 3 + 1995).cast("string"), F.lit("-05-05"))))
+    lines = lines.withColumn("l_quantity", F.col("l_linenumber").cast("double")).cache()
+    read = lambda spark, sf, name: lines if name == "lineitem" else spark.read.parquet(f"{sf}/{name}.parquet")
+    monkeypatch.setattr(fixtures, "read_table", read)
+    plain = yearly_pivot(spark, tables).collect()
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 40)
+    dealt = yearly_pivot(spark, tables)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain)) and {r.bioma_desmat for r in plain} == {"A", "N"}
+    assert sum(r.n for r in plain) == 160 and sum(r.d_total for r in plain) == 160 * 10
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
