@@ -115,7 +115,11 @@ def yearly_pivot(spark, sf):
     J2 left join to the best matches (fan-out per biome) -> P20 fill -> P21 row total."""
     li = T(spark, sf, "lineitem")
     des = li.select(F.col("l_orderkey").alias("cod_imovel"), X.year_of("l_shipdate").alias("ano"),
-                    F.col("l_quantity").alias("area"), F.col("l_returnflag").alias("bioma")).distinct()
+                    F.col("l_quantity").alias("area"), F.col("l_returnflag").alias("bioma"))
+    tasks = fixtures.join_tasks(spark, sf)
+    if tasks:  # one exchange by property for the distinct rows and the pivot, a bounded number of rows a task
+        des = des.repartition(tasks, "cod_imovel")
+    des = des.distinct()
     des = des.withColumn("bioma", X.capitalize("bioma"))
     piv = A.yearly_pivot(des, ["cod_imovel", "bioma"], "ano", "area", YEARS)
     best = best_matches(spark, sf, raw=M(spark, sf))
