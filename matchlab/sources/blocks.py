@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +77,11 @@ def _records(pieces: DataFrame, sep: str) -> DataFrame:
 _JOINED = "_file string, _block long, _row long, value string, _rest boolean, _first boolean, _whole boolean"
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], kinds: tuple[bool, ...] = (True, False)) -> Iterator[pa.RecordBatch]:
     """Pieces (_file, _block, _row, value, _quotes, and _carry, the quotes before the block) in their order,
     joined by line breaks as far as their block goes. ``_whole``: a record that begins and ends in it;
-    else the end of an earlier one, or one that may go on behind it (at ``_rest``)."""
+    else the end of an earlier one, or one that may go on behind it (at ``_rest``). ``kinds`` of
+    ``_whole`` are returned."""
     block, carry, held = None, 0, []  # the open record: values, with its first row before them
     rest = first = False
 
@@ -102,7 +104,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, quotes, values = part["_row"].to_numpy(), part["_quotes"].to_numpy(), part["value"]
             begins = here != block
             if begins:
-                if held:
+                if held and False in kinds:
                     yield out(row(False))
                 block, carry, held = here, part["_carry"][0].as_py(), []
             before = carry + np.cumsum(quotes) - quotes
@@ -115,9 +117,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += values[:stop].to_pylist()
             if not len(at_rest):
                 continue
-            if held:
+            if held and rest in kinds:
                 yield out(row(rest))
-            if len(at_rest) > 1:
+            if len(at_rest) > 1 and True in kinds:
                 a, b = stop, int(at_rest[-1])
                 lists = pa.ListArray.from_arrays(pa.array(at_rest - a, pa.int32()), values[a:b])
                 n = len(lists)
@@ -125,7 +127,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                            pa.repeat(True, n), (at_rest[:-1] == 0) & (begins and here[1] == 0), pa.repeat(True, n)])
             last = int(at_rest[-1])
             held, rest, first = [int(rows[last]), *values[last:].to_pylist()], True, begins and here[1] == 0 and last == 0
-    if held:
+    if held and False in kinds:
         yield out(row(False))
 
 
@@ -137,10 +139,10 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         *_BLOCK, _before("_quotes", _in_file()).alias("_carry"))
     # a row for each block of a file (128 MB): broadcast, which leaves the pieces in their order
     p = p.join(F.broadcast(blocks), _BLOCK).select(*_BLOCK, "_row", "value", "_quotes", "_carry")
-    j = p.mapInArrow(_joined, _JOINED)
-    whole = j.where("_whole").select(F.col("value").alias("text"), F.col("_first").alias("first"))
+    whole, crossing = (p.mapInArrow(partial(_joined, kinds=(k,)), _JOINED) for k in (True, False))
+    whole = whole.select(F.col("value").alias("text"), F.col("_first").alias("first"))
     # written: two of a block at most, read twice
-    crossing = catalog.written(j.where("NOT _whole").drop("_whole"), "crossing")
+    crossing = catalog.written(crossing.drop("_whole"), "crossing")
     r = whole.unionByName(_records(crossing, "\n"))
     return r.withColumn("text", F.regexp_replace("text", r"\r$", ""))
 
