@@ -54,10 +54,14 @@ def raw_matches(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> D
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cd = place_dim(spark, sf_dir)
     od = o.join(cd, o.o_custkey == cd.c_custkey)
-    j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    if tasks:  # the two exchanges of the join below, in so many tasks
-        j, od = j.repartition(tasks, "l_orderkey"), od.repartition(tasks, "o_orderkey")
-    j = j.join(od, j.l_orderkey == od.o_orderkey)
+    if tasks:  # orders last, so that the last stage begins with these two exchanges
+        j = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey).repartition(tasks, "l_orderkey")
+        od = od.repartition(tasks, "o_orderkey")
+        j = j.join(od, j.l_orderkey == od.o_orderkey)
+    else:
+        j = (li.join(od, li.l_orderkey == od.o_orderkey)
+             .join(p, li.l_partkey == p.p_partkey)
+             .join(s, li.l_suppkey == s.s_suppkey))
     b = F.col("l_quantity") * F.col("p_retailprice")
     a = F.col("l_extendedprice")
     ln = F.col("l_linenumber")
